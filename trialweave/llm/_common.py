@@ -31,7 +31,7 @@ def written(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size of ``df`` in bytes; where it knows none, the size of its strings by a scan."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < 1 << 50:
         return size
     text = [c for c, kind in df.dtypes if kind == "string"]
