@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import decontaminate, lm, mixing, substrings, token_files
+from trialweave.llm import decontaminate, lm, mixing, near_dup, substrings, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "kept", "n_words")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenized(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_near_dup": op5_near_dup,
     "op9_token_files": op9_token_files,
 }
 
