@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import decontaminate, lm, mixing, near_dup, substrings, token_files
+from trialweave.llm import decontaminate, lattice, lm, mixing, near_dup, substrings, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "kept", "n_words")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.link(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenized(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_near_dup": op5_near_dup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op9_token_files": op9_token_files,
 }
 
