@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import chat, decontaminate, lattice, lm, mixing, near_dup, substrings, token_files, urls
+from trialweave.llm import chat, decontaminate, lattice, lm, mixing, near_dup, quality, substrings, token_files, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenized(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "n_chars"), _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_score_lm": op1_score_lm,
     "op2_mix_sources": op2_mix_sources,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_format_chats": op7_format_chats,
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
