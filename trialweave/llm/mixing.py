@@ -24,6 +24,7 @@ from trialweave.llm._common import WORD, written
 
 MAX_BLOCKS = 1 << 16
 BLOCK_WORDS = 1 << 16
+FILLS = 4
 
 
 def size_of(text: Column) -> Column:
@@ -55,33 +56,74 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_tree(take, left, rng), split_tree(quotas - take, shards - left, rng)])
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, shards: int = 8, seed: int = 7) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, shards (one entry for each time it is taken), place."""
+def plan(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, shards: int = 8, seed: int = 7) -> DataFrame:
+    """The mix of ``docs`` (doc_id, source, size) as a small table: a row for each source and block.
+
+    A block's documents go whole to ``shards``. Of a source's last block, those up to ``upto`` in the order of
+    (key, doc_id, size) go to ``part_shard`` besides, and those in ``fill``, which close most of what is then missing.
+    """
     spark = docs.sparkSession
-    d = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")).withColumn("key", F.xxhash64("doc_id", F.lit(seed))))
+    d = written(docs.select("doc_id", "source", "size").withColumn("key", F.xxhash64("doc_id", F.lit(seed))))
     size = {r["source"]: r["n"] for r in d.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     target, total = targets(size, weights, most), sum(size.values())
     unit = max(BLOCK_WORDS, -(-2 * total // MAX_BLOCKS))
     blocks = {s: 1 + n // unit for s, n in size.items()}
-    source_rows = [{"s": s, "source_size": size[s], "target": target[s], "blocks": blocks[s]} for s in size]
-    of = _table(spark, source_rows, "s string, source_size long, target double, blocks int")
-    d = d.join(F.broadcast(of), d["source"].eqNullSafe(of["s"])).drop("s")
-    d = d.withColumn("block", F.pmod(F.shiftright("key", 20), F.col("blocks")).cast("int")).drop("blocks")
+    of = _table(spark, [{"s": s, "blocks": blocks[s]} for s in size], "s string, blocks int")
+    d = d.join(F.broadcast(of), d["source"].eqNullSafe(of["s"])).withColumn("block", _block(F.col("key"), F.col("blocks")))
     words = {(r["source"], r["block"]): r["n"] for r in d.groupBy("source", "block").agg(F.sum("size").alias("n")).collect()}
-    plan = _table(spark, _plan(words, size, target, blocks, shards, seed), "s string, k int, shards array<int>, part long, part_shard int")
-    d = d.join(F.broadcast(plan), d["source"].eqNullSafe(plan["s"]) & (d["block"] == plan["k"]), "left").drop("s", "k")
-    whole = d.where("part is null")
-    w = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size")
-    before = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    # In key order, a document is taken where more of it lies below the target than above; then the one document that closes most of the gap.
-    block = Window.partitionBy("source", "block")
-    drawn = d.where("part is not null").withColumn("before", F.coalesce(before, F.lit(0))).withColumn("in", 2 * F.col("before") + F.col("size") <= 2 * F.col("part"))
-    drawn = drawn.withColumn("gap", F.col("part") - F.coalesce(F.sum(F.when(F.col("in"), F.col("size"))).over(block), F.lit(0)))
-    rank = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "key", "doc_id", "before")
-    drawn = drawn.withColumn("in", F.col("in") | ((F.abs(F.col("gap") - F.col("size")) < F.col("gap")) & (rank == F.min(F.when(~F.col("in"), rank)).over(block))))
-    drawn = drawn.withColumn("shards", F.when(F.col("in"), F.concat("shards", F.array("part_shard"))).otherwise(F.col("shards"))).drop("before", "in", "gap")
-    out = whole.unionByName(drawn).withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "shards", F.xxhash64("key", F.lit(seed + 1)).alias("place"))
+    rows = _plan(words, size, target, blocks, shards, seed)
+    facts = {s: {"source_size": size[s], "target": target[s], "blocks": blocks[s]} for s in size}
+    rows += [{"s": s, "k": k, "shards": []} for s in size for k in range(blocks[s]) if (s, k) not in {(r["s"], r["k"]) for r in rows if r["s"] == s}]
+    whole = _table(spark, [r | facts[r["s"]] for r in rows], "s string, k int, shards array<int>, part long, part_shard int, source_size long, target double, blocks int")
+    last = whole.where("part is not null").select(F.col("s").alias("ls"), F.col("k").alias("lk"), "part")
+    d = d.select("source", "block", "key", "doc_id", "size").join(F.broadcast(last), d["source"].eqNullSafe(last["ls"]) & (d["block"] == last["lk"]))
+    order, block = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size"), Window.partitionBy("source", "block")
+    place = F.struct("key", "doc_id", "size")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # In this order, documents are taken up to the first that crosses the target; then those that close most of the gap.
+    d = d.withColumn("in", before + F.col("size") <= F.col("part")).withColumn("filled", F.lit(False))
+    for _ in range(FILLS):
+        gap = F.col("part") - F.coalesce(F.sum(F.when(F.col("in") | F.col("filled"), F.col("size"))).over(block), F.lit(0))
+        d = d.withColumn("gap", gap).withColumn("off", F.abs(F.col("gap") - F.col("size")))
+        best = F.min(F.when(~F.col("in") & ~F.col("filled"), F.struct("off", place.alias("place")))).over(block)
+        d = d.withColumn("filled", F.col("filled") | (~F.col("in") & (F.col("off") < F.col("gap")) & (F.struct("off", place.alias("place")) == best)))
+    upto = d.groupBy("ls", "lk").agg(F.max(F.when(F.col("in"), place)).alias("upto"), F.collect_list(F.when(F.col("filled"), place)).alias("fill"))
+    return whole.join(F.broadcast(upto), whole["s"].eqNullSafe(upto["ls"]) & (whole["k"] == upto["lk"]), "left").drop("ls", "lk")
+
+
+def _block(key: Column, blocks: Column) -> Column:
+    return F.pmod(F.shiftright(key, 20), blocks).cast("int")
+
+
+def decide(docs: DataFrame, mixture: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str = "source", seed: int = 7) -> DataFrame:
+    """``docs`` with a column ``__mix``: size, source_size, target, shards (one entry for each time it is taken), place.
+
+    The plan has at most 65,536 blocks and one a source, so it is broadcast and no document moves.
+    """
+    key = F.xxhash64(doc_id, F.lit(seed))
+    p = written(mixture)
+    of = p.groupBy(F.col("s").alias("__s")).agg(F.first("blocks").alias("__blocks"))
+    d = docs.withColumn("__size", size).join(F.broadcast(of), F.col(source).eqNullSafe(F.col("__s")))
+    p = p.select(*[F.col(c).alias(f"__{c}") for c in p.columns if c not in ("s", "blocks")], F.col("s").alias("__ps"))
+    d = d.join(F.broadcast(p), F.col("__s").eqNullSafe(F.col("__ps")) & (_block(key, F.col("__blocks")) == F.col("__k")))
+    place = F.struct(key.alias("key"), F.col(doc_id).alias("doc_id"), F.col("__size").alias("size"))
+    drawn = F.coalesce((place <= F.col("__upto")) | F.array_contains("__fill", place), F.lit(False)) & F.col("__part_shard").isNotNull()
+    to = F.when(drawn, F.concat("__shards", F.array("__part_shard"))).otherwise(F.col("__shards"))
+    out = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), to.alias("shards"), F.xxhash64(key, F.lit(seed + 1)).alias("place"))
+    return d.select(*[docs[c] for c in docs.columns], out.alias("__mix"))
+
+
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **options) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, shards (one entry for each time it is taken), place."""
+    d = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")))
+    return decide(d, plan(d, seed=seed, **options), F.col("size"), seed=seed).select("doc_id", "source", "__mix.*")
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns."""
+    d = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    out = decide(docs, plan(d, **options), size_of(F.col("text")))
+    return out.withColumn("__copy", F.explode("__mix.shards")).drop("__mix", "__copy")
 
 
 def _table(spark, rows: list[dict], schema: str) -> DataFrame:
