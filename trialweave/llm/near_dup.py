@@ -8,9 +8,11 @@ maxima). Points are generated up to a time by which all registers are almost sur
 
 Sixteen bands of four registers find pairs (at 0.8, all but 2 in 10,000). Documents of the same word sequence are one
 class from the start. In each band bucket, the least class is compared with every other, so a bucket of n gives n - 1
-pairs. What is then connected needs no further pair; members of one bucket in different components are compared with
-each other (unless their signatures agree in fewer than 36 of 64 registers, which a pair at 0.8 does once in 10**5
-times), so no link between components is lost to the star.
+pairs. What these connect needs no further pair. Classes that share buckets but are not connected yet meet in blocks of
+two chunks of at most 128 classes each; a block goes through the pairs of different components, the likeliest by their
+signatures first, verifies a pair only while the two are still apart, and gives the links it finds, never its pairs.
+Two chunks of one component don't meet. Pairs whose signatures agree in fewer than 38 of 64 registers are passed over,
+which befalls a pair at 0.8 once in about 10**4 times. So no link between components is lost to the star.
 
 Defined cases: words are split at ASCII white space and A-Z lower-cased; texts of 1 to 4 words have one shingle; null,
 empty and blank texts have none, link with nothing and are kept; a class's document is its least doc_id (null first);
@@ -33,7 +35,7 @@ from trialweave.llm.token_files import slices
 
 K, THRESHOLD = 5, 0.8
 REGISTERS, BANDS = 64, 16
-AGREE = 36
+AGREE, CHUNK = 38, 128
 SIGNED = "doc_id long, key long, cls binary, n_words int, bands array<long>, sig array<smallint>"
 
 
@@ -140,6 +142,56 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _between(group: DataFrame, label: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float, chunk: int = CHUNK) -> DataFrame | None:
+    """Links between different components of classes that share buckets (``group``: cls, grp); None if there is nothing to ask."""
+    member = written(group.join(label, F.col("cls") == F.col("v"), "left").select("cls", "grp", F.coalesce("label", "cls").alias("comp")))
+    size = member.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    # A component above ``chunk`` has chunks of its own, the others share chunks.
+    size = size.withColumn("big", F.when(F.col("n") > chunk, F.col("comp")))
+    open_ = size.groupBy("grp").agg(F.count("*").alias("comps"), F.sum(F.when(F.col("big").isNull(), F.col("n"))).alias("mixed")).where("comps > 1")
+    size = written(size.join(open_, "grp").select("grp", "comp", "big", F.ceil(F.when(F.col("big").isNull(), F.col("mixed")).otherwise(F.col("n")) / chunk).cast("int").alias("parts")))
+    if size.limit(1).count() == 0:
+        return None
+    part = lambda i: F.xxhash64("big", i)
+    chunks = size.groupBy("grp", "big").agg(F.max("parts").alias("parts")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("grp").alias("g"), F.col("big").alias("of"), F.xxhash64("big", "i").alias("other"))
+    mine = member.join(size, ["grp", "comp"]).select("grp", "cls", "comp", "big", part(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).alias("own"))
+    met = mine.join(chunks, (F.col("grp") == F.col("g")) & ~F.coalesce(F.col("big") == F.col("of"), F.lit(False)))
+    met = met.select("cls", "comp", "own", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+    rows = met.join(texts, "cls").join(reps.select("cls", "sig"), "cls")
+    return written(rows.groupBy("block").applyInArrow(lambda table: _block_links(table, threshold), "a binary, b binary"))
+
+
+def _block_links(table: pa.Table, threshold: float) -> pa.Table:
+    own, cls, comp = table["own"].to_numpy(), table["cls"].to_pylist(), table["comp"].to_pylist()
+    n = len(own)
+    sig = np.array(table["sig"].to_pylist(), np.int16).reshape(n, -1)
+    number = {c: k for k, c in enumerate(sorted(set(comp)))}
+    kind = np.array([number[c] for c in comp])
+    agree = np.zeros((n, n), np.int16)
+    for r in range(sig.shape[1]):
+        agree += sig[:, r, None] == sig[None, :, r]
+    ask = np.triu((agree >= AGREE) & (kind[:, None] != kind[None, :]), 1)
+    if len(set(own.tolist())) > 1:  # within one chunk, another block asks
+        ask &= own[:, None] != own[None, :]
+    i, j = np.nonzero(ask)
+    order = np.argsort(-agree[i, j], kind="stable")
+    _, _, h, off = shingle_hashes(table["text"])
+    root, found = list(range(len(number))), []
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = top(kind[x]), top(kind[y])
+        if p != q and jaccard(h[off[x] : off[x + 1]], h[off[y] : off[y + 1]]) >= threshold:
+            root[p] = q
+            found.append((cls[x], cls[y]))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, key, class_id (least doc_id of its group), kept, n_words."""
     docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
@@ -152,17 +204,9 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     texts = written(reps.select("cls", "key").join(names, "cls").join(docs.select("key", "text"), "key").dropDuplicates(["cls"]).select("cls", "text"))
     links = written(verified(star, texts, threshold))
     label = written(components(links))
-    # Members of one bucket in different components.
-    member = band.join(led.select("band"), "band").join(label, F.col("cls") == F.col("v"), "left").select("band", "cls", F.coalesce("label", "cls").alias("comp"))
-    member = written(member)
-    split = member.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-    open_ = written(member.join(split, "band").join(reps.select("cls", "sig"), "cls"))
-    x, y = (open_.select("band", F.col("cls").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, v: t + v)
-    cross = x.join(y, (x["band"] == y["band"]) & (x["comp_a"] != y["comp_b"]) & (x["a"] < y["b"]) & (agree >= AGREE)).select("a", "b").distinct()
-    cross = written(cross.join(star, ["a", "b"], "left_anti"))
-    more = written(verified(cross, texts, threshold)) if cross.limit(1).count() else None
-    if more is not None and more.limit(1).count():
+    group = components(star).select(F.col("v").alias("cls"), F.col("label").alias("grp"))
+    more = _between(group, label, reps, texts, threshold)
+    if more is not None:
         label = components(links.unionByName(more))
     named = reps.select("cls", "doc_id").join(label, F.col("cls") == F.col("v"), "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min(F.struct("doc_id")).alias("least"))
