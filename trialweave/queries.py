@@ -256,7 +256,7 @@ def array_compare(spark, d):
 def top_slowest(spark, d):
     r = table(spark, d, "lineitem").withColumn("ratio", F.col("l_extendedprice") / F.col("l_quantity"))
     top = lists.top_k(r.select("l_returnflag", "l_orderkey", "l_linenumber", "ratio"), ["l_returnflag"], [F.desc("ratio"), F.asc("l_orderkey"), F.asc("l_linenumber")], 3)
-    return rounded(top, "ratio", places=6)
+    return rounded(top.withColumn("rank", F.col("rank").cast("long")), "ratio", places=6)
 
 
 @query("SELECT sha256(text) AS sha256, 'texts/' || substr(sha256(text), 1, 2) || '/' || sha256(text) || '.txt' AS path, count(*) AS n, length(any_value(text)) AS chars FROM documents WHERE text IS NOT NULL GROUP BY text")
@@ -398,7 +398,7 @@ def first_seen(spark, d):
     return lists.first_seen(e, ["user_id", "event_type"], ["doc_id"]).select("doc_id", "event_type", F.lit(1).cast("long").alias("seen"))
 
 
-@query("""SELECT count(*) AS n, count_if(l_tax > l_discount) AS above, count_if(l_discount >= 0.06) AS reach, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem""")
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE l_tax > l_discount) AS above, count(*) FILTER (WHERE l_discount >= 0.06) AS reach, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem""")
 def correlation_line(spark, d):
     li = table(spark, d, "lineitem")
     return li.agg(F.count("*").alias("n"), F.count_if(F.col("l_tax") > F.col("l_discount")).alias("above"), F.count_if(F.col("l_discount") >= 0.06).alias("reach"), F.round(stats.pearson("l_quantity", "l_extendedprice"), 6).alias("r"))
