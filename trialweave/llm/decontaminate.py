@@ -13,7 +13,7 @@ item of fewer than five words is one shingle of all its words, and so is such a
 Items are broadcast in blocks of at most ``block_shingles`` shingles; each block is one pass over the documents.
 
 Defined cases: a null or empty text has no shingle and matches nothing; repeated items or documents each give their
-rows; an empty table gives no rows. Only the columns named are used.
+rows, also where their ids are null; an empty table gives no rows. Only the columns named are used.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ class ItemIndex:
     """The minima of a block of items, by partition."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], threshold: float):
-        self.ids, self.sets, self.threshold = np.array(ids, np.int64), sets, threshold
+        self.ids, self.sets, self.threshold = pa.array(ids, pa.int64()), sets, threshold
         self.need = np.array([int(np.ceil(threshold * len(s) - 1e-9)) for s in sets], np.int64)
         self.parts = []
         for c in sorted({size_class(len(s)) for s in sets}):
@@ -147,7 +147,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOL
                     hits = index.hits(*shingles(piece["text"]))
                     text, item, got = (np.array(x, np.int64) for x in (zip(*hits, strict=True) if hits else ((), (), ())))
                     n = np.array([len(index.sets[i]) for i in item.tolist()], np.int64)
-                    yield pa.record_batch([piece["doc_id"].take(pa.array(text)).cast(pa.int64()), pa.array(index.ids[item]), pa.array(n), pa.array(got), pa.array(got / np.maximum(n, 1))], names=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
+                    yield pa.record_batch([piece["doc_id"].take(pa.array(text)).cast(pa.int64()), index.ids.take(pa.array(item)), pa.array(n), pa.array(got), pa.array(got / np.maximum(n, 1))], names=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
 
         return docs.mapInArrow(run, ROWS)
 

@@ -220,12 +220,12 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each group left (that of the least doc_id), with all their columns."""
     out = written(classes(docs, **options))
     gone = out.where("not kept").select(F.col("key").alias("__gone")).distinct()
-    twice = out.where("kept and n_words > 0").groupBy("class_id").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    twice = out.where("kept and n_words > 0").groupBy("class_id").agg(F.min("key").alias("__first"), F.count("*").alias("n")).where("n > 1")
     mine = F.xxhash64("doc_id", "text")
     left = docs.withColumn("__key", mine).join(gone, F.col("__key") == F.col("__gone"), "left_anti")
     if not twice.limit(1).count():
         return left.drop("__key")
     # Rows of one doc_id in one group: the least key stays, once.
-    again = out.where("kept and n_words > 0").select(F.col("class_id").alias("__class"), F.col("key").alias("__k")).join(twice.withColumnRenamed("class_id", "__c"), F.col("__class").eqNullSafe(F.col("__c"))).select("__k", "first").distinct()
-    rest, same = left.join(again, F.col("__key") == F.col("__k"), "left_anti"), left.join(again, (F.col("__key") == F.col("__k")) & (F.col("__key") == F.col("first")))
-    return rest.drop("__key").unionByName(same.dropDuplicates(["__key"]).drop("__key", "__k", "first"))
+    again = out.where("kept and n_words > 0").select(F.col("class_id").alias("__class"), F.col("key").alias("__k")).join(twice.withColumnRenamed("class_id", "__c"), F.col("__class").eqNullSafe(F.col("__c"))).select("__k", "__first").distinct()
+    rest, same = left.join(again, F.col("__key") == F.col("__k"), "left_anti"), left.join(again, (F.col("__key") == F.col("__k")) & (F.col("__key") == F.col("__first")))
+    return rest.drop("__key").unionByName(same.dropDuplicates(["__key"]).drop("__key", "__k", "__first"))

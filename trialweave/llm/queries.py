@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.llm import chat, decontaminate, lattice, lm, mixing, near_dup, quality, substrings, token_files, urls
+from trialweave.llm.sql import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -24,7 +25,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup_substrings(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.classes(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "kept", "n_words")
+    return near_dup.classes(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "kept", F.col("n_words").cast("long").alias("n_words"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op7_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2, numPartitions=1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.read_back(chat.format_conversations(rows.unionByName(more), public_tokenizers.path("byte_bpe_50k.json")))
+    return chat.read_back(chat.format_conversations(rows.unionByName(more), public_tokenizers.path("byte_bpe_50k.json"))).drop("n_tokens", "n_loss_tokens")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
