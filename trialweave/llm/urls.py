@@ -27,7 +27,7 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 #: Words that name what is to be blocked.
 SEEDS = ("adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "lottery", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-VOCABULARY, LONGEST, BUCKETS = 50_000, 24, 1 << 16
+VOCABULARY, LONGEST, BUCKETS, SEED_WEIGHT = 50_000, 24, 1 << 16, 4.0
 JUDGED = "page_id long, host string, path string, rule string, verdict string, tokens array<string>, log_odds double"
 
 
@@ -125,11 +125,12 @@ def _bucket(token: str) -> int:
 class Bayes:
     """Multinomial naive Bayes with add-one smoothing over hashed tokens."""
 
-    def __init__(self, counts: dict[str, np.ndarray], pages: dict[str, int]):
+    def __init__(self, counts: dict[str, np.ndarray], pages: dict[str, int], seeds: set[str] = frozenset()):
         block, allow = (counts.get(c, np.zeros(BUCKETS)) for c in ("block", "allow"))
         seen = int(((block + allow) > 0).sum()) + 1
         self.weight = np.log((block + 1) / (block.sum() + seen)) - np.log((allow + 1) / (allow.sum() + seen))
         self.weight[(block + allow) == 0] = 0
+        self.weight[[_bucket(t) for t in sorted(seeds)]] += SEED_WEIGHT  # what is known of seeds beforehand
         nb, na = pages.get("block", 0), pages.get("allow", 0)
         self.prior = np.log((nb + 1) / (na + 1)) if nb else -np.inf
 
@@ -168,7 +169,7 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, *, seeds: tuple
     for r in rows:
         if r["bucket"] >= 0:
             counts.setdefault(r["verdict"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
-    model = pages.sparkSession.sparkContext.broadcast(Bayes(counts, {r["verdict"]: r["n"] for r in rows if r["bucket"] < 0}))
+    model = pages.sparkSession.sparkContext.broadcast(Bayes(counts, {r["verdict"]: r["n"] for r in rows if r["bucket"] < 0}, bad))
 
     def run(batches):
         seg = segmenter()
