@@ -2,8 +2,41 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
+_SIMPLE = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "decimal(20,0)": T.DecimalType(20, 0)}
+
+
+def _parts(text: str) -> list[str]:
+    """Split at commas outside brackets."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [p.strip() for p in out]
+
+
+def type_of(text: str) -> T.DataType:
+    """A type by its DDL name, without a session."""
+    if m := re.fullmatch(r"array<(.*)>", text):
+        return T.ArrayType(type_of(m[1]))
+    if m := re.fullmatch(r"map<(.*)>", text):
+        return T.MapType(*map(type_of, _parts(m[1])))
+    if m := re.fullmatch(r"struct<(.*)>", text):
+        return T.StructType([T.StructField(n, type_of(k)) for n, _, k in (p.partition(":") for p in _parts(m[1]))])
+    return _SIMPLE[text]
+
+
+def row(ddl: str) -> T.StructType:
+    """A schema from ``name type, ...``, without a session, so that modules import anywhere."""
+    return T.StructType([T.StructField(n, type_of(k)) for n, _, k in (p.partition(" ") for p in _parts(ddl))])
+
+
 # Fixed values.
 STAGES = ("S0", "S1", "S2", "S3", "S4", "S5")
 NO_STAGE = "none"
@@ -36,7 +69,7 @@ TRIAL_DDL = (
     f"baseline_diagnostics array<{_DIAG}>, context struct<knowledge_summary:string,source_description:string>, requests array<{_REQUEST}>, attempts array<{_ATTEMPT}>, "
     "final struct<stage_reached:string,alignment:double,score:double,corrections:long,wall_s:double,end_reason:struct<code:string,message:string>>"
 )
-TRIAL: T.StructType = T.StructType.fromDDL(TRIAL_DDL)
+TRIAL: T.StructType = row(TRIAL_DDL)
 
 _KEYS = "project string, arm string, bench string, direction string, trial_id string"
 _REF_COLS = "{0}_sha256 string, {0}_path string"
@@ -57,7 +90,7 @@ FLAT_DDL = {
     "requests": f"{_KEYS}, index long, stage string, attempt_index long, message_roles array<string>, message_sha256 array<string>, {_REF_COLS.format('reply_ref')}, diagnostic_count long",
     "output_stats": f"{_KEYS}, attempt_index long, ordinal long, name string, pcc double, max_abs double, max_ulp decimal(20,0), passed boolean, note string",
 }
-FLAT = {k: T.StructType.fromDDL(v) for k, v in FLAT_DDL.items()}
+FLAT = {k: row(v) for k, v in FLAT_DDL.items()}
 SORT = {
     "trials": ("trial_id",),
     "attempts": ("trial_id", "index"),
@@ -65,10 +98,10 @@ SORT = {
     "requests": ("trial_id", "index"),
     "output_stats": ("trial_id", "attempt_index", "ordinal"),
 }
-METRICS = T.StructType.fromDDL(
+METRICS = row(
     "arm string, direction string, ordinal long, metric string, value double, numerator double, denominator long, wilson_low double, wilson_high double, note string, placeholder boolean, paper_published string, paper_recount string, paper_cite string, "
     "compile_only boolean, b0_criterion string, trials long, scenarios long, trials_per_scenario_min long, trials_per_scenario_max long, devices array<string>"
 )
-STAGE_REACHED = T.StructType.fromDDL("arm string, direction string, ordinal long, stage string, count long")
-CORRECTIONS = T.StructType.fromDDL("arm string, direction string, corrections long, count long")
-COMPONENTS = T.StructType.fromDDL("trial_id string, profile string, component string, value double, note string, ordinal int")
+STAGE_REACHED = row("arm string, direction string, ordinal long, stage string, count long")
+CORRECTIONS = row("arm string, direction string, corrections long, count long")
+COMPONENTS = row("trial_id string, profile string, component string, value double, note string, ordinal int")
