@@ -15,18 +15,23 @@ other by the hash of their text; an empty table gives no shard. Only the columns
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
+from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import groups_for, shared_dir, split_words, written
+from trialweave.llm._common import groups_for, one_array, shared_dir, split_words, written
 
 END_ID = 2
 SEQ_LEN = 2048
@@ -41,26 +46,66 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    return tok, {}, _is_byte_level(tok)
+
+
+#: A word that ends in a letter or digit and then ASCII punctuation (no apostrophe, no sign of a special token): two pretokens at least.
+_TAIL = re.compile(rb"(.*[0-9A-Za-z])([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)", re.S)
+
+
+#: Words that normalising leaves as they are and that are one pretoken each: their byte-level form goes straight to the model.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+|[!\"#$%&()*+,\\-./:;=?@\\[\\\\\\]^_`{}~]+")
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+def _is_byte_level(tok) -> bool:
+    """Whether the tokenizer is of the kind that _PLAIN is right for: lower-casing, letters and other signs apart, byte level."""
+    spec = json.loads(tok.to_str())
+    steps = [str(x) for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return "Lowercase" in str(spec["normalizer"]) and len(steps) == 2 and "\\p{L}" in steps[0] and "ByteLevel" in steps[1] and spec["model"]["type"] == "BPE"
+
+
+def _encoded(tok, plain: bool, words: list[bytes]) -> dict[bytes, list[int]]:
+    out, rest, model = {}, [], tok.model
+    for w in words:
+        text = w.decode()
+        if plain and _PLAIN.fullmatch(text):
+            out[w] = [t.id for t in model.tokenize(text if text.isascii() else w.decode("latin-1").translate(_BYTES))]
+        else:
+            rest.append(w)
+    for i in range(0, len(rest), 20_000):
+        some = rest[i : i + 20_000]
+        out.update(zip(some, (e.ids for e in tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
+    return out
 
 
 def encode(texts, tokenizer_path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts in a row, and how many each text has."""
-    tok, cache = _tokenizer(tokenizer_path)
-    words, at, off = split_words(texts)
-    fresh = [w for w in words if w not in cache]
-    if len(cache) + len(fresh) > CACHE_WORDS:
-        cache.clear()
-        fresh = words
-    for i in range(0, len(fresh), 20_000):
-        part = fresh[i : i + 20_000]
-        for w, e in zip(part, tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            cache[w] = e.ids
-    ids = [cache[w] for w in words]
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for y in ids for x in y), np.int64, int(n.sum()))
+    """All ids of the texts in a row, and how many each text has.
+
+    Only distinct words are encoded, without the punctuation at their ends, which is encoded by itself; what comes
+    twice is kept for later. Where no text could hold a special token, A-Z are lower-cased first, as the tokenizer does.
+    """
+    tok, cache, plain = _tokenizer(tokenizer_path)
+    texts = one_array(texts)
+    special = bool(pc.any(pc.match_substring(texts, "<|")).as_py())
+    words, at, off = split_words(texts, lower=not special)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
+    parts = [m.groups() if (m := _TAIL.fullmatch(w)) else (w, b"") for w in words]
+    need = Counter(p for w in parts for p in w)
+    fresh = [w for w in need if w not in cache]
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
+        fresh = list(need)
+    small = tok.get_vocab_size() < 1 << 16
+    made = {w: array("H" if small else "I", x).tobytes() for w, x in _encoded(tok, plain, fresh).items()}
+    cache.update((w, x) for w, x in made.items() if need[w] > 1)
+    width = "<u2" if small else "<u4"
+    made_ids = [(cache[a] if a in cache else made[a]) + (cache[b] if b in cache else made[b]) for a, b in parts]
+    n = np.fromiter(map(len, made_ids), np.int64, len(made_ids)) // int(width[2])
+    flat = np.frombuffer(b"".join(made_ids), width).astype(np.int64)
     first, each = np.concatenate([[0], np.cumsum(n)])[:-1], n[at]
     ends = np.cumsum(each)
     out = flat[np.repeat(first[at] - (ends - each), each) + np.arange(int(ends[-1]))]
