@@ -36,6 +36,7 @@ from trialweave.llm.token_files import slices
 K, THRESHOLD = 5, 0.8
 REGISTERS, BANDS = 64, 16
 AGREE, CHUNK = 38, 128
+SIGN_ROWS = 1000  # a text has some 600 points, so this bounds what is held at once
 SIGNED = "doc_id long, key long, cls binary, n_words int, bands array<long>, sig array<smallint>"
 
 
@@ -106,7 +107,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SIGN_ROWS):
                 words, off, h, new = shingle_hashes(piece["text"])
                 n = piece.num_rows
                 sig = signatures(*bags(h, new), n)
@@ -134,7 +135,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "text_a"):
+            for piece in slices(batch, "text_a", SIGN_ROWS):
                 (_, _, ha, oa), (_, _, hb, ob) = (shingle_hashes(piece[c]) for c in ("text_a", "text_b"))
                 ok = [jaccard(ha[oa[i] : oa[i + 1]], hb[ob[i] : ob[i + 1]]) >= threshold for i in range(piece.num_rows)]
                 yield pa.record_batch([x.filter(pa.array(ok, pa.bool_())) for x in (piece["a"], piece["b"])], names=["a", "b"])

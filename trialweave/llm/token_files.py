@@ -116,13 +116,13 @@ def with_ends(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray,
     return np.insert(ids, np.cumsum(n), end_id), n + 1
 
 
-def slices(batch: pa.RecordBatch, column: str):
-    """Parts of a batch of at most SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, rows: int = 1 << 30):
+    """Parts of a batch of at most SLICE_BYTES of text and ``rows`` rows, one row at least."""
     size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < batch.num_rows:
         before = size[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right")))
+        j = max(i + 1, min(i + rows, int(np.searchsorted(size, before + SLICE_BYTES, "right"))))
         yield batch.slice(i, j - i)
         i = j
 
