@@ -70,8 +70,8 @@ def test_round_trip(spark, trials, tmp_path):
         d = tmp_path / "run" / t["trial_id"]
         d.mkdir(parents=True)
         (d / "trial.json").write_text(json.dumps(t))
-    got = lifecycle.score_run(spark, str(tmp_path / "run"), ["lassi", "df-v0"], str(tmp_path / "scores"))
-    assert got["trial_components"].count() == 7 * 14 + 7 * 3 and io.read_manifest(spark, str(tmp_path / "scores"))["profiles"] == ["lassi", "df-v0"]
+    got = lifecycle.score_run(spark, str(tmp_path / "run"), ["outcome", "reward"], str(tmp_path / "scores"))
+    assert got["trial_components"].count() == 7 * 14 + 7 * 3 and io.read_manifest(spark, str(tmp_path / "scores"))["profiles"] == ["outcome", "reward"]
     assert "compile_rate" in lifecycle.report_run(got)
     odd = tmp_path / "run" / "p/m--a/2024/x2y/i9/run01"
     odd.mkdir(parents=True)
@@ -106,7 +106,7 @@ def test_outcomes(trials):
 
 
 def test_metric_rows(spark, trials):
-    long = scoring.score_trials(trials, ["lassi"])
+    long = scoring.score_trials(trials, ["outcome"])
     scored = metrics.scored_trials(trials, long)
     rows = {r["metric"]: r for r in metrics.metric_rows(scored).collect()}
     assert (rows["compile_rate"]["numerator"], rows["compile_rate"]["denominator"], rows["compile_rate"]["excluded"]) == (5.0, 6, 1)

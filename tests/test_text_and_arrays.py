@@ -67,7 +67,7 @@ def test_parsers(spark):
 def test_array_codec(spark, tmp_path):
     a = ac.NamedArray("x.1", "f32", (2, 2), np.array([1, 2, 3, 4], "<f4").tobytes())
     raw = ac.encode(a)
-    assert ac.decode(raw) == a and len(raw) % 8 == 0
+    assert ac.decode(raw) == a and len(raw) % 8 == 0 and ac.decode(ac.encode(a, b"OTHERS!\0"), b"OTHERS!\0") == a
     for bad in (raw[:-1], raw + b"\0", b"X" + raw[1:], raw[:10]):
         with pytest.raises(ValueError):
             ac.decode(bad)
@@ -112,3 +112,17 @@ def test_graph_lists_store(spark):
     assert s.count() == 1 and store.corrupt(s).count() == 0 and store.corrupt(s.withColumn("payload", F.lit("b"))).count() == 1
     with pytest.raises(Exception, match="no text of"):
         store.resolve(spark.createDataFrame([("z",)], "h string"), s, "h", "t").collect()
+
+
+def test_simulator_logs(spark):
+    from trialweave.operators import simulator as sim
+
+    out = "x\nbrisc build failed. Log: In file included\n/w/k.cpp:3:0: fatal error: no [-Wz]\n 3 | code\n\nignored.cpp:1:1: error: outside\nncrisc build failed. Log:\nk.cpp:3:0: fatal error: no [-Wz]\n"
+    assert sim.kernel_diagnostics(out, out, "/w") == [("error", "-Wz", "k.cpp", 3, None, "no")]
+    log = "Dump #1 at 1s\nDevice core(1) k_ids: 0| 7| 0\nk_id[ 7]: kernels/a\nk_id[ 8]: b\nDump #1 completed at 2s\nDump #2 at 3s\n core(2) k_ids: 8\nDump #3 completed at 4s\n"
+    assert sim.watchdog_note(log) == "Watcher dump #1: Device core(1) k_ids: 0| 7| 0; k_id[ 7]: kernels/a" and sim.watchdog_note("none") is None
+    big = "Dump #5 at\n".replace("at", "at ") + "".join(f"c core({i}) k_ids: {i}\n" for i in range(1, 400)) + "Dump #5 completed at 9\n"
+    note = sim.watchdog_note(big)
+    assert len(note) <= 4096 and note.endswith("more lines left out")
+    df = spark.createDataFrame([(log, out)], "log string, out string")
+    assert df.lateralJoin(sim.WatchdogNote(F.col("log").outer())).first()["note"].startswith("Watcher dump #1") and df.lateralJoin(sim.KernelDiagnostics(F.col("out").outer(), F.col("out").outer(), F.lit("/w"))).count() == 1

@@ -103,8 +103,8 @@ def scored_trials(trials: DataFrame, long: DataFrame) -> DataFrame:
     from trialweave.functions import ids
     from trialweave.operators import scoring
 
-    wide = scoring.to_wide(long.where("profile = 'lassi'"), scoring.OUTCOME_COMPONENTS)
-    notes = long.where("profile = 'lassi' and component = 'correct'").select("trial_id", F.col("note").alias("correct_note"))
+    wide = scoring.to_wide(long.where("profile = 'outcome'"), scoring.OUTCOME_COMPONENTS)
+    notes = long.where("profile = 'outcome' and component = 'correct'").select("trial_id", F.col("note").alias("correct_note"))
     t = trials.withColumn("__id", ids.parse(F.col("trial_id"))).select("trial_id", F.col("__id.arm").alias("arm"), F.col("__id.direction").alias("direction"), ids.scenario(F.col("__id.bench"), F.col("__id.item")).alias("scenario"), F.try_element_at("attempts", F.lit(-1))["stage_reached"].alias("stage"), F.col("final.corrections").alias("corrections"), F.col("provenance.device").alias("device"))
     j = t.join(wide.withColumn("__scored", F.lit(True)), "trial_id", "left").join(notes, "trial_id", "left")
     return j.withColumn("trial_id", F.when(F.col("__scored"), F.col("trial_id")).otherwise(F.raise_error(F.concat(F.lit("no score of "), "trial_id")))).drop("__scored")

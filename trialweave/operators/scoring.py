@@ -140,14 +140,14 @@ def to_wide(long: DataFrame, components: tuple[str, ...]) -> DataFrame:
 def reward_profile(t: DataFrame, w: Weights | None = None) -> DataFrame:
     s = trial_scores(t, w)
     cell = lambda c: F.struct(F.col(c).alias("value"), F.when(F.col(c).isNull(), F.lit("not computed")).alias("note")).alias(c)
-    return to_long(s.select("trial_id", cell("single_turn"), cell("multi_turn")), "df-v0", "multi_turn", ("single_turn", "multi_turn"))
+    return to_long(s.select("trial_id", cell("single_turn"), cell("multi_turn")), "reward", "multi_turn", ("single_turn", "multi_turn"))
 
 
 def outcome_profile(t: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
-    return to_long(outcomes(t, similarity), "lassi", "correct")
+    return to_long(outcomes(t, similarity), "outcome", "correct")
 
 
-PROFILES: dict[str, Callable[[DataFrame], DataFrame]] = {"df-v0": reward_profile, "lassi": outcome_profile}
+PROFILES: dict[str, Callable[[DataFrame], DataFrame]] = {"reward": reward_profile, "outcome": outcome_profile}
 
 
 def score_trials(t: DataFrame, profiles: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def score_run(spark: SparkSession, run_dir: str, profiles: list[str], out: str |
     trials = io.check_keys(io.load_trials(spark, run_dir))
     long = scoring.score_trials(trials, profiles)
     tables = {"trial_components": long}
-    if "lassi" in profiles:
+    if "outcome" in profiles:
         scored = metrics.scored_trials(trials, long)
         tables |= {"metrics": metrics.metric_rows(scored, reference), "stage_reached": metrics.stage_reached(scored), "corrections": metrics.corrections(scored)}
     if out:

@@ -16,8 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-# Magic, version, dtype codes with item sizes.
-MAGIC, VERSION = b"LASSIIO\0", 1
+#: The magic of files that this package writes; files of other writers are read by giving theirs.
+MAGIC = b"TWARRAY\0"
+# Version, dtype codes with item sizes.
+VERSION = 1
 DTYPES = {"f32": (1, 4), "f16": (2, 2), "bf16": (3, 2), "i32": (4, 4), "u32": (5, 4), "i8": (6, 1), "u8": (7, 1), "i64": (8, 8), "f64": (9, 8)}
 NUMPY = {"f32": "<f4", "f16": "<f2", "bf16": "<u2", "i32": "<i4", "u32": "<u4", "i8": "i1", "u8": "u1", "i64": "<i8", "f64": "<f8"}
 FLOATS = ("f32", "f16", "bf16", "f64")
@@ -32,7 +34,7 @@ class NamedArray:
     data: bytes
 
 
-def encode(a: NamedArray) -> bytes:
+def encode(a: NamedArray, magic: bytes = MAGIC) -> bytes:
     if a.dtype not in DTYPES:
         raise ValueError(f"unknown dtype {a.dtype}")
     code, size = DTYPES[a.dtype]
@@ -41,11 +43,11 @@ def encode(a: NamedArray) -> bytes:
     name = a.name.encode("ascii", "replace")
     if not NAME.fullmatch(name):
         raise ValueError("bad name")
-    head = MAGIC + struct.pack(f"<III{len(a.shape)}QI", VERSION, code, len(a.shape), *a.shape, len(name)) + name
+    head = magic + struct.pack(f"<III{len(a.shape)}QI", VERSION, code, len(a.shape), *a.shape, len(name)) + name
     return head + b"\0" * (-len(head) % 8) + a.data
 
 
-def decode(raw: bytes) -> NamedArray:
+def decode(raw: bytes, magic: bytes = MAGIC) -> NamedArray:
     at = 0
 
     def take(n: int, what: str) -> bytes:
@@ -55,7 +57,7 @@ def decode(raw: bytes) -> NamedArray:
         at += n
         return raw[at - n : at]
 
-    if take(8, "magic") != MAGIC:
+    if take(8, "magic") != magic:
         raise ValueError("bad magic")
     version, code, rank = struct.unpack("<III", take(12, "header"))
     dtype = next((d for d, (c, _) in DTYPES.items() if c == code), None)
@@ -87,7 +89,7 @@ def ordered_keys(dtype: str, data: bytes) -> np.ndarray:
     return np.where(u >> np.uint64(bits - 1) > 0, -magnitude, magnitude)
 
 
-def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+def read_arrays(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFrame:
     """(path, name, dtype, shape, data, problem) of every file under a path; a file that can't be read has a problem."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
@@ -96,7 +98,7 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for p, raw in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    a = decode(bytes(raw))
+                    a = decode(bytes(raw), magic)
                     out.append((p, a.name, a.dtype, list(a.shape), a.data, None))
                 except ValueError as e:
                     out.append((p, None, None, None, None, str(e)))
