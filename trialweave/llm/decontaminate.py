@@ -23,7 +23,6 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from trialweave.llm._common import inside, rolling, split_words, word_hashes
 from trialweave.llm.token_files import slices
@@ -155,7 +154,20 @@ def find_items(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOL
     return reduce(DataFrame.unionByName, scans) if scans else spark.createDataFrame([], ROWS)
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
-    bad = find_items(docs, items, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The documents that contain no item, with all their columns: a filter where they are read, so no document moves."""
+    spark = docs.sparkSession
+
+    def left(docs: DataFrame, index: ItemIndex) -> DataFrame:
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches):
+            for batch in batches:
+                for piece in slices(batch, "text"):
+                    keep = np.ones(piece.num_rows, bool)
+                    keep[[text for text, _, _ in shared.value.hits(*shingles(piece["text"]))]] = False
+                    yield piece.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return reduce(left, item_blocks(items.select("item_id", "text"), block_shingles, threshold), docs)
