@@ -1,4 +1,4 @@
-"""Connected components by least labels with pointer jumping, each round written to the shared folder."""
+"""Connected components by contraction, each round written to the shared folder."""
 
 from __future__ import annotations
 
@@ -11,17 +11,27 @@ from trialweave.llm._common import written
 def components(links: DataFrame) -> DataFrame:
     """(v, label) for every vertex of ``links`` (a, b): label is the least vertex that it is connected with.
 
-    A round takes the least label of all neighbours (aggregated before the shuffle), then the label's own label, so
-    the number of rounds grows with the logarithm of the longest path. Vertices may be of any type that has an order.
+    In each round every vertex goes over to the first of itself and its neighbours in an order: in the first round by
+    value, which contracts stars around their least vertex at once, then by a hash of the round, so that no input makes
+    long chains. Edges within a vertex go, equal edges become one, and a hub's neighbours are aggregated before the
+    shuffle. Edges shrink by a share in each round, so all rounds together read a few times the links, and their
+    number grows with the logarithm of the vertices. Vertices may be of any type that has an order.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels["v"] == near["a"]).select("v", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        new = written(new)
-        up = new.select(F.col("v").alias("w"), F.col("label").alias("up"))
-        labels = written(new.join(up, new["label"] == up["w"], "left").select("v", F.least("label", F.coalesce("up", "label")).alias("label"), (F.least("label", F.coalesce("up", "label")) != F.col("old")).alias("moved")))
-        if not labels.where("moved").limit(1).count():
-            return labels.select("v", "label")
-        labels = labels.select("v", "label")
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").groupBy("a", "b").agg(F.lit(1).alias("x")).drop("x")
+    edges = written(edges)
+    alone = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.lit(1).alias("x"))
+    labels = written(alone.select("v", F.col("v").alias("label")))
+    turn = 0
+    while edges.limit(1).count():
+        order = (lambda c: F.lit(0)) if turn == 0 else (lambda c, turn=turn: F.xxhash64(c, F.lit(turn)))
+        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
+        first = both.groupBy("v").agg(F.min(F.struct(order(F.col("u")).alias("o"), F.col("u").alias("u"))).alias("n"))
+        mine = F.struct(order(F.col("v")).alias("o"), F.col("v").alias("u"))
+        to = written(first.select(F.col("v").alias("from"), F.least(mine, F.col("n"))["u"].alias("to")))
+        ta, tb = to.select(F.col("from").alias("fa"), F.col("to").alias("ta")), to.select(F.col("from").alias("fb"), F.col("to").alias("tb"))
+        moved = edges.join(ta, F.col("a") == F.col("fa")).join(tb, F.col("b") == F.col("fb")).where("ta <> tb")
+        edges = written(moved.groupBy(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).agg(F.lit(1).alias("x")).drop("x"))
+        labels = written(labels.join(to, F.col("label") == F.col("from"), "left").select("v", F.coalesce("to", "label").alias("label")))
+        turn += 1
+    least = labels.groupBy("label").agg(F.min("v").alias("least"))
+    return labels.join(least, "label").select("v", F.col("least").alias("label"))
