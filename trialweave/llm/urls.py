@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm._common import written
+
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Words that name what is to be blocked.
 SEEDS = ("adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "lottery", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
@@ -64,7 +66,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def page_words(html: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of all pages' visible texts, with their counts over all pages."""
+    """The most frequent words of all pages' visible texts, at most ``vocabulary``, with their counts over all pages."""
 
     def run(batches):
         count: Counter = Counter()
@@ -77,7 +79,14 @@ def page_words(html: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int]:
         yield _counts(count)
 
     total = html.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in total.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
+    total = written(total.where(F.length("word") <= LONGEST).withColumn("step", F.floor(16 * F.log2(F.col("n").cast("double")))))
+    # Steps of frequency, at most 1,024, from the top as long as their words fit; so no task sends its own top words.
+    least, room = None, vocabulary
+    for r in sorted(total.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        if r["words"] > room:
+            break
+        least, room = r["step"], room - r["words"]
+    return {} if least is None else {r["word"]: r["n"] for r in total.where(F.col("step") >= least).select("word", "n").collect()}
 
 
 def _counts(count: Counter) -> pa.RecordBatch:
