@@ -487,3 +487,26 @@ def test_quality_messy(spark, messy, empty):
     assert quality.classify(messy, labels.where("false").drop("text")).where("kept and score = 0.5").count() == messy.count()
     assert quality.keep(messy, labels.where("false").drop("text")).count() == messy.count()
     assert quality.classify(empty, labels.drop("text")).count() == 0
+
+
+def test_quality_combines_both_views_at_every_size(spark):
+    """Here only the source tells good from bad; and two bad labels are too few for folds."""
+    docs = spark.createDataFrame([(i, f"the same words {i % 7}", "en", "spam" if i % 3 == 0 else "news", 16) for i in range(90)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    got = quality.classify(docs, labels).collect()
+    assert all(r["kept"] == (r["doc_id"] % 3 != 0) for r in got)
+    few = quality.train(docs, labels.where("doc_id % 3 <> 0 or doc_id < 6"))
+    assert few.calibration.tolist() == [0, 0.5, 0.5]
+    small = quality.train(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
+    assert small.calibration[1] != 0 and small.calibration[2] != 0
+
+
+def test_quality_folds():
+    ids, known = [*range(40), 3, 3], np.arange(42) < 60
+    good = np.array([i % 4 != 0 for i in ids])
+    known[[1, 2]] = False
+    got = quality.folds(ids, good, known)
+    assert got[[1, 2]].tolist() == [-1, -1] and got[3] == got[40] == got[41]
+    for k in (True, False):  # each kind in each fold
+        assert set(got[known & (good == k)]) == set(range(quality.FOLDS))
+    assert set(quality.folds(ids[:16], good[:16], known[:16])) == {0, -1}

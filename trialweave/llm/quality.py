@@ -4,8 +4,10 @@ A document is good if its labels say quality 1 and not toxic. The text view sees
 document's words point to bad documents, from document frequencies in the training texts, leaving out the document
 itself while training) and its shape (length, variety, shares of symbols, capitals, digits, line feeds, mean word
 length). The metadata view sees source, language and length class. Both are logistic models. In each round each view
-labels the unlabelled pool and hands its most confident labels to the other view; then both are trained again. At the end
-a calibration part of the labelled rows, which no view trained on, fits one logistic model over both views' log-odds.
+labels the unlabelled pool and hands its most confident labels, as many of each kind as the labels' shares say, to the
+other view; then both are trained again. One logistic model over both views' log-odds gives the score. It is fitted at
+every size over all labelled rows: these are dealt, each kind evenly, into five folds, and each row's log-odds come from
+views that were co-trained without the labels of its fold. Then both views are co-trained with all labels.
 
 Training uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, those of the least hashes of
 doc_id; the model is of fixed size (2**18 word buckets, 512 metadata buckets). Every document is scored over its whole
@@ -13,6 +15,7 @@ text.
 
 Defined cases: null texts count as empty and null metadata as a value of its own; several label rows of a document count
 as the worst of them, a null label as not bad; without labels of both kinds every document is kept with score 0.5;
+with fewer than five labelled documents of a kind there are no folds, and the score is of the mean of both log-odds;
 repeated rows are scored each; an empty table gives no rows. ``keep`` hands on all columns, whatever their names.
 """
 
@@ -31,6 +34,7 @@ from trialweave.llm.token_files import slices
 WORDS, META = 1 << 18, 512
 MAX_LABELLED, MAX_POOL = 8000, 3000
 ROUNDS, CONFIDENT, SHARE = 3, 0.97, 0.1
+FOLDS = 5
 SHAPE = 8
 SCORED = "doc_id long, p_text double, p_page double, score double, kept boolean"
 
@@ -66,19 +70,21 @@ def _counted(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (total[ends[1:]] - total[ends[:-1]]).astype(float)
 
 
-def evidence(strength: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The word evidence of each text, from the strength of each of its words."""
+def evidence(strength: np.ndarray, off: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+    """The word evidence of each text, from the strength of each of its words, which occur ``count`` times."""
+    count = np.ones(len(strength)) if count is None else count.astype(float)
     n, full = len(off) - 1, np.flatnonzero(np.diff(off) > 0)
-    top, many = np.zeros(n), np.zeros(n)
+    top, many, size = np.zeros(n), np.zeros(n), np.ones(n)
     if len(full):
         top[full] = np.maximum.reduceat(strength, off[:-1][full])
-        many[full] = np.add.reduceat((strength > 2).astype(float), off[:-1][full])
-    return np.stack([top, np.log1p(many), many / np.maximum(np.diff(off), 1)], axis=1)
+        many[full] = np.add.reduceat((strength > 2) * count, off[:-1][full])
+        size[full] = np.add.reduceat(count, off[:-1][full])
+    return np.stack([top, np.log1p(many), many / size], axis=1)
 
 
 def strengths(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
     """Log ratio of document frequencies in bad and good texts; 0 for words of fewer than two bad texts."""
-    s = np.log(np.maximum(bad - 0.5, 0.5) / max(n_bad, 1)) - np.log((good + 0.5) / max(n_good, 1))
+    s = np.log(np.maximum(bad - 0.5, 0.5) / np.maximum(n_bad, 1)) - np.log((good + 0.5) / np.maximum(n_good, 1))
     return np.where(bad >= 2, np.maximum(s, 0), 0)
 
 
@@ -107,29 +113,32 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 class TextView:
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], shape: np.ndarray, good: np.ndarray) -> TextView:
-        bad_n, good_n = np.zeros(WORDS), np.zeros(WORDS)
-        for (words, _), g in zip(docs, good, strict=True):
-            (good_n if g else bad_n)[words] += 1
+        words, count, off = _joined(docs)
+        g = np.repeat(good, np.diff(off))
+        bad_n, good_n = (np.bincount(words[k], minlength=WORDS).astype(float) for k in (~g, g))
         n_bad, n_good = float((~good).sum()), float(good.sum())
-        rows = []
-        for (words, count), g in zip(docs, good, strict=True):  # a text is no evidence for itself
-            s = strengths(bad_n[words] - (not g), good_n[words] - g, n_bad - (not g), n_good - g)
-            rows.append(evidence(np.repeat(s, count), np.array([0, count.sum()]))[0])
+        s = strengths(bad_n[words] - ~g, good_n[words] - g, n_bad - ~g, n_good - g)  # a text is no evidence for itself
         self.strength = strengths(bad_n, good_n, n_bad, n_good).astype(np.float32)
         self.mean, self.std = shape.mean(axis=0), shape.std(axis=0) + 1e-6
-        self.w = logistic(self._x(shape, np.array(rows).reshape(-1, 3)), good.astype(float))
+        self.w = logistic(self._x(shape, evidence(s, off, count)), good.astype(float))
         return self
 
     def _x(self, shape: np.ndarray, words: np.ndarray) -> np.ndarray:
         z = np.clip((shape - self.mean) / self.std, -6, 6)
         return np.concatenate([np.ones((len(z), 1)), z, z**2, words, (words[:, :1] > 3.5), (words[:, :1] > 5)], axis=1)
 
-    def logit(self, shape: np.ndarray, at: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return self._x(shape, evidence(self.strength[at].astype(float), off)) @ self.w
+    def logit(self, shape: np.ndarray, at: np.ndarray, off: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+        return self._x(shape, evidence(self.strength[at].astype(float), off, count)) @ self.w
 
     def logits_of(self, docs, shape) -> np.ndarray:
-        at = np.concatenate([np.repeat(w, c) for w, c in docs] or [np.zeros(0, np.int64)])
-        return self.logit(shape, at, np.concatenate([[0], np.cumsum([int(c.sum()) for _, c in docs])]).astype(np.int64))
+        words, count, off = _joined(docs)
+        return self.logit(shape, words, off, count)
+
+
+def _joined(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' distinct words in a row, their counts, and where each text begins."""
+    words, count = (np.concatenate([d[i] for d in docs] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    return words, count, np.concatenate([[0], np.cumsum([len(w) for w, _ in docs])]).astype(np.int64)
 
 
 class MetaView:
@@ -152,27 +161,53 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def folds(ids: list[int], good: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The fold of each labelled row, rows of a document in one; -1 for the pool, 0 for all where a kind has too few."""
+    out = np.where(known, 0, -1)
+    kinds = [sorted({ids[i] for i in np.flatnonzero(known & (good == k))}, key=lambda d: (xxhash.xxh3_64_intdigest(str(d)), d)) for k in (True, False)]
+    if min(map(len, kinds)) >= FOLDS:
+        fold = {d: n % FOLDS for kind in kinds for n, d in enumerate(kind)}
+        out[known] = [fold[ids[i]] for i in np.flatnonzero(known)]
+    return out
+
+
 class CoTrained:
     """Both views and their combination."""
 
-    def __init__(self, docs, shape, meta, good, known, rounds: int = ROUNDS):
-        """``known``: 2 calibration, 1 labelled, 0 pool."""
-        train, pool, hold = (np.flatnonzero(known == k) for k in (1, 0, 2))
+    def __init__(self, docs, shape, meta, good, fold, rounds: int = ROUNDS):
+        """``fold``: see ``folds``."""
+        labelled, pool = np.flatnonzero(fold >= 0), np.flatnonzero(fold < 0)
+        self.calibration = np.array([0.0, 0.5, 0.5])
+        if fold.max() > 0:
+            z = np.zeros((len(fold), 3))
+            for k in range(FOLDS):
+                hold = np.flatnonzero(fold == k)
+                text, page = self._views(docs, shape, meta, good, labelled[fold[labelled] != k], pool, rounds)
+                z[hold] = self._both(text.logits_of([docs[i] for i in hold], shape[hold]), page.logit(meta[hold]))
+            self.calibration = logistic(z[labelled], good[labelled].astype(float), 0.1)
+        self.text, self.meta = self._views(docs, shape, meta, good, labelled, pool, rounds)
+
+    @staticmethod
+    def _views(docs, shape, meta, good, train, pool, rounds: int) -> tuple[TextView, MetaView]:
+        """Co-train on the rows ``train`` and ``pool``."""
         extra: list[dict[int, bool]] = [{}, {}]  # for the text view, for the metadata view
         for r in range(rounds + 1):
             rows = [np.concatenate([train, np.array(sorted(e), np.int64)]) for e in extra]
             said = [np.concatenate([good[train], np.array([e[i] for i in sorted(e)], bool)]) for e in extra]
-            self.text = TextView().fit([docs[i] for i in rows[0]], shape[rows[0]], said[0])
-            self.meta = MetaView().fit(meta[rows[1]], said[1])
+            text, page = TextView().fit([docs[i] for i in rows[0]], shape[rows[0]], said[0]), MetaView().fit(meta[rows[1]], said[1])
             if r == rounds or not len(pool):
                 break
-            p = [sigmoid(self.text.logits_of([docs[i] for i in pool], shape[pool])), sigmoid(self.meta.logit(meta[pool]))]
+            p = [sigmoid(text.logits_of([docs[i] for i in pool], shape[pool])), sigmoid(page.logit(meta[pool]))]
             for teacher, pupil in ((0, 1), (1, 0)):
-                sure = np.maximum(p[teacher], 1 - p[teacher])
-                best = np.argsort(-sure, kind="stable")[: int(SHARE * len(pool))]
-                extra[pupil] |= {int(pool[i]): bool(p[teacher][i] > 0.5) for i in best if sure[i] >= CONFIDENT and int(pool[i]) not in extra[pupil]}
-        z = self._both(self.text.logits_of([docs[i] for i in hold], shape[hold]), self.meta.logit(meta[hold]))
-        self.calibration = logistic(z, good[hold].astype(float), 0.1) if 0 < good[hold].sum() < len(hold) else np.array([0.0, 1.0, 0.0])
+                new = np.array([int(i) not in extra[pupil] for i in pool])
+                sure = [np.flatnonzero(new & (x >= CONFIDENT)) for x in (1 - p[teacher], p[teacher])]
+                share = [1 - good[train].mean(), good[train].mean()]
+                # Labels of one kind alone would shift the pupil, so both kinds come in the shares they have.
+                n = min(SHARE * len(pool), *(len(i) / s for i, s in zip(sure, share, strict=True)))
+                for k in (0, 1):
+                    best = sure[k][np.argsort(-np.abs(p[teacher][sure[k]] - 0.5), kind="stable")][: int(n * share[k])]
+                    extra[pupil] |= {int(pool[i]): bool(k) for i in best}
+        return text, page
 
     @staticmethod
     def _both(text: np.ndarray, meta: np.ndarray) -> np.ndarray:
@@ -208,13 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     good_, known = (np.array(got[c].to_pylist(), bool) for c in ("good", "known"))
     if not (good_ & known).any() or not (~good_ & known).any():
         return None
-    ids = np.array([xxhash.xxh3_64_intdigest(str(i)) % 5 for i in got["doc_id"].to_pylist()])
-    part = np.where(known, np.where((ids == 0) & (known.sum() >= 500), 2, 1), 0)
-    for k in (True, False):  # each kind must be among the training rows
-        if not ((part == 1) & (good_ == k)).any():
-            part = np.where(known, 1, 0)
+    fold = folds(got["doc_id"].to_pylist(), good_, known)
     pairs = [(np.frombuffer(w, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(np.int64)) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist(), strict=True)]
-    return CoTrained(pairs, np.array(got["shape"].to_pylist()).reshape(-1, SHAPE), np.array(got["meta"].to_pylist(), np.int64).reshape(-1, 3), good_, part, rounds)
+    return CoTrained(pairs, np.array(got["shape"].to_pylist()).reshape(-1, SHAPE), np.array(got["meta"].to_pylist(), np.int64).reshape(-1, 3), good_, fold, rounds)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
