@@ -411,6 +411,15 @@ def test_urls(spark):
     assert urls.judge(df.withColumn("url", F.lit(None).cast("string"))).where("verdict = 'allow'").count() == len(rows)
 
 
+def test_no_word_is_left_out(spark):
+    """60,000 words of one frequency are all words, and so is a rare one beside frequent ones."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    flat = [f"qz{letters[i // 676 % 26]}{letters[i // 26 % 26]}{letters[i % 26]}{letters[i // 17576]}" for i in range(60_000)]
+    rows = [(0, "http://qzabcabet.example.com/", " ".join(flat)), (1, "http://aiqubet.example.com/", "aiqu " + "the " * 50), (2, "http://a.example.com/", None)]
+    got = {r["page_id"]: r["tokens"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "qzabca" in flat and got[0][:2] == ["h:qzabca", "h:bet"] and got[1][:2] == ["h:aiqu", "h:bet"]
+
+
 def test_segmenter_is_the_best_split():
     s = urls.Segmenter({"free": 50, "bets": 5, "be": 90, "ts": 2, "fr": 1, "ee": 1})
     assert s.split("freebets") == ("free", "bets")

@@ -1,7 +1,9 @@
 """URL filters: rules first, else host word segmentation and multinomial naive Bayes.
 
-A unigram Viterbi search splits the labels of a host into words. Its words are the ``vocabulary`` most frequent ones of
-all pages' texts, counted over all pages, and the seed words; other letters cost more the longer they run. The Bayes
+A unigram Viterbi search splits the labels of a host into words. Its words are those of all pages' texts, counted over
+all pages, up to 24 letters long, and the seed words; other letters cost more the longer they run. No word is left out:
+pages are dealt out to groups, each group asks for all substrings of its hosts once, and gets the counts of those that
+are words. The Bayes
 model learns over segmented host and path tokens, hashed into 65,536 buckets, of all pages: those with a seed word among
 their tokens stand for what is to be blocked, the others for what is not. So it also weighs what goes along with seeds.
 (Rules can't serve as examples: they go by top-level domain and language, and would teach the model just these.)
@@ -23,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import written
+from trialweave.llm._common import groups_for, in_groups, written
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Words that name what is to be blocked.
 SEEDS = ("adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "lottery", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-VOCABULARY, LONGEST, BUCKETS, SEED_WEIGHT = 50_000, 24, 1 << 16, 4.0
+LONGEST, BUCKETS, SEED_WEIGHT = 24, 1 << 16, 4.0
 JUDGED = "page_id long, host string, path string, rule string, verdict string, tokens array<string>, log_odds double"
 
 
@@ -65,8 +67,8 @@ TAG, SKIP = re.compile(r"<[^>]*>"), re.compile(r"<(script|style)\b.*?</\1\s*>",
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def page_words(html: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of all pages' visible texts, at most ``vocabulary``, with their counts over all pages."""
+def page_words(html: DataFrame) -> DataFrame:
+    """The words (word, n) of all pages' visible texts, up to the longest that is looked for, with their counts."""
 
     def run(batches):
         count: Counter = Counter()
@@ -78,15 +80,35 @@ def page_words(html: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int]:
                     count = Counter()
         yield _counts(count)
 
-    total = html.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = written(total.where(F.length("word") <= LONGEST).withColumn("step", F.floor(16 * F.log2(F.col("n").cast("double")))))
-    # Steps of frequency, at most 1,024, from the top as long as their words fit; so no task sends its own top words.
-    least, room = None, vocabulary
-    for r in sorted(total.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
-        if r["words"] > room:
-            break
-        least, room = r["step"], room - r["words"]
-    return {} if least is None else {r["word"]: r["n"] for r in total.where(F.col("step") >= least).select("word", "n").collect()}
+    total = html.select("html").mapInArrow(run, "word string, n long").where(F.length("word") <= LONGEST)
+    return written(total.groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def asked_words(urls: DataFrame) -> DataFrame:
+    """The substrings (g, word) of the hosts of each group g that may be words."""
+
+    def run(batches):
+        seen: set[tuple[int, str]] = set()
+        for batch in batches:
+            for g, host in set(zip(batch["g"].to_pylist(), batch["host"].to_pylist(), strict=True)):
+                for chunk in runs_of(host):
+                    for i in range(len(chunk)):
+                        seen.update((g, chunk[i:j]) for j in range(i + 1, min(len(chunk), i + LONGEST) + 1))
+                        if len(seen) > 200_000:
+                            yield _asked(seen)
+                            seen = set()
+        yield _asked(seen)
+
+    return urls.select("g", "host").mapInArrow(run, "g int, word string").distinct()
+
+
+def _asked(seen: set[tuple[int, str]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([g for g, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.string())], names=["g", "word"])
+
+
+def runs_of(host: str) -> list[str]:
+    """The runs of digits and of other characters in the labels of a host."""
+    return [chunk for label in re.split(r"[.\-_:@]+", host) if label for chunk in re.findall(r"\d+|\D+", label)]
 
 
 def _counts(count: Counter) -> pa.RecordBatch:
@@ -94,10 +116,10 @@ def _counts(count: Counter) -> pa.RecordBatch:
 
 
 class Segmenter:
-    """Viterbi over a unigram model."""
+    """Viterbi over a unigram model; ``total`` counts all words where ``words`` are only some of them."""
 
-    def __init__(self, words: dict[str, int]):
-        total = sum(words.values()) or 1
+    def __init__(self, words: dict[str, int], total: int | None = None):
+        total = total or sum(words.values()) or 1
         self.score = {w: log10(n / total) for w, n in words.items()}
         self.unknown = log10(1 / total) - 1
         self.split = lru_cache(maxsize=100_000)(self._split)
@@ -120,7 +142,7 @@ class Segmenter:
         self.score |= {w: max(score, self.score.get(w, score)) for w in words}
 
     def tokens(self, host: str, path: str) -> list[str]:
-        out = [f"h:{w}" for label in re.split(r"[.\-_:@]+", host) if label for chunk in re.findall(r"\d+|\D+", label) for w in (self.split(chunk[:256]) if len(chunk) <= 256 else (chunk,))]
+        out = [f"h:{w}" for chunk in runs_of(host) for w in (self.split(chunk[:256]) if len(chunk) <= 256 else (chunk,))]
         out += [f"p:{'#' if t.isdigit() else t}" for t in re.findall(r"[^\W_]+", path.lower())]
         return out
 
@@ -147,25 +169,28 @@ class Bayes:
         return float(self.prior + sum(self.weight[_bucket(t)] for t in tokens))
 
 
-def judge(pages: DataFrame, rules: dict[str, str] | None = None, *, seeds: tuple[str, ...] = SEEDS, vocabulary: int = VOCABULARY) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str] | None = None, *, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """Judge every page (page_id, url, html): host, path, rule, verdict, tokens, log_odds (block against allow)."""
     fixed = Rules(RULES if rules is None else rules)
-    cut = Segmenter(page_words(pages, vocabulary))
-    cut.add(seeds)
     bad = {f"{side}:{w}" for side in "hp" for w in seeds}
-    words = pages.sparkSession.sparkContext.broadcast(cut.score | {"": cut.unknown})
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    words = page_words(pages)
+    total = words.agg(F.sum("n")).first()[0]
+    urls = pages.select("page_id", "url")
+    urls = in_groups(urls, groups_for(urls), "page_id", "url").select("g", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    known = asked_words(urls).join(words, "word")
 
-    def segmenter() -> Segmenter:
-        out = Segmenter({})
-        out.score, out.unknown = words.value, words.value[""]
-        return out
+    def cut(key, table, words):
+        seg = Segmenter(dict(zip(words["word"].to_pylist(), words["n"].to_pylist(), strict=True)), total)
+        seg.add(seeds)
+        tokens = [seg.tokens(h, p) for h, p in zip(table["host"].to_pylist(), table["path"].to_pylist(), strict=True)]
+        return table.select(["page_id", "host", "path"]).append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
+
+    urls = written(urls.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(cut, "page_id long, host string, path string, tokens array<string>"))
 
     def count(batches):
-        seg, tokens, n = segmenter(), Counter(), Counter()
+        tokens, n = Counter(), Counter()
         for batch in batches:
-            for host, path in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True):
-                found = seg.tokens(host, path)
+            for found in batch["tokens"].to_pylist():
                 side = "allow" if bad.isdisjoint(found) else "block"
                 n[side, -1] += 1
                 tokens.update((side, _bucket(t)) for t in found)
@@ -173,7 +198,7 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, *, seeds: tuple
         yield pa.record_batch([pa.array([k[0] for k in both], pa.string()), pa.array([k[1] for k in both], pa.int32()), pa.array(list(both.values()), pa.int64())], names=["verdict", "bucket", "n"])
 
     # At most 65,537 rows a verdict.
-    rows = urls.mapInArrow(count, "verdict string, bucket int, n long").groupBy("verdict", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = urls.select("tokens").mapInArrow(count, "verdict string, bucket int, n long").groupBy("verdict", "bucket").agg(F.sum("n").alias("n")).collect()
     counts: dict[str, np.ndarray] = {}
     for r in rows:
         if r["bucket"] >= 0:
@@ -181,12 +206,10 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, *, seeds: tuple
     model = pages.sparkSession.sparkContext.broadcast(Bayes(counts, {r["verdict"]: r["n"] for r in rows if r["bucket"] < 0}, bad))
 
     def run(batches):
-        seg = segmenter()
         for batch in batches:
             out = []
-            for host, path in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True):
-                r, tokens = fixed.find(host, path), seg.tokens(host, path)
-                odds = model.value.log_odds(tokens)
+            for host, path, tokens in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
+                r, odds = fixed.find(host, path), model.value.log_odds(tokens)
                 out.append((r, fixed.verdict[r] if r else "block" if odds > 0 else "allow", tokens, odds))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.float64()]
