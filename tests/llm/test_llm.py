@@ -420,6 +420,11 @@ def test_no_word_is_left_out(spark):
     assert "qzabca" in flat and got[0][:2] == ["h:qzabca", "h:bet"] and got[1][:2] == ["h:aiqu", "h:bet"]
 
 
+def test_long_runs_are_split():
+    s = urls.Segmenter({"the": 50, "casino": 5})
+    assert s.tokens("the" * 200 + "casino.com", "")[:201] == ["h:the"] * 200 + ["h:casino"]
+
+
 def test_segmenter_is_the_best_split():
     s = urls.Segmenter({"free": 50, "bets": 5, "be": 90, "ts": 2, "fr": 1, "ee": 1})
     assert s.split("freebets") == ("free", "bets")

@@ -142,7 +142,7 @@ class Segmenter:
         self.score |= {w: max(score, self.score.get(w, score)) for w in words}
 
     def tokens(self, host: str, path: str) -> list[str]:
-        out = [f"h:{w}" for chunk in runs_of(host) for w in (self.split(chunk[:256]) if len(chunk) <= 256 else (chunk,))]
+        out = [f"h:{w}" for chunk in runs_of(host) for w in (self.split if len(chunk) <= 256 else self._split)(chunk)]
         out += [f"p:{'#' if t.isdigit() else t}" for t in re.findall(r"[^\W_]+", path.lower())]
         return out
 
