@@ -524,3 +524,10 @@ def test_quality_folds():
     for k in (True, False):  # each kind in each fold
         assert set(got[known & (good == k)]) == set(range(quality.FOLDS))
     assert set(quality.folds(ids[:16], good[:16], known[:16])) == {0, -1}
+
+
+def test_quality_pool_is_of_unlabelled_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CoTrained", lambda docs, shape, meta, good, fold, rounds: fold)
+    docs = spark.createDataFrame([(i, f"some words {i}", "en", "a", 12) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert [int((quality.train(docs, labels, max_pool=n) < 0).sum()) for n in (30, 50)] == [30, 40]

@@ -10,7 +10,7 @@ every size over all labelled rows: these are dealt, each kind evenly, into five
 views that were co-trained without the labels of its fold. Then both views are co-trained with all labels.
 
 Training uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, those of the least hashes of
-doc_id; the model is of fixed size (2**18 word buckets, 512 metadata buckets). Every document is scored over its whole
+doc_id among the labelled and among the unlabelled; the model is of fixed size (2**18 word buckets, 512 metadata buckets). Every document is scored over its whole
 text.
 
 Defined cases: null texts count as empty and null metadata as a value of its own; several label rows of a document count
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     good = ~F.coalesce((F.col("quality") == 0) | (F.col("toxic") != 0), F.lit(False))
     y = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
     labelled = y.orderBy(order, "doc_id").limit(max_labelled).select("doc_id", "good", F.lit(True).alias("known"))
-    pool = docs.select("doc_id").where("doc_id is not null").orderBy(order, "doc_id").limit(max_pool).join(y, "doc_id", "left_anti").select("doc_id", F.lit(False).alias("good"), F.lit(False).alias("known"))
+    pool = docs.select("doc_id").where("doc_id is not null").join(y, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(max_pool).select("doc_id", F.lit(False).alias("good"), F.lit(False).alias("known"))
     # At most max_labelled + max_pool rows of 10 bytes.
     wanted = F.broadcast(labelled.unionByName(pool).dropDuplicates(["doc_id"]))
     rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(wanted, "doc_id")
