@@ -451,6 +451,13 @@ def test_encode_equals_whole_texts():
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)] if texts else not len(ids)
 
     check()
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = [f"{a}{m} x{a}{m}. {a}{m}{a}, ={m}" for a in letters for m in marks]
+    rng = random.Random(4)
+    texts += ["".join(rng.choice(letters) + rng.choice([*marks, "", "", ""]) for _ in range(8)) + rng.choice([".", "'s", "<|endoftext|>", "<|ENDOFTEXT|>"]) for _ in range(4000)]
+    ids, n = token_files.encode(pa.array(texts), path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_files(spark, messy, empty, tmp_path):

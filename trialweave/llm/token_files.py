@@ -21,7 +21,6 @@ import re
 import uuid
 import zlib
 from array import array
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -50,29 +49,32 @@ def _tokenizer(path: str):
     return tok, {}, _is_byte_level(tok)
 
 
+_SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: A word that ends in a letter or digit and then ASCII punctuation (no apostrophe, no sign of a special token): two pretokens at least.
-_TAIL = re.compile(rb"(.*[0-9A-Za-z])([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)", re.S)
+_TAIL = re.compile(rb"(.*[0-9A-Za-z])([" + re.escape(_SIGNS) + rb"]+)", re.S)
+_ENDS = frozenset(_SIGNS)
 
-
-#: Words that normalising leaves as they are and that are one pretoken each: their byte-level form goes straight to the model.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+|[!\"#$%&()*+,\\-./:;=?@\\[\\\\\\]^_`{}~]+")
+#: Words that normalising leaves as they are and that are one pretoken each, beside a-z: their byte-level form goes straight to the model.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
 def _is_byte_level(tok) -> bool:
-    """Whether the tokenizer is of the kind that _PLAIN is right for: lower-casing, letters and other signs apart, byte level."""
+    """Whether ASCII may be lower-cased beforehand and _PLAIN is right: NFC, white space, lower case; letters and signs apart; byte level."""
     spec = json.loads(tok.to_str())
+    order = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
     steps = [str(x) for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-    return "Lowercase" in str(spec["normalizer"]) and len(steps) == 2 and "\\p{L}" in steps[0] and "ByteLevel" in steps[1] and spec["model"]["type"] == "BPE"
+    return order == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and "\\p{L}" in steps[0] and "ByteLevel" in steps[1] and spec["model"]["type"] == "BPE"
 
 
 def _encoded(tok, plain: bool, words: list[bytes]) -> dict[bytes, list[int]]:
-    out, rest, model = {}, [], tok.model
+    out, rest, tokenize = {}, [], tok.model.tokenize
     for w in words:
-        text = w.decode()
-        if plain and _PLAIN.fullmatch(text):
-            out[w] = [t.id for t in model.tokenize(text if text.isascii() else w.decode("latin-1").translate(_BYTES))]
+        if plain and w.isalpha():  # a-z alone: encode() lower-cases these
+            out[w] = [t.id for t in tokenize(w.decode())]
+        elif plain and _PLAIN.fullmatch(w.decode()):
+            out[w] = [t.id for t in tokenize(w.decode("latin-1").translate(_BYTES))]
         else:
             rest.append(w)
     for i in range(0, len(rest), 20_000):
@@ -85,30 +87,34 @@ def encode(texts, tokenizer_path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in a row, and how many each text has.
 
     Only distinct words are encoded, without the punctuation at their ends, which is encoded by itself; what comes
-    twice is kept for later. Where no text could hold a special token, A-Z are lower-cased first, as the tokenizer does.
+    twice is kept for later. Words of ASCII alone that hold no part of a special token are lower-cased first. No other
+    word is: the tokenizer composes letters with the marks that follow them before it lower-cases them.
     """
     tok, cache, plain = _tokenizer(tokenizer_path)
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
     texts = one_array(texts)
-    special = bool(pc.any(pc.match_substring(texts, "<|")).as_py())
-    words, at, off = split_words(texts, lower=not special)
+    words, at, off = split_words(texts)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
-    parts = [m.groups() if (m := _TAIL.fullmatch(w)) else (w, b"") for w in words]
-    need = Counter(p for w in parts for p in w)
-    fresh = [w for w in need if w not in cache]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-        fresh = list(need)
+    if plain:
+        words = [w.lower() if w.isascii() and b"<|" not in w else w for w in words]
+    cut = {w: m.groups() for w in words if w[-1] in _ENDS and (m := _TAIL.fullmatch(w))}
+    need = dict.fromkeys(w for w in words if w not in cut)
+    need.update(dict.fromkeys(p for pair in cut.values() for p in pair))
     small = tok.get_vocab_size() < 1 << 16
-    made = {w: array("H" if small else "I", x).tobytes() for w, x in _encoded(tok, plain, fresh).items()}
-    cache.update((w, x) for w, x in made.items() if need[w] > 1)
+    made = {w: array("H" if small else "I", x).tobytes() for w, x in _encoded(tok, plain, [w for w in need if w not in cache]).items()}
     width = "<u2" if small else "<u4"
-    made_ids = [(cache[a] if a in cache else made[a]) + (cache[b] if b in cache else made[b]) for a, b in parts]
+    ids_of = lambda p: made[p] if p in made else cache[p]
+    made_ids = [ids_of(cut[w][0]) + ids_of(cut[w][1]) if w in cut else made[w] if w in made else cache[w] for w in words]
+    twice = np.flatnonzero(np.bincount(at, minlength=len(words)) > 1).tolist()
+    cache.update((p, ids_of(p)) for i in twice for p in cut.get(words[i], words[i : i + 1]))
     n = np.fromiter(map(len, made_ids), np.int64, len(made_ids)) // int(width[2])
-    flat = np.frombuffer(b"".join(made_ids), width).astype(np.int64)
+    flat = np.frombuffer(b"".join(made_ids), width)
     first, each = np.concatenate([[0], np.cumsum(n)])[:-1], n[at]
     ends = np.cumsum(each)
-    out = flat[np.repeat(first[at] - (ends - each), each) + np.arange(int(ends[-1]))]
+    kind = np.int32 if max(len(flat), int(ends[-1])) < 1 << 31 else np.int64
+    out = flat[np.repeat((first[at] - (ends - each)).astype(kind), each) + np.arange(int(ends[-1]), dtype=kind)].astype(np.int64)
     return out, np.diff(np.concatenate([[0], ends])[off])
 
 
