@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trialweave.llm import chat, components, decontaminate, lattice, lm, mixing, near_dup, quality, substrings, token_files, urls
-from trialweave.llm._common import bucketed, inside, pack, rolling, split_words, unpack
+from trialweave.llm._common import bucketed, frame, inside, pack, pack_sorted, rolling, split_words, unframe, unpack, unpack_sorted
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -48,7 +48,7 @@ def test_rolling_and_packing():
     assert {(i, j) for i in range(len(r)) for j in range(i) if r[i] == r[j]} == same and same
     assert inside(np.array([0, 3, 3, 8]), 3).tolist() == [True, False, False, True, True, True]
     k = np.sort(bucketed(h, 7)) & np.uint64((1 << 40) - 1)
-    assert (unpack(pack(k, 5), 5) == k).all()
+    assert (unpack(pack(k, 5), 5) == k).all() and (unpack_sorted(pack_sorted(np.sort(k))) == np.sort(k)).all() and unframe(frame(b"a", b"")) == [b"a", b""]
 
 
 def test_components(spark):
@@ -68,49 +68,87 @@ def test_components(spark):
 # 1 language model
 
 
-def bigram_scores(rows):
+def walk_scores(rows):
+    """A walk through the automaton, token by token, with the state carried and failure arcs followed."""
     toks = [(i, held, [*split(t, True), None]) for i, t, held in rows]
-    c, bi, ctx = Counter(), Counter(), Counter()
+    n1, n2, n3, arcs = Counter(), Counter(), Counter(), {}
     for _, held, w in toks:
         if not held:
-            for p, x in zip(["\n", *w], w, strict=False):
-                c[x] += 1
-                bi[p, x] += 1
-                ctx[p] += 1
-    n, v, follow = sum(c.values()), len(c), Counter(p for p, _ in bi)
-    ones, twos = (sum(k == j for k in bi.values()) for j in (1, 2))
-    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+            w = ["\n", *w]
+            n1.update(w[1:])
+            n2.update(zip(w, w[1:], strict=False))
+            n3.update(zip(w, w[1:], w[2:], strict=False))
+    def d(n):
+        ones, twos = (sum(k == j for k in n.values()) for j in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    total, kinds = sum(n1.values()), len(n1)
+    unigram = lambda x: math.log10((n1[x] + 0.5) / (total + 0.5 * (kinds + 1)))
+    for n in (n2, n3):
+        context, follow, disc = Counter(), Counter(k[:-1] for k in n), d(n)
+        for k, c in n.items():
+            context[k[:-1]] += c
+        for s in context:
+            arcs[s] = [math.log10(disc * follow[s] / context[s]), {}]
+        for k, c in n.items():
+            lower = k[1:-1]
+            arcs[k[:-1]][1][k[-1]] = math.log10((c - disc) / context[k[:-1]] + 10 ** (arcs[k[:-1]][0] + weight(arcs, lower, k[-1], unigram)[0]))
     out = []
     for i, held, w in toks:
-        base = score = 0.0
-        for p, x in zip(["\n", *w], w, strict=False):
-            u = (c[x] + 0.5) / (n + 0.5 * (v + 1))
-            base += math.log10(u)
-            score += math.log10((max(bi[p, x] - d, 0) + d * follow[p] * u) / ctx[p] if ctx[p] else u)
-        out.append((i, held, len(w), sum(c[x] > 0 for x in w), n, base, score))
+        state, base, score = ("\n",), 0.0, 0.0
+        for x in w:
+            base += unigram(x)
+            got, state = weight(arcs, state, x, unigram)
+            score += got
+        out.append((i, held, len(w), sum(n1[x] > 0 for x in w), total, base, score))
     return out
 
 
+def weight(arcs, state, x, unigram):
+    """The weight of the arcs taken from a state for a word, and the state they lead to."""
+    got, at = 0.0, state
+    while at and x not in arcs.get(at, (0, {}))[1]:
+        got += arcs[at][0] if at in arcs else 0.0
+        at = at[1:]
+    got += arcs[at][1][x] if at else unigram(x)
+    to = (*state, x)[-2:] if at else (x,)
+    return got, to if to in arcs else to[1:]
+
+
 def test_lm_messy(spark, messy, empty):
     held = F.coalesce(lm.held_out_by_crc(F.col("doc_id")), F.lit(False))
     got = sorted(map(tuple, lm.score(messy, held).collect()), key=repr)
     rows = [(r["doc_id"], r["text"], r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in messy.collect()]
-    want = sorted(bigram_scores(rows), key=repr)
+    want = sorted(walk_scores(rows), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
     assert lm.score(empty, held).count() == 0
 
 
+def test_lm_repeats(spark):
+    """Few words, so that pairs and trigrams come often, in training and beside it; also over several groups."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefg") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(30)))) for i in range(120)] + [(500 + i, "p q r s t u v") for i in range(3)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    got = sorted(map(tuple, lm.score(spark.createDataFrame(rows, "doc_id long, text string"), lm.held_out_by_crc(F.col("doc_id"))).collect()))
+    want = sorted(walk_scores([(i, t, held(i)) for i, t in rows]))
+    for g, w in zip(got, want, strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
 def test_automaton_is_a_distribution():
     """From every state the probabilities of all words and the unknown one sum to 1."""
     c, tokens, kinds = np.array([5.0, 3.0, 2.0]), 10, 3
-    pair, left = np.array([2.0, 1.0, 0.0]), np.array([0, 0, 0])
-    a = lm.Automaton(c, pair, left, np.array([2.0]), np.array([3.0]), tokens, kinds, 0.6)
-    root, model = a.traverse(np.arange(3), np.zeros(3, int), np.arange(3))
+    a = lm.Automaton(c, tokens, kinds)
+    # bigrams of word 0: to word 0 twice, to word 1 once, to word 2 never
+    a.add_words(np.array([0, 0, 0]), np.array([0, 1, 2]), np.array([2, 1, 0]), np.array([2, 0, 0]), np.array([3, 0, 0]), 0.6)
+    # trigrams of the pair (0, 0): to word 1 once, to word 0 once, to word 2 never
+    a.add_pairs(np.array([0, 0, 0]), np.array([0, 1, 2]), np.array([1, 1, 0]), np.array([2.0, 0, 0]), np.array([2, 1, 0]), 0.7)
     unknown = 0.5 / (tokens + 0.5 * (kinds + 1))
-    assert (10**root).sum() + unknown == pytest.approx(1)
-    assert (10**model).sum() + 10 ** a.fail[0] * unknown == pytest.approx(1)
+    assert (10**a.root).sum() + unknown == pytest.approx(1)
+    assert (10**a.word_arc).sum() + 10 ** a.word_failure[0] * unknown == pytest.approx(1)
+    assert (10**a.pair_arc).sum() + 10 ** (a.pair_failure[0] + a.word_failure[0]) * unknown == pytest.approx(1)
 
 
 def test_lm_held_out_beats_base(spark):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import tempfile
 import uuid
 
 import numpy as np
@@ -12,13 +14,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
 #: ASCII white space that separates words, as a regular expression for Java and DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A fresh path in the folder that driver and executors share, which ``spark.checkpoint.dir`` names.
+
+    Where it is unset, only a session of one machine gets a folder of its own; a cluster has to name one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -29,19 +43,38 @@ def written(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema((df.select(*cols) if cols else df).schema).parquet(path)
 
 
+#: Plans whose size in bytes the optimizer knows: a relation, and what takes columns or rows from it.
+_SIZED = {"Project", "Filter", "LogicalRelation", "SubqueryAlias", "RepartitionByExpression", "Repartition", "Sample"}
+
+
+def _is_sized(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName().split("(")[0] in _SIZED | {"Relation"} and all(_is_sized(children.apply(i)) for i in range(children.size()))
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size of ``df`` in bytes; where it knows none, the size of its strings by a scan."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 50:
-        return size
-    text = [c for c, kind in df.dtypes if kind == "string"]
+    """The bytes of ``df``: the optimizer's size where it only takes from a stored table, else those of its strings by a scan.
+
+    A join's size is estimated as the product of its sides, so it is never asked for.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if _is_sized(plan):
+        size = int(str(plan.stats().sizeInBytes()))
+        if size < 1 << 50:
+            return size
+    text = [c for c, kind in df.dtypes if kind in ("string", "binary")]
     row = df.agg(*[F.sum(F.octet_length(c)) for c in text], F.count("*")).first()
-    return sum(x or 0 for x in row)
+    return sum(x or 0 for x in row[:-1]) + 8 * len(df.columns) * row[-1]
+
 
+def groups_for(df: DataFrame, mb: int = 8, least: int = 64, blob: int = 0) -> int:
+    """How many groups hold about ``mb`` MB of input each; grows with the input.
 
-def groups_for(df: DataFrame, mb: int = 8, least: int = 64) -> int:
-    """How many groups hold about ``mb`` MB of input each; grows with the input."""
-    return max(least, math.ceil(estimated_bytes(df) / (mb << 20)))
+    With ``blob``, groups send as many parts as there are groups: then they grow with the square root of the input, so
+    that a part has ``blob`` bytes of input at least.
+    """
+    size = estimated_bytes(df)
+    return max(least, math.ceil(size / max(mb << 20, math.isqrt(size * blob))))
 
 
 def one_array(column) -> pa.Array:
@@ -80,27 +113,36 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_STEP = 1 << 16
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
+    """base**i and base**-i modulo 2**64 for i up to n; kept while they are small."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(1 << 16, 1 << n.bit_length())
-        up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
-        have = (up, down)
-        if size <= 1 << 23:
+        size = max(2 * _STEP, n)
+        have = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+        if size == 2 * _STEP:
             _POWERS[base] = have
     return have
 
 
 def rolling(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A hash of each h[i:i+k], for all i where k values are left."""
-    if len(h) < k:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(base, len(h))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-    return mixed((total[k:] - total[:-k]) * down[: len(h) - k + 1])
+    out = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    up, down = _powers(base, min(_STEP, len(out)) + k)
+    for i in range(0, len(out), _STEP):
+        n = min(_STEP, len(out) - i)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h[i : i + n + k - 1] * up[: n + k - 1], dtype=np.uint64)])
+        out[i : i + n] = mixed((total[k:] - total[:-k]) * down[:n])
+    return out
+
+
+def released() -> None:
+    """Give back to the system what Arrow and the allocator keep: idle workers would hold it beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def inside(off: np.ndarray, k: int) -> np.ndarray:
@@ -155,12 +197,27 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Keys of 40 bits in one bucket, in order: their differences, byte plane by byte plane."""
+    keys = keys & LOW40
+    return pack(np.diff(keys, prepend=np.uint64(0)), 5)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, 5), dtype=np.uint64)
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def frame(*parts: bytes) -> bytes:
-    """Several byte strings in one."""
-    return np.array([len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
+    """Several byte strings in one, compressed."""
+    data = np.array([len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
+    return np.array([len(data)], "<u8").tobytes() + _ZSTD.compress(data, asbytes=True)
 
 
 def unframe(data: bytes) -> list[bytes]:
+    data = _ZSTD.decompress(memoryview(data)[8:], int(np.frombuffer(data, "<u8", 1)[0]), asbytes=True)
     n = int(np.frombuffer(data, "<u8", 1)[0])
     sizes = np.frombuffer(data, "<u8", n, 8)
     ends = 8 + 8 * n + np.cumsum(sizes).astype(int)
@@ -169,6 +226,8 @@ def unframe(data: bytes) -> list[bytes]:
 
 BLOB = "g int, b int, x binary"
 BLOB_TYPE = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("x", pa.binary())])
+#: The least input behind a blob, see groups_for.
+BLOB_BYTES = 16 << 10
 
 
 def _blobs(g: list[int], b: list[int], x: list[bytes]) -> pa.Table:
@@ -176,44 +235,56 @@ def _blobs(g: list[int], b: list[int], x: list[bytes]) -> pa.Table:
 
 
 def in_groups(docs: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Deal documents out to n groups by the hash of their keys, whatever their source or text."""
+    """Deal rows out to n groups by the hash of their keys."""
     return docs.withColumn("g", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartition(n, "g")
 
 
 def _reducer(reduce):
     def run(key, table):
         rows = sorted(zip(table["g"].to_pylist(), table["x"].to_pylist(), strict=True))
-        return _blobs([g for g, _ in rows], [key[0].as_py()] * len(rows), reduce([g for g, _ in rows], [x for _, x in rows]))
+        out = _blobs([g for g, _ in rows], [key[0].as_py()] * len(rows), reduce([g for g, _ in rows], [x for _, x in rows]))
+        released()
+        return out
 
     return run
 
 
-def two_rounds(t: DataFrame, n: int, emit1, reduce1, emit2, reduce2, final, schema: str) -> DataFrame:
-    """Two rounds of questions from every group of documents to n hash buckets, with answers, then a result a group.
+def in_rounds(t: DataFrame, n: int, rounds: list, final, schema: str) -> DataFrame:
+    """Rounds of questions from every group of documents to n hash buckets, with answers, then a result a group.
 
-    ``emit1(table)`` makes n blobs, one for each bucket; ``reduce1(groups, blobs)`` sees one bucket's blobs of all
-    groups and answers each with a blob; ``emit2(table, answers1)`` and ``reduce2`` do the same again;
-    ``final(table, answers1, answers2)`` makes the rows. Answers come in bucket order. A group's question names each
-    key once, so a bucket never holds more than one entry of a key from each group. The shuffled texts are one
-    exchange, read three times.
+    A round is (emit, reduce): ``emit(table, answers)`` makes n blobs, one for each bucket; ``reduce(groups, blobs)``
+    sees one bucket's blobs of all groups and answers each with a blob. ``answers`` has, for each round before, the
+    answers in bucket order; ``final(table, answers)`` makes the rows. A group's question names each key once, so a
+    bucket never holds more than one entry of a key from each group. The shuffled texts are one exchange, read once a
+    round and at the end.
     """
-
-    def first(key, table):
-        return _blobs([key[0].as_py()] * n, list(range(n)), emit1(table))
-
-    def answers(right, column):
-        order = np.argsort(right["b"].to_numpy())
-        cells = right[column].to_pylist()
-        return [cells[i] for i in order]
-
-    def second(key, table, right):
-        return _blobs([key[0].as_py()] * n, list(range(n)), emit2(table, answers(right, "x")))
-
-    def last(key, table, right):
-        return final(table, answers(right, "x1"), answers(right, "x2"))
-
-    r1 = t.groupBy("g").applyInArrow(first, BLOB).repartition(n, "b").groupBy("b").applyInArrow(_reducer(reduce1), BLOB).repartition(n, "g")
-    e2 = t.groupBy("g").cogroup(r1.groupBy("g")).applyInArrow(second, BLOB)
-    r2 = e2.repartition(n, "b").groupBy("b").applyInArrow(_reducer(reduce2), BLOB).repartition(n, "g")
-    both = r1.withColumnRenamed("x", "x1").join(r2.withColumnRenamed("x", "x2").hint("merge"), ["g", "b"])
-    return t.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(last, schema)
+    told: list[DataFrame] = []
+
+    def sorted_answers(right, k):
+        out: list[list] = [[] for _ in range(k)]
+        for _, r, x in sorted(zip(right["b"].to_pylist(), right["r"].to_pylist(), right["x"].to_pylist(), strict=True)):
+            out[r].append(x)
+        return out
+
+    def asking(emit, k):
+        if not k:
+            return lambda key, table: _blobs([key[0].as_py()] * n, list(range(n)), _tidy(emit, table, []))
+        return lambda key, table, right: _blobs([key[0].as_py()] * n, list(range(n)), _tidy(emit, table, sorted_answers(right, k)))
+
+    def answered():
+        some = [a.withColumn("r", F.lit(r)) for r, a in enumerate(told)]
+        both = some[0]
+        for a in some[1:]:
+            both = both.unionByName(a)
+        return t.groupBy("g").cogroup(both.repartition(n, "g").groupBy("g"))
+
+    for k, (emit, reduce) in enumerate(rounds):
+        asked = answered().applyInArrow(asking(emit, k), BLOB) if k else t.groupBy("g").applyInArrow(asking(emit, 0), BLOB)
+        told.append(asked.repartition(n, "b").groupBy("b").applyInArrow(_reducer(reduce), BLOB))
+    return answered().applyInArrow(lambda key, table, right: _tidy(final, table, sorted_answers(right, len(rounds))), schema)
+
+
+def _tidy(f, *args):
+    out = f(*args)
+    released()
+    return out

@@ -3,9 +3,12 @@
 Each source's documents fall into blocks by a seeded hash. A source takes its target as whole passes over all its
 blocks plus blocks in a seeded permuted order, and of the last block documents in hash order until the target is met.
 The tree splits the exact block quotas of all sources among output shards: each node draws, without replacement, how
-many blocks of each source go left. A shard's rows carry a hash as their place in its local shuffle.
+many blocks of each source go left. Each copy that a shard takes carries a hash as its place there: ``mixed_rows``
+brings a shard's rows together and orders them by place, which is the local shuffle. Shards are cut into slices by
+place, so that no task holds a whole shard.
 
-Only block totals reach the driver: at most 65,536 blocks and one row a source.
+Only block totals reach the driver: at most 65,536 blocks and one row a source. The splitting tree runs there, over
+these quotas; all rows of documents stay in SQL functions.
 
 Defined cases: null texts have size 0; a null source is a source of its own, last; sources of total size 0 have target
 0 and take nothing; repeated rows are separate documents; equal hashes are broken by doc_id; an empty table gives no
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import WORD, written
+from trialweave.llm._common import WORD, groups_for, written
 
 MAX_BLOCKS = 1 << 16
 BLOCK_WORDS = 1 << 16
@@ -28,7 +31,8 @@ FILLS = 4
 
 
 def size_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """The number of words: each becomes one letter and white space goes, so no array of words is built."""
+    return F.coalesce(F.length(F.translate(F.regexp_replace(text, WORD, "x"), " \t\n\x0b\f\r", "")), F.lit(0)).cast("long")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> dict[str | None, float]:
@@ -68,13 +72,14 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float =
     target, total = targets(size, weights, most), sum(size.values())
     unit = max(BLOCK_WORDS, -(-2 * total // MAX_BLOCKS))
     blocks = {s: 1 + n // unit for s, n in size.items()}
-    of = _table(spark, [{"s": s, "blocks": blocks[s]} for s in size], "s string, blocks int")
+    of = written(_table(spark, [{"s": s, "blocks": blocks[s]} for s in size], "s string, blocks int"))
     d = d.join(F.broadcast(of), d["source"].eqNullSafe(of["s"])).withColumn("block", _block(F.col("key"), F.col("blocks")))
     words = {(r["source"], r["block"]): r["n"] for r in d.groupBy("source", "block").agg(F.sum("size").alias("n")).collect()}
     rows = _plan(words, size, target, blocks, shards, seed)
     facts = {s: {"source_size": size[s], "target": target[s], "blocks": blocks[s]} for s in size}
-    rows += [{"s": s, "k": k, "shards": []} for s in size for k in range(blocks[s]) if (s, k) not in {(r["s"], r["k"]) for r in rows if r["s"] == s}]
-    whole = _table(spark, [r | facts[r["s"]] for r in rows], "s string, k int, shards array<int>, part long, part_shard int, source_size long, target double, blocks int")
+    have = {(r["s"], r["k"]) for r in rows}
+    rows += [{"s": s, "k": k, "shards": []} for s in size for k in range(blocks[s]) if (s, k) not in have]
+    whole = written(_table(spark, [r | facts[r["s"]] for r in rows], "s string, k int, shards array<int>, part long, part_shard int, source_size long, target double, blocks int"))
     last = whole.where("part is not null").select(F.col("s").alias("ls"), F.col("k").alias("lk"), "part")
     d = d.select("source", "block", "key", "doc_id", "size").join(F.broadcast(last), d["source"].eqNullSafe(last["ls"]) & (d["block"] == last["lk"]))
     order, block = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size"), Window.partitionBy("source", "block")
@@ -96,7 +101,7 @@ def _block(key: Column, blocks: Column) -> Column:
 
 
 def decide(docs: DataFrame, mixture: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str = "source", seed: int = 7) -> DataFrame:
-    """``docs`` with a column ``__mix``: size, source_size, target, shards (one entry for each time it is taken), place.
+    """``docs`` with a column ``__mix``: size, source_size, target, shards and places (one entry for each time it is taken).
 
     The plan has at most 65,536 blocks and one a source, so it is broadcast and no document moves.
     """
@@ -109,21 +114,29 @@ def decide(docs: DataFrame, mixture: DataFrame, size: Column, *, doc_id: str = "
     place = F.struct(key.alias("key"), F.col(doc_id).alias("doc_id"), F.col("__size").alias("size"))
     drawn = F.coalesce((place <= F.col("__upto")) | F.array_contains("__fill", place), F.lit(False)) & F.col("__part_shard").isNotNull()
     to = F.when(drawn, F.concat("__shards", F.array("__part_shard"))).otherwise(F.col("__shards"))
-    out = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), to.alias("shards"), F.xxhash64(key, F.lit(seed + 1)).alias("place"))
+    places = F.transform(to, lambda shard, i: F.xxhash64(key, i, F.lit(seed + 1)))
+    out = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), to.alias("shards"), places.alias("places"))
     return d.select(*[docs[c] for c in docs.columns], out.alias("__mix"))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **options) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, shards (one entry for each time it is taken), place."""
+    """One row a document: doc_id, source, size, source_size, target, shards and places (one entry for each time it is taken)."""
     d = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")))
     return decide(d, plan(d, seed=seed, **options), F.col("size"), seed=seed).select("doc_id", "source", "__mix.*")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns."""
+def mixed_rows(docs: DataFrame, *, shards: int = 8, mb: int = 16, **options) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns, shard by shard in the order of their places.
+
+    A shard is cut into slices of about ``mb`` MB by place, and a slice is sorted where it lies.
+    """
+    n = -(-groups_for(docs, mb, shards) // shards)
     d = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
-    out = decide(docs, plan(d, **options), size_of(F.col("text")))
-    return out.withColumn("__copy", F.explode("__mix.shards")).drop("__mix", "__copy")
+    out = decide(docs, plan(d, shards=shards, **options), size_of(F.col("text")))
+    out = out.withColumn("__copy", F.explode(F.arrays_zip("__mix.shards", "__mix.places"))).drop("__mix")
+    out = out.withColumn("__slice", F.col("__copy.shards") * n + F.pmod(F.col("__copy.places"), F.lit(n)).cast("int"))
+    out = out.repartition(shards * n, "__slice").sortWithinPartitions("__slice", F.col("__copy.places"))
+    return out.drop("__copy", "__slice")
 
 
 def _table(spark, rows: list[dict], schema: str) -> DataFrame:
@@ -147,22 +160,23 @@ def _plan(words: dict, size: dict, target: dict, blocks: dict, shards: int, seed
         for b in rng.permutation(blocks[s]):
             n = words.get((s, int(b)), 0)
             if n > rest:
-                part[s, int(b)] = int(round(rest))
+                part[s] = (int(b), int(round(rest)))
                 break
             order[s].append(int(b))
             rest -= n
-    quotas = np.array([len(order[s]) + any(k[0] == s for k in part) for s in names], np.int64)
+    quotas = np.array([len(order[s]) + (s in part) for s in names], np.int64)
     cut = split_tree(quotas, shards, rng)
     out: dict = {}
     for j, s in enumerate(names):
         to = np.repeat(np.arange(shards), cut[:, j]).tolist()
         for b, shard in zip(order[s], to, strict=False):
             out.setdefault((s, b), {"s": s, "k": b, "shards": []})["shards"].append(shard)
-        for key in [k for k in part if k[0] == s]:
-            out.setdefault(key, {"s": s, "k": key[1], "shards": []}).update(part=part[key], part_shard=to[-1])
+        if s in part:
+            b, n = part[s]
+            out.setdefault((s, b), {"s": s, "k": b, "shards": []}).update(part=n, part_shard=to[-1])
     return list(out.values())
 
 
 def taken(mixed_docs: DataFrame) -> DataFrame:
-    """How many words the mix takes of each document, repeats counted."""
-    return mixed_docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
+    """How many words the mix takes of each document, repeats counted, with the shards they go to and the places there."""
+    return mixed_docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", "places")

@@ -6,7 +6,7 @@ words finds some part of every repeated window. Hits are extended: the windows o
 hashes occur in several documents join up to the maximal exact repeats. A window's words go where a document with a
 smaller doc_id has it; windows are judged on the input.
 
-Documents are dealt out by hash into groups of bounded size, which ask hash buckets in two rounds (``two_rounds``):
+Documents are dealt out by hash into groups of bounded size, which ask hash buckets in two rounds (``in_rounds``):
 first which of their 25-word hashes are anchored, then which of their windows have a smaller holder. A passage in every
 document is one key a group.
 
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trialweave.llm._common import bounds, bucketed, frame, groups_for, in_groups, inside, mixed, pack, rolling, split_words, two_rounds, unframe, unpack, word_hashes
+from trialweave.llm._common import BLOB_BYTES, bounds, bucketed, frame, groups_for, in_groups, in_rounds, inside, mixed, pack, pack_sorted, rolling, split_words, unframe, unpack, unpack_sorted, word_hashes
 
 BLOCK = 25
 WINDOW = 50
@@ -95,18 +95,18 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, block: int = BLOC
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block wherever it starts")
     docs = docs.select("doc_id", "text")
-    n = groups_for(docs, mb)
+    n = groups_for(docs, mb, blob=BLOB_BYTES)
 
-    def emit1(table):
+    def emit1(table, _):
         uniq, _, anchored, _ = _Group(table, block, window).blocks(n)
         cut = bounds(uniq, n)
-        return [frame(pack(uniq[i:j], 5), _bits(anchored[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return [frame(pack_sorted(uniq[i:j]), _bits(anchored[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
     def reduce1(groups, blobs):
         keys, flags = [], []
         for x in blobs:
             k, f = unframe(x)
-            keys.append(unpack(k, 5))
+            keys.append(unpack_sorted(k))
             flags.append(np.unpackbits(np.frombuffer(f, np.uint8), count=len(keys[-1])).astype(bool))
         uniq, inv, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         anchored = np.zeros(len(uniq), bool)
@@ -116,11 +116,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, block: int = BLOC
 
     def emit2(table, answers):
         g = _Group(table, block, window)
-        _, key, check, _, low = g.candidates(n, answers)
+        _, key, check, _, low = g.candidates(n, answers[0])
         cut, out = bounds(key, n), []
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             who, at = np.unique(low[i:j], return_inverse=True)
-            out.append(frame(pack(key[i:j], 5), check[i:j].tobytes(), pack(at, 2 if len(who) < 1 << 16 else 4), who.astype("<i8").tobytes()))
+            out.append(frame(pack_sorted(key[i:j]), check[i:j].tobytes(), pack(at, 2 if len(who) < 1 << 16 else 4), who.astype("<i8").tobytes()))
         return out
 
     def reduce2(groups, blobs):
@@ -128,7 +128,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, block: int = BLOC
         for x in blobs:
             k, c, at, who = unframe(x)
             who = np.frombuffer(who, "<i8")
-            keys.append(unpack(k, 5))
+            keys.append(unpack_sorted(k))
             checks.append(np.frombuffer(c, np.uint64))
             lows.append(who[unpack(at, 2 if len(who) < 1 << 16 else 4).astype(np.int64)] if len(who) else who)
         key, check, low = (np.concatenate(x) for x in (keys, checks, lows))
@@ -140,15 +140,15 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, block: int = BLOC
         least = np.full(int(new.sum()), LAST)
         np.minimum.at(least, number, low)
         smaller = least[number] < low
-        return [_bits(x) for x in np.split(smaller, np.cumsum([len(k) for k in keys])[:-1])]
+        return [frame(_bits(x)) for x in np.split(smaller, np.cumsum([len(k) for k in keys])[:-1])]
 
-    def final(table, answers1, answers2):
+    def final(table, answers):
         g = _Group(table, block, window)
-        start, key, _, number, low = g.candidates(n, answers1)
+        start, key, _, number, low = g.candidates(n, answers[0])
         cut = bounds(key, n)
         smaller = np.zeros(len(key), bool)
-        for b, data in enumerate(answers2):
-            smaller[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=cut[b + 1] - cut[b]).astype(bool)
+        for b, data in enumerate(answers[1]):
+            smaller[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(unframe(data)[0], np.uint8), count=cut[b + 1] - cut[b]).astype(bool)
         goes = start[smaller[number] | (low[number] < g.ids[g.doc[start]])]
         edge = np.zeros(len(g.at) + 1, np.int64)
         np.add.at(edge, goes, 1)
@@ -164,4 +164,4 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, block: int = BLOC
             removed.append(int(out.sum()))
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(np.diff(g.off)), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))})
 
-    return two_rounds(in_groups(docs, n, "doc_id"), n, emit1, reduce1, emit2, reduce2, final, RESULT)
+    return in_rounds(in_groups(docs, n, "doc_id", "text"), n, [(emit1, reduce1), (emit2, reduce2)], final, RESULT)

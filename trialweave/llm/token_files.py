@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import groups_for, one_array, shared_dir, split_words, written
+from trialweave.llm._common import groups_for, one_array, released, shared_dir, split_words, written
 
 END_ID = 2
 SEQ_LEN = 2048
@@ -131,6 +131,7 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 1 << 30):
         j = max(i + 1, min(i + rows, int(np.searchsorted(size, before + SLICE_BYTES, "right"))))
         yield batch.slice(i, j - i)
         i = j
+    released()
 
 
 class ShardWriter:
