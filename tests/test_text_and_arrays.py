@@ -49,19 +49,68 @@ def test_similarity_udfs(spark):
     assert "--- a/a" in d and "--- /dev/null" in d and "No newline at end of file" in d
 
 
-def test_parsers(spark):
-    log = 'a.cu:3:4: error: bad thing [-Wx]\n  3 | code\n/tmp/x.o: main.cpp:21: undefined reference to `f\'\ncollect2: error: ld returned 1 exit status\n"k.cu", line 7: error #20: identifier\n  foo\n  ^\n'
-    got = parsers.parse_gcc(log, ("main.cpp",))
-    assert got[0] == ("error", "-Wx", "a.cu", 3, 4, "bad thing") and got[1][2:4] == ("main.cpp", 21) and got[2][5] == "ld returned 1 exit status" and got[3][:4] == ("error", "20", "k.cu", 7)
-    reply = "```cpp\n// FILE: ./src//a.cu\nint x;\n```\n````\n// FILE: ../bad\n````\n```\n// FILE: src/a.cu\n```\n```\n// FILE: open\n"
-    kinds = [(k, p) for k, p, *_ in parsers.file_blocks(reply, ("src/a.cu", "b.cu"))]
-    assert kinds == [("file", "src/a.cu"), ("bad-path", "../bad"), ("duplicate-file", "src/a.cu"), ("unclosed-block", "open"), ("missing-file", "b.cu")]
-    files = {"a.cu": "x ``` y\n", "b.h": ""}
-    assert {p: c for k, p, _, c in parsers.file_blocks(parsers.render_blocks(files))} == files
-    rows = spark.createDataFrame([(log,)], "log string").lateralJoin(parsers.CompilerDiagnostics(F.col("log").outer())).count()
-    assert rows == len(parsers.parse_gcc(log))
-    out = spark.createDataFrame([("[12] ERROR: UndefinedBehavior: f: m\r\n[13] ERROR: SystemError: g: n",)], "s string").select(parsers.findings(F.col("s")).alias("f")).select("f", parsers.undefined_behaviour(F.col("f")), parsers.first_gap(F.col("f"))).first()
-    assert len(out[0]) == 2 and out[0][0]["message"] == "m" and out[1] and out[2] == "SystemError"
+def reported(spark, tool, log, files=None):
+    df = spark.createDataFrame([(1, log, files or {})], "id long, stderr string, files map<string,string>")
+    return [tuple(r)[2:] for r in parsers.diagnostics(df, tool, ["id"], files="files").orderBy("ordinal").collect()]
+
+
+def test_gcc_and_linker_lines(spark):
+    log = (
+        "a.cu:3:4: error: bad thing [-Wx]\n   16| int x:1:2: error: echoed\n  |  ^~~\nsys.h:1:0: fatal error: gone  \n/tmp/x.o: /w/src/main.cpp:2: undefined reference to `f'\n"
+        "main.cpp:9: undefined reference to `g'\nmain.cpp:(.text+0x2c): undefined reference to `h'\nundefined reference to alone\ncollect2: error: ld returned 1 exit status\nx86_64-linux-gnu-g++-13: fatal error: no input files\nnothing"
+    )
+    assert reported(spark, "g++", log, {"a.cu": "x", "main.cpp": "1\n2\n3", "src/main.cpp": "1\n2"}) == [
+        ("error", "-Wx", "a.cu", 3, 4, "bad thing"), ("error", None, "sys.h", 1, None, "gone"), ("error", None, "src/main.cpp", 2, None, "undefined reference to `f'"),
+        ("error", None, None, None, None, "undefined reference to `g'"), ("error", None, None, None, None, "undefined reference to `h'"), ("error", None, None, None, None, "undefined reference to alone"),
+        ("error", None, None, None, None, "ld returned 1 exit status"), ("error", None, None, None, None, "no input files"),
+    ]
+    assert reported(spark, "clang", "./k.cpp:1:2: note: see\nld.lld: error: undefined symbol: f\ncollect2: error: no", {"k.cpp": "xy"}) == [("note", None, "k.cpp", 1, 2, "see"), ("error", None, None, None, None, "undefined symbol: f")]
+    assert reported(spark, "g++", None) == []
+
+
+def test_edg_folds(spark):
+    files = {"m.cu": "int a;\n  call(x);\nlast", "n.cpp": "#include <k>\n"}
+    log = (
+        "m.cu(2): error: no instance of call\n            argument types are: (int)\n\tobject type is: T\n    call(x);\n         ^\n\n"
+        "m.cu(1): warning #177-D: unused\n  goes on\nm.cu(3): remark: alone\nm.cu(9): catastrophic error: m.cu(3): error: as echo\nm.cu(3): error: shown\n ^\n   ^\n"
+        "nvcc fatal   : Value 'x'\nptxas error   : too much\nptxas /t/a.ptx, line 28; error   : Unknown\nptxas info    : nothing\nhost.cu:4:5: warning: odd [-Wodd]"
+    )
+    assert reported(spark, "nvcc", log, files) == [
+        ("error", None, "m.cu", 2, 8, "no instance of call; argument types are: (int); object type is: T"), ("warning", "177-D", "m.cu", 1, None, "unused; goes on"), ("note", None, "m.cu", 3, None, "alone"),
+        ("error", None, "m.cu", 9, None, "m.cu(3): error: as echo"), ("error", None, None, None, None, "Value 'x'"), ("error", None, None, None, None, "too much"),
+        ("error", None, None, None, None, "/t/a.ptx, line 28: Unknown"), ("warning", "-Wodd", "host.cu", 4, None, "odd"),
+    ]
+    log = (
+        '"n.cpp", line 1: catastrophic error: cannot open source file "k" [no_such]\n  #include <k>\n              ^\nNVC++-S-1101-Too large  (main.cpp: 4)\nNVC++-W-0155-Invalid region (n.cpp)\nNVC++-F-0000-Odd (other.cpp)\n'
+        "nvc++-Fatal-pcfe TERMINATED\nnvlink error   : Undefined reference to 'x' in 'a:1.o'\n<inline asm>:1:2: error: invalid\nn.cpp:1:3: note: here"
+    )
+    assert reported(spark, "nvc++", log, files) == [
+        ("error", "no_such", "n.cpp", 1, 13, 'cannot open source file "k"'), ("error", "S-1101", "main.cpp", 4, None, "Too large"), ("warning", "W-0155", "n.cpp", None, None, "Invalid region"), ("error", "F-0000", None, None, None, "Odd (other.cpp)"),
+        ("error", None, None, None, None, "pcfe TERMINATED"), ("error", None, None, None, None, "Undefined reference to 'x' in 'a:1.o'"), ("error", None, None, None, None, "<inline asm>:1:2: invalid"), ("note", None, "n.cpp", 1, 3, "here"),
+    ]
+
+
+def test_file_blocks(spark):
+    reply = "```cpp\n// FILE: ./src//a.cu\nint x;\n```\n````\n// FILE: ../bad\n````\n```\n// FILE: src/a.cu\n```\n```\nno file\n```\n````x\n// FILE: e.h\n```\n`````\n```\n//FILE: no\n```\n  ```\n// FILE: open\n"
+    got = parsers.file_blocks(reply, ("src/a.cu", "./b.cu", "open", "b.cu"))
+    assert [r[:3] for r in got] == [("file", "src/a.cu", 2), ("bad-path", "../bad", 6), ("duplicate-file", "src/a.cu", 9), ("file", "e.h", 15), ("unclosed-block", "open", 22), ("missing-file", "b.cu", None)]
+    assert got[3][3] == "```\n" and parsers.file_blocks("```\n// FILE: x\n```") == [("file", "x", 2, "\n")]
+    with pytest.raises(ValueError, match="expected"):
+        parsers.file_blocks("", ("../x",))
+    for bad in ("", "/a", "a\\b", "-o", "@x", "a/../b", "C:x", " a", "a\u2028b", "a\x85b", "x" * 256, "\ud800"):
+        assert parsers.bad_path(bad)
+    assert not parsers.bad_path("1:x") and not parsers.bad_path("é" * 127)
+    files = {"b.h": "", "a.cu": "x ``` y\n"}
+    back = {p: c for k, p, _, c in parsers.file_blocks(parsers.render_blocks(files))}
+    assert back == {"a.cu": "x ``` y\n", "b.h": "\n"} and list(back) == ["a.cu", "b.h"]
+    df = spark.createDataFrame([(reply, ["q.cu"])], "t string, e array<string>").lateralJoin(parsers.FileBlocks(F.col("t").outer(), F.col("e").outer()))
+    assert df.where("kind = 'missing-file'").first()["path"] == "q.cu"
+
+
+def test_findings(spark):
+    log = "[12] ERROR: UndefinedBehavior: tt::noc_read: bad: m\r\nx [13] ERROR: System_Error2: g: n\n[14] ERROR: NoMessage: alone\n[15] ERROR: 9x: f: g"
+    out = spark.createDataFrame([(log,)], "s string").select(parsers.findings(F.col("s")).alias("f")).select("f", parsers.undefined_behaviour(F.col("f")), parsers.first_gap(F.col("f"))).first()
+    assert [tuple(x) for x in out[0]] == [("UndefinedBehavior", "tt::noc_read", "bad: m"), ("System_Error2", "g", "n")] and out[1] and out[2] == "System_Error2"
 
 
 def test_array_codec(spark, tmp_path):
@@ -95,6 +144,11 @@ def test_compare(spark):
     cand = spark.createDataFrame([(1, "a", "p", "f32", [1], f(1)), (1, "c", "p", "f32", [1], f(1))], s)
     got = compare.compare_outputs(ref, cand, spark.createDataFrame([("a", "pcc", 0.9)], "name string, metric string, threshold double"), ["t"])
     assert {r["name"]: r["passed"] for r in got.collect()} == {"a": True, "b": False, "c": False}
+    d = lambda x: np.array([x], "<f8").tobytes()
+    far = [spark.createDataFrame([(1, "a", "p", "f64", [1], d(x))], s) for x in (-1e308, 1e308)]
+    assert int(compare.compare_outputs(*far, spark.createDataFrame([], "name string, metric string, threshold double"), ["t"]).first()["max_ulp"]) == 18429743317745373504
+    x, y = np.random.default_rng(0).normal(size=(2, 500))
+    assert compare.pearson(x, y) == pytest.approx(np.corrcoef(x, y)[0, 1]) and compare.pearson(x * 1e300, y * 1e-300) == pytest.approx(np.corrcoef(x, y)[0, 1]) and compare.pearson(x, x * 0 + 3) == 0.0
     assert compare.alignment(got, ["t"]).first()["alignment"] == 0.0
 
 
@@ -103,6 +157,8 @@ def test_graph_lists_store(spark):
     got = graph.reach_labels(e, spark.createDataFrame([(2,), (4,)], "v long"))
     assert {r["v"]: r["label"] for r in got.collect()} == {1: 2, 2: 2, 3: 2, 4: 4, 5: 4}
     assert graph.first_violation(got, spark.createDataFrame([(5,), (3,)], "v long")).first()["sink"] == 3
+    chain = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r["v"] for r in graph.reach_closure(e, spark.createDataFrame([(2,)], "v long")).collect()} == {1, 2, 3} and graph.reach_closure(chain, spark.createDataFrame([(40,)], "v long")).count() == 21
     assert graph.reach_labels(e, spark.createDataFrame([(2,)], "v long"), budget=1) is None
     assert {r["label"] for r in graph.alias_classes(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "a string, b string")).collect()} == {"a", "x"}
     ls = spark.createDataFrame([(1, i, x) for i, x in enumerate(["dump 1", "x", "end 1", "dump 2", "y", "end 3", "dump 4"])], "k long, pos long, line string")
@@ -118,11 +174,20 @@ def test_simulator_logs(spark):
     from trialweave.operators import simulator as sim
 
     out = "x\nbrisc build failed. Log: In file included\n/w/k.cpp:3:0: fatal error: no [-Wz]\n 3 | code\n\nignored.cpp:1:1: error: outside\nncrisc build failed. Log:\nk.cpp:3:0: fatal error: no [-Wz]\n"
-    assert sim.kernel_diagnostics(out, out, "/w") == [("error", "-Wz", "k.cpp", 3, None, "no")]
-    log = "Dump #1 at 1s\nDevice core(1) k_ids: 0| 7| 0\nk_id[ 7]: kernels/a\nk_id[ 8]: b\nDump #1 completed at 2s\nDump #2 at 3s\n core(2) k_ids: 8\nDump #3 completed at 4s\n"
-    assert sim.watchdog_note(log) == "Watcher dump #1: Device core(1) k_ids: 0| 7| 0; k_id[ 7]: kernels/a" and sim.watchdog_note("none") is None
-    big = "Dump #5 at\n".replace("at", "at ") + "".join(f"c core({i}) k_ids: {i}\n" for i in range(1, 400)) + "Dump #5 completed at 9\n"
-    note = sim.watchdog_note(big)
-    assert len(note) <= 4096 and note.endswith("more lines left out")
-    df = spark.createDataFrame([(log, out)], "log string, out string")
-    assert df.lateralJoin(sim.WatchdogNote(F.col("log").outer())).first()["note"].startswith("Watcher dump #1") and df.lateralJoin(sim.KernelDiagnostics(F.col("out").outer(), F.col("out").outer(), F.lit("/w"))).count() == 1
+    df = spark.createDataFrame([(1, out, out, "/w")], "id long, stdout string, stderr string, dir string")
+    assert [tuple(r) for r in sim.kernel_diagnostics(df, ["id"], workdir="dir").collect()] == [(1, 0, "error", "-Wz", "k.cpp", 3, None, "no")]
+    log = "Dump #1 at 1s\nDevice core(1) k_ids: 0| 07| 0\r\nk_id[ 7]: kernels/a\nk_id[ 8]: b\nDump #1 completed at 2s\nDump #2 at 3s\n core(2) k_ids: 8\nDump #3 completed at 4s\n"
+    big = "Dump #5 at \n" + "".join(f"c core({i}) k_ids: {i}\n" for i in range(1, 400)) + "Dump #5 completed at 9\n"
+    fits = "Dump #6 at \n" + "x core(1) k_ids: 1\n" * 50 + "Dump #6 completed at 9\n"
+    logs = spark.createDataFrame([(1, log), (2, "none"), (3, big), (4, "Dump #1 at \nDump #1 completed at \n"), (5, fits), (6, None)], "id long, log string")
+    notes = {r["id"]: r["note"] for r in sim.watchdog_notes(logs, ["id"]).collect()}
+    assert notes[1] == "Watcher dump #1: Device core(1) k_ids: 0| 07| 0; k_id[ 7]: kernels/a" and set(notes) == {1, 3, 4, 5}
+    shown = [f"c core({i}) k_ids: {i}" for i in range(1, 400)]
+    n = max(n for n in range(400) if len("Watcher dump #5: " + "; ".join([*shown[:n], f"... {399 - n} more lines left out"])) <= 4096)
+    assert notes[3] == "Watcher dump #5: " + "; ".join([*shown[:n], f"... {399 - n} more lines left out"])
+    assert notes[4] == "Watcher dump #1: no core held a kernel" and notes[5].count("; ") == 49
+
+
+def test_diff_of_empty_files(spark):
+    d = cells(spark, [('{"a":""}', '{"b":""}')], text.unified_diff("a", "b"))[0][0]
+    assert d == "--- a/a\n+++ /dev/null\n--- /dev/null\n+++ b/b\n"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, and read back."""
     spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{base}/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,8 +65,10 @@ def alias_classes(pairs: DataFrame) -> DataFrame:
 
 
 def reach_closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """The vertices that sources reach, by a recursive query that the engine runs."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("trialweave_edges")
-    sources.select("v").createOrReplaceTempView("trialweave_sources")
-    return spark.sql("WITH RECURSIVE r(v) AS (SELECT v FROM trialweave_sources UNION ALL SELECT e.dst FROM r JOIN trialweave_edges e ON r.v = e.src) SELECT DISTINCT v FROM r")
+    """The vertices that sources reach, each once; ends on cycles too. A round follows only vertices that are new."""
+    seen = _kept(sources.select("v").where("v is not null").distinct())
+    fresh = seen
+    while not fresh.isEmpty():
+        fresh = _kept(fresh.join(edges, fresh["v"] == edges["src"]).select(F.col("dst").alias("v")).where("v is not null").distinct().join(seen, "v", "left_anti"))
+        seen = seen.unionByName(fresh)
+    return seen

@@ -1,95 +1,228 @@
-"""Parsers of whole blobs as UDTFs, since a fold looks at lines that follow; single-line formats are Column expressions."""
+"""Compiler and simulator output as rows.
+
+A log's lines are exploded once. Which format a line has is a cascade of Column expressions; what belongs together over
+several lines (an error's continuation lines, echo and caret) is found by windows over the log. FILE blocks alone are
+read by a UDTF: where a fence closes hangs on the fence that is open, which no window expresses.
+"""
 
 from __future__ import annotations
 
-import posixpath
 import re
+from dataclasses import dataclass
+from pathlib import PurePosixPath
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Formats of lines, finding classes.
-GCC = re.compile(r"(?P<file>.+?):(?P<line>[0-9]{1,10}):(?P<column>[0-9]{1,10}): (?P<severity>fatal error|error|warning|note): (?P<message>.*?)(?: \[(?P<code>-[^\]\s]+)\])?")
-COLLECT2 = re.compile(r"collect2: error: (?P<message>.*)")
-UNDEFINED = "undefined reference to"
-LINK_PLACE = re.compile(r"(?P<file>[^:]+):(?P<line>[0-9]{1,10})")
-GUTTER = re.compile(r"\s*(?:[0-9]+ )?\s*\|")
-EDG = re.compile(r'"?(?P<file>[^"(]+?)"?(?:\((?P<line>[0-9]{1,10})\)|, line (?P<line2>[0-9]{1,10})): (?:catastrophic |internal )?(?P<severity>error|warning|remark)(?: #(?P<code>[0-9A-Za-z-]+))?: (?P<message>.*)')
-DRIVER = re.compile(r"(?P<tool>nvcc|nvc\+\+|g\+\+|clang\+\+|clang|ptxas|nvlink)(?:-[A-Za-z]+)? ?(?P<severity>fatal|error|warning)? ?: (?P<message>.*)", re.I)
-FINDING = r"\[[0-9]+\] ERROR: ([A-Za-z]+): ([^:]*): (.*)"
+# Formats of lines (groups by number), severity words, finding classes.
+PLACE = r"(.+?):([0-9]{1,10}):([0-9]{1,10}): (fatal error|error|warning|note): (.*?)(?: \[(-[^\]\s]+)\])?"
+COLLECT2 = r"collect2: error: (.*)"
+UNDEFINED = r"(.*): (.*undefined reference to.*)"
+UNDEFINED_ALONE = r".*undefined reference to.*"
+LINK_PLACE = r"(?:.*: )?([^:]+):([0-9]{1,10})"
+EDG_WORDS = "catastrophic error|command-line error|internal error|error|warning|remark"
+EDG_PAREN = r"((?:(?!: ).)+?)\(([0-9]{1,10})\): (" + EDG_WORDS + r")(?: #([0-9]+(?:-D)?))?: (.*)"
+EDG_QUOTE = r'"([^"]+)", line ([0-9]{1,10}): (' + EDG_WORDS + r"): (.*?)(?: \[([A-Za-z_][A-Za-z0-9_]*)\])?"
+PTXAS = r"ptxas\s+(error|warning|fatal)\s*:\s*(.*)"
+PTXAS_PLACE = r"ptxas (?!(?:info|error|warning|fatal)\s*:)(.+?, line [0-9]{1,10}); (error|warning|fatal)\s*:\s*(.*)"
+NVCC_FATAL = r"nvcc fatal\s*:\s*(.*)"
+NVLINK = r"nvlink\s+(error|warning|fatal)\s*:\s*(.*)"
+NVCPP_DRIVER = r"nvc\+\+-(Error|Fatal|Warning)-(.*)"
+BACKEND = r"NVC\+\+-([IWSF])-([0-9]+)-(.*?)(?:(?<=\S)\s+\(([^()]+): ([0-9]{1,10})\))?"
+BACKEND_BARE = r"NVC\+\+-([IWSF])-([0-9]+)-(.*?)(?<=\S)\s+\(((?:(?!: )[^()])+)\)"
+INLINE_ASM = r"(<inline asm>:[0-9]{1,10}:[0-9]{1,10}): (error|warning|note): (.*)"
+GCC_DRIVER = r"(?:[A-Za-z0-9_.]+-)*(?:g\+\+|gcc|cc1plus|cc1)(?:-[0-9]+(?:\.[0-9]+)*)?: (fatal error|error|warning|note): (.*)"
+CLANG_DRIVER = r"(?:clang\+\+|clang|ld\.lld)(?:-[0-9]+(?:\.[0-9]+)*)?: (fatal error|error|warning|note): (.*)"
+GUTTER = r"[ \t]*[0-9]*[ \t]*\|"
+CARET = r"[ \t]*\^\s*"
+SEVERITY = {
+    "fatal error": "error", "catastrophic error": "error", "command-line error": "error", "internal error": "error", "error": "error", "fatal": "error", "Error": "error", "Fatal": "error", "S": "error", "F": "error",
+    "warning": "warning", "Warning": "warning", "W": "warning", "remark": "note", "note": "note", "I": "note",
+}
+FINDING = r"\[[0-9]{1,20}\] ERROR: ([A-Za-z_][A-Za-z0-9_]{0,127}): (.*)"
 UB_CLASSES = ("UndefinedBehavior", "NonContractualBehavior", "UnpredictableValueUsed")
-OPEN_FENCE = re.compile(r" {0,3}(?P<fence>`{3,})[^`]*")
-CLOSE_FENCE = re.compile(r" {0,3}(?P<fence>`{3,})\s*")
-FILE_LINE = re.compile(r"[ \t]*// FILE:(?P<path>.*)")
+FENCE = re.compile(r" {0,3}(`{3,})([^`]*)")
+FILE_LINE = re.compile(r"[ \t]*// FILE:(.*)")
+MOST_SEGMENT_BYTES = 255
+LANGUAGES = {
+    ".cu": "cuda", ".cuh": "cuda", ".c": "c", ".h": "cpp", ".hpp": "cpp", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".f": "fortran", ".f90": "fortran", ".f95": "fortran", ".py": "python", ".rs": "rust", ".cs": "csharp", ".mlir": "mlir",
+}
+
+TEXT, NUMBER = T.StringType(), T.LongType()
 
 
 def _row(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, k) for n, k in fields.items()])
 
 
-TEXT, NUMBER = T.StringType(), T.LongType()
 DIAGNOSTIC = _row(severity=TEXT, code=TEXT, file=TEXT, line=NUMBER, column=NUMBER, message=TEXT)
 
 
-def parse_gcc(text: str, files: tuple[str, ...] = ()) -> list[tuple]:
-    """Diagnostics of compiler output in order: the first format that fits a line wins."""
-    out: list[tuple] = []
-    lines = text.split("\n")
-    for i, raw in enumerate(lines):
-        line = raw.rstrip()
-        if GUTTER.match(line):
-            continue
-        if m := GCC.fullmatch(line):
-            severity = "error" if m["severity"] == "fatal error" else m["severity"]
-            out.append((severity, m["code"], m["file"], int(m["line"]), int(m["column"]) or None, m["message"]))
-        elif m := EDG.fullmatch(line):
-            message, column = _edg_fold(m["message"], lines[i + 1 :])
-            severity = {"remark": "note"}.get(m["severity"], m["severity"])
-            out.append((severity, m["code"], m["file"], int(m["line"] or m["line2"]), column, message))
-        elif m := COLLECT2.fullmatch(line):
-            out.append(("error", None, None, None, None, m["message"]))
-        elif UNDEFINED in line:
-            out.append(_link(line, files))
-        elif m := DRIVER.fullmatch(line):
-            out.append((("error" if (m["severity"] or "error").lower() == "fatal" else (m["severity"] or "error").lower()), None, None, None, None, m["message"]))
-    return out
+def whole(pattern: str) -> str:
+    """A pattern of a whole line, in which a dot is any character and white space that of Unicode."""
+    return rf"(?sU)\A(?:{pattern})\z"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def right_trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+\z", "")
+
+
+@dataclass(frozen=True)
+class Format:
+    """A line format: its pattern, and which group (or fixed text) gives each part of the diagnostic.
+
+    ``place``: what of the place is kept once the built files are known: "printed", "built" (the column only on a built
+    file), "no column", "link" (only a built file and line), or "edg" (the column by the caret under the echoed line).
+    """
+
+    pattern: str
+    severity: int | str
+    message: int
+    code: int | None = None
+    file: int | None = None
+    line: int | None = None
+    column: int | None = None
+    place: str = "printed"
+
+    def diagnostic(self, text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, whole(self.pattern), i)
+        some = lambda i: F.lit(None).cast("string") if i is None else F.nullif(part(i), F.lit(""))
+        number = lambda i: some(i).cast("long")
+        severity = F.lit(self.severity) if isinstance(self.severity, str) else _severity(part(self.severity))
+        return _diagnostic(severity, some(self.code), some(self.file), number(self.line), F.nullif(number(self.column), F.lit(0)), part(self.message), self.place)
+
+
+def _severity(word: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair]), word)
 
 
-def _edg_fold(message: str, rest: list[str]) -> tuple[str, int | None]:
-    """Lines up to a caret belong to an EDG message; the caret's place in the echoed line is the column."""
-    more: list[str] = []
-    for n, line in enumerate(rest[:12]):
-        if not line.strip():
-            break
-        if line.strip() == "^":
-            return " ".join([message, *more[:-1]]), line.index("^") + 1 if more else None
-        if n and (GCC.fullmatch(line.rstrip()) or EDG.fullmatch(line.rstrip())):
-            break
-        more.append(line)
-    return message, None
+def _diagnostic(severity, code, file, line, column, message, place: str) -> Column:
+    return F.struct(severity.alias("severity"), code.alias("code"), file.alias("file"), line.alias("line"), column.alias("column"), message.alias("message"), F.lit(place).alias("place"))
 
 
-def _link(line: str, files: tuple[str, ...]) -> tuple:
-    cut = line.rfind(": ", 0, line.rfind(UNDEFINED))
-    if cut < 0:
-        return ("error", None, None, None, None, line)
-    start = line.rfind(": ", 0, cut)
-    m = LINK_PLACE.fullmatch(line, 0 if start < 0 else start + 2, cut)
-    built = built_file(m["file"], files) if m else None
-    return ("error", None, built, int(m["line"]) if m and built else None, None, line[cut + 2 :])
+def _placed(pattern: str, place: str) -> Format:
+    return Format(pattern, 4, 5, code=6, file=1, line=2, column=3, place=place)
 
 
-def built_file(path: str, files: tuple[str, ...]) -> str | None:
-    """The built file a path names: equal, or the longest that the path ends with after a slash."""
-    fits = [f for f in files if path == f or path.endswith("/" + f)]
-    return max(fits, key=len) if fits else None
+class _Backend(Format):
+    """A backend line: the code is severity and number; a place without a line is kept only as a built file."""
 
+    def diagnostic(self, text: Column) -> Column:
+        bare = text.rlike(whole(BACKEND_BARE)) & ~text.rlike(whole(BACKEND.removesuffix("?")))
+        part = lambda i: F.regexp_extract(text, whole(BACKEND), i)
+        file = F.when(bare, F.regexp_extract(text, whole(BACKEND_BARE), 4)).otherwise(F.nullif(part(4), F.lit("")))
+        message = F.when(bare, F.regexp_extract(text, whole(r"NVC\+\+-[IWSF]-[0-9]+-(.*)"), 1)).otherwise(part(3))
+        code = F.concat(part(1), F.lit("-"), part(2))
+        return _diagnostic(_severity(part(1)), code, file, F.nullif(part(5), F.lit("")).cast("long"), F.lit(None).cast("long"), message, "backend")
 
-@F.udtf(returnType=DIAGNOSTIC)
-class CompilerDiagnostics:
-    def eval(self, text: str):
-        yield from parse_gcc(text or "")
+
+class _Undefined(Format):
+    """The linker: the text after the last ``: `` that leaves the phrase in the message; before it, perhaps a place."""
+
+    def diagnostic(self, text: Column) -> Column:
+        before = F.regexp_extract(text, whole(UNDEFINED), 1)
+        part = lambda i: F.nullif(F.regexp_extract(before, whole(LINK_PLACE), i), F.lit(""))
+        message = F.when(text.rlike(whole(UNDEFINED)), F.regexp_extract(text, whole(UNDEFINED), 2)).otherwise(text)
+        return _diagnostic(F.lit("error"), F.lit(None).cast("string"), part(1), part(2).cast("long"), F.lit(None).cast("long"), message, "link")
+
+
+class _InMessage(Format):
+    """The place stays in the message."""
+
+    def diagnostic(self, text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, whole(self.pattern), i)
+        none = F.lit(None)
+        return _diagnostic(_severity(part(2)), none.cast("string"), none.cast("string"), none.cast("long"), none.cast("long"), F.concat(part(1), F.lit(": "), part(3)), "printed")
+
+
+_LINKER = (Format(COLLECT2, "error", 1), _Undefined(UNDEFINED_ALONE, "error", 0))
+#: The formats of each tool, in the order in which they are tried.
+TOOLS: dict[str, tuple[Format, ...]] = {
+    "nvcc": (
+        Format(PTXAS, 1, 2), _InMessage(PTXAS_PLACE, 2, 3), Format(NVCC_FATAL, "error", 1), Format(EDG_PAREN, 3, 5, code=4, file=1, line=2, place="edg"), _placed(PLACE, "no column"), *_LINKER,
+    ),
+    "nvc++": (
+        Format(EDG_QUOTE, 3, 4, code=5, file=1, line=2, place="edg"), _Backend(BACKEND, 1, 3), Format(NVCPP_DRIVER, 1, 2), Format(NVLINK, 1, 2), _InMessage(INLINE_ASM, 2, 3), _placed(PLACE, "built"), *_LINKER,
+    ),
+    "g++": (Format(GCC_DRIVER, 1, 2), _placed(PLACE, "built"), *_LINKER),
+    "clang": (Format(CLANG_DRIVER, 1, 2), _placed(PLACE, "clang")),
+    "kernel": (_placed(PLACE, "printed"),),
+}
+
+
+def line_diagnostic(text: Column, tool: str) -> Column:
+    """The diagnostic of one line: the first of the tool's formats that fits it without trailing white space."""
+    text = right_trimmed(text)
+    out = F.when(text.rlike(rf"\A(?:{GUTTER})"), None)
+    for f in TOOLS[tool]:
+        out = out.when(text.rlike(whole(f.pattern)), f.diagnostic(text))
+    return out
+
+
+def diagnostics(logs: DataFrame, tool: str, keys: list[str], *, log: str = "stderr", files: str | None = None) -> DataFrame:
+    """(keys, ordinal, severity, code, file, line, column, message): what a tool's logs report, in order.
+
+    ``logs`` has a row for each value of ``keys``; ``files`` names a map column of the built files' texts. A null log has
+    no line.
+    """
+    lines = logs.select(*keys, F.posexplode(F.split(log, "\n", -1)).alias("n", "raw"))
+    lines = lines.withColumn("d", line_diagnostic(F.col("raw"), tool)).withColumn("edg", F.coalesce(F.col("d.place") == "edg", F.lit(False)))
+    lines = lines.withColumn("caret", F.col("raw").rlike(whole(CARET)))
+    w = Window.partitionBy(*keys).orderBy("n")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # A line above a caret is an echo. An indented line that is neither this nor a diagnostic may go on with the one before.
+    indented = F.col("raw").rlike(r"(?sU)\A[ \t].*\S") & ~F.col("raw").rlike(rf"\A(?:{GUTTER})") & F.col("d").isNull() & ~F.col("caret")
+    lines = lines.withColumn("echo", F.coalesce(F.lead("caret").over(w), F.lit(False))).withColumn("more", indented & ~F.col("echo"))
+    # The last line before that does not go on with another: an open diagnostic, unless it is itself an echo of one.
+    under = F.coalesce(F.last(F.when(~F.col("more"), F.col("edg")), ignorenulls=True).over(before), F.lit(False))
+    lines = lines.withColumn("open", F.col("edg") & ~(F.col("echo") & under))
+    head = F.last(F.when(~F.col("more"), F.when(F.col("open"), F.col("n")).otherwise(-1)), ignorenulls=True).over(before)
+    lines = lines.withColumn("head", F.coalesce(head, F.lit(-1))).withColumn("below", F.lead("raw").over(w))
+    inside = F.col("head") >= 0
+    role = F.when(inside & F.col("more"), "more").when(inside & F.col("echo"), "echo").when(F.col("d").isNotNull(), "self")
+    parts = lines.withColumn("role", role).where("role is not null").withColumn("of", F.when(F.col("role") == "self", F.col("n")).otherwise(F.col("head")))
+    one = parts.groupBy(*keys, "of").agg(
+        F.max(F.when(F.col("role") == "self", F.col("d"))).alias("d"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == "more", F.struct("n", trimmed(F.col("raw")).alias("text"))))).alias("more"),
+        F.max(F.when(F.col("role") == "echo", F.struct("raw", "below"))).alias("shown"),
+    )
+    one = one.withColumn("d", F.col("d").withField("message", F.concat_ws("; ", F.array("d.message"), F.col("more.text"))))
+    every = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("of", "d", "shown"))).alias("all"))
+    built = F.coalesce(F.col(files), F.create_map().cast("map<string,string>")) if files else F.create_map().cast("map<string,string>")
+    every = every.join(logs.select(*keys, built.alias("built")), keys)
+    rows = every.select(*keys, F.posexplode(F.transform("all", lambda x: _settled(x["d"], x["shown"], F.col("built")))).alias("ordinal", "d"))
+    return rows.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), *[F.col(f"d.{c}").alias(c) for c in DIAGNOSTIC.names])
+
+
+def _settled(d: Column, shown: Column, built: Column) -> Column:
+    """The diagnostic with the place that the built files allow."""
+    file = F.when(d["place"] == "link", built_file(d["file"], built)).when(d["place"] == "clang", F.regexp_replace(d["file"], r"\A\./", "")).otherwise(d["file"])
+    text = F.try_element_at(built, file)
+    line_text = right_trimmed(F.get(F.split(text, "\n", -1), (d["line"] - 1).cast("int")))
+    known = F.array_contains(F.map_keys(built), file)
+    bare = (d["place"] == "backend") & d["line"].isNull() & d["file"].isNotNull()
+    linked = d["place"] != "link"
+    keep = linked | (line_text.isNotNull() & (d["line"] > 0))
+    echo = right_trimmed(shown["raw"])
+    at = F.instr(shown["below"], "^") - (F.length(echo) - F.length(line_text))
+    caret = F.when((F.length(line_text) > 0) & echo.endswith(line_text) & (at > 0) & (d["line"] > 0), at.cast("long"))
+    column = F.when(d["place"] == "edg", caret).when(d["place"].isin("built", "clang"), F.when(known, d["column"])).when(d["place"] == "no column", None).otherwise(d["column"])
+    message = F.when(bare & known, F.regexp_replace(d["message"], r"(?sU)\s+\([^()]*\)\z", "")).otherwise(d["message"])
+    return F.struct(
+        d["severity"].alias("severity"), d["code"].alias("code"), F.when(keep & (~F.coalesce(bare, F.lit(False)) | known), file).alias("file"),
+        F.when(keep, d["line"]).alias("line"), column.alias("column"), message.alias("message"),
+    )
+
+
+def built_file(path: Column, built: Column) -> Column:
+    """The built file that a path names: the longest name that it equals or ends with after a slash."""
+    fits = F.filter(F.map_keys(built), lambda k: (path == k) | path.endswith(F.concat(F.lit("/"), k)))
+    return F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("name"))))["name"]
 
 
 def normal_path(path: str) -> str:
@@ -97,38 +230,46 @@ def normal_path(path: str) -> str:
 
 
 def bad_path(path: str) -> bool:
+    """Whether a path is no plain relative path inside a folder, or would be read as an option."""
     parts = path.split("/")
-    return (
-        not path or path != path.strip() or path[0] in "-@/" or "\\" in path or bool(re.match(r"[A-Za-z]:", path)) or any(p in ("", ".", "..") or len(p.encode("utf-8", "replace")) > 255 for p in parts)
-        or bool(re.search(r"[\x00-\x1f\x7f\x85  \ud800-\udfff]", path)) or posixpath.normpath(path) != path
-    )
+    odd = any(ord(c) < 32 or 127 <= ord(c) < 160 or c in "\u2028\u2029" or 0xD800 <= ord(c) < 0xE000 for c in path)
+    drive = path[1:2] == ":" and path[0].isascii() and path[0].isalpha()
+    return odd or drive or "\\" in path or path != path.strip() or path[:1] in ("", "-", "@", "/") or bool({"", ".", ".."} & set(parts)) or max(len(p.encode()) for p in parts) > MOST_SEGMENT_BYTES
 
 
 def file_blocks(text: str, expected: tuple[str, ...] = ()) -> list[tuple]:
-    """(kind, path, line, content): files in order, and problems bad-path, duplicate-file, unclosed-block, missing-file."""
-    lines, out, seen, i = text.split("\n"), [], {}, 0
-    while i < len(lines):
-        m = OPEN_FENCE.fullmatch(lines[i])
-        if not m:
-            i += 1
-            continue
-        end = next((j for j in range(i + 1, len(lines)) if (c := CLOSE_FENCE.fullmatch(lines[j])) and len(c["fence"]) >= len(m["fence"])), None)
-        head = FILE_LINE.match(lines[i + 1]) if i + 1 < len(lines) else None
-        if head:
-            written = head["path"].strip()
-            path = normal_path(written)
-            if end is None:
-                out.append(("unclosed-block", written or None, i + 2, None))
-            elif bad_path(path):
-                out.append(("bad-path", written or None, i + 2, None))
-            elif path in seen:
-                out.append(("duplicate-file", written, i + 2, None))
-            else:
-                seen[path] = i + 2
-                body = lines[i + 2 : end]
-                out.append(("file", path, i + 2, "\n".join(body) + "\n" if body else ""))
-        i = len(lines) if end is None else end + 1
-    return out + [("missing-file", p, None, None) for p in expected if p not in seen]
+    """(kind, path, line, content): files in order, and problems bad-path, duplicate-file, unclosed-block, missing-file.
+
+    A block runs from a line of three backticks or more to the next of at least as many and nothing else. A file ends in
+    a line feed always. ``expected`` paths are normalised; a bad one among them is an error. A path that any block names,
+    good or not, is not missing.
+    """
+    wanted = list(dict.fromkeys(map(normal_path, expected)))
+    if any(map(bad_path, wanted)):
+        raise ValueError("bad expected path")
+    lines, out, named, opened = text.split("\n"), [], {}, None
+    marks = [(i, len(m[1]), not m[2].strip()) for i, line in enumerate(lines) if (m := FENCE.fullmatch(line))]
+    for mark in [*marks, None]:
+        if opened is None:
+            opened = mark
+        elif mark is None or (mark[2] and mark[1] >= opened[1]):
+            out += _block(lines, opened[0], mark and mark[0], named)
+            opened = None
+    return out + [("missing-file", p, None, None) for p in wanted if p not in named]
+
+
+def _block(lines: list[str], start: int, end: int | None, named: dict[str, bool]) -> list[tuple]:
+    """What the block between two fence lines (``end`` None: the text's end) holds; ``named``: paths so far, True where a file is kept."""
+    head = FILE_LINE.match(lines[start + 1]) if start + 1 < len(lines) else None
+    if head is None:
+        return []
+    shown = head[1].strip()
+    path, kept = normal_path(shown), named.get(normal_path(shown), False)
+    kind = "unclosed-block" if end is None else "bad-path" if bad_path(path) else "duplicate-file" if kept else "file"
+    named[path] = kept or kind == "file"
+    if kind != "file":
+        return [(kind, shown or None, start + 2, None)]
+    return [(kind, path, start + 2, "\n".join(lines[start + 2 : end]) + "\n")]
 
 
 @F.udtf(returnType=_row(kind=TEXT, path=TEXT, line=NUMBER, content=TEXT))
@@ -138,24 +279,26 @@ class FileBlocks:
 
 
 def render_blocks(files: dict[str, str]) -> str:
-    """Files as fenced blocks, each fence longer than any run of backticks in its file."""
+    """Files by path as fenced blocks, each fence longer than any run of backticks in its file."""
     out = []
-    for path, body in files.items():
+    for path, body in sorted(files.items()):
         fence = "`" * max(3, 1 + max(map(len, re.findall("`+", body)), default=0))
-        body = body if not body or body.endswith("\n") else body + "\n"
+        body = body if body.endswith("\n") else body + "\n"
         out.append(f"{fence}{language(path)}\n// FILE: {path}\n{body}{fence}\n")
     return "\n".join(out)
 
 
 def language(path: str) -> str:
-    return {"cu": "cuda", "cuh": "cuda", "cpp": "cpp", "cc": "cpp", "h": "cpp", "hpp": "cpp", "c": "c"}.get(path.rpartition(".")[2], "")
+    return LANGUAGES.get(PurePosixPath(path).suffix.lower(), "text")
 
 
 def findings(stdout: Column) -> Column:
-    """An array of (class, function, message) of a simulator's finding lines."""
-    hits = F.filter(F.split(stdout, "\n", -1), lambda x: x.rlike(FINDING))
-    part = lambda x, i: F.regexp_extract(x, FINDING, i)
-    return F.transform(hits, lambda x: F.struct(part(x, 1).alias("class"), part(x, 2).alias("function"), F.regexp_replace(part(x, 3), "\r$", "").alias("message")))
+    """An array of (class, function, message) of a simulator's finding lines; a line without function and message is none."""
+    texts = F.transform(F.split(stdout, "\n", -1), lambda x: F.regexp_replace(x, r"\r+\z", ""))
+    parts = F.transform(texts, lambda x: F.struct(F.regexp_extract(x, "(?s)" + FINDING, 1).alias("class"), F.regexp_extract(x, "(?s)" + FINDING, 2).alias("rest")))
+    found = F.filter(parts, lambda p: (p["class"] != "") & F.contains(p["rest"], F.lit(": ")))
+    cut = lambda p: F.instr(p["rest"], ": ")
+    return F.transform(found, lambda p: F.struct(p["class"].alias("class"), F.substring(p["rest"], F.lit(1), cut(p) - 1).alias("function"), F.substring(p["rest"], cut(p) + 2, F.length(p["rest"])).alias("message")))
 
 
 def undefined_behaviour(found: Column) -> Column:
