@@ -409,7 +409,7 @@ def test_chat_round_trip(turns):
 
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "  é🙂 \\ <s> x "), (2, None, None, None), (2, 0, "assistant", ""), (2, 1, "assistant", said), (2, 1, "assistant", said), (None, 0, "assistant", "alone"), (3, 1, "assistant", "b" * 5000), (3, 0, "system", "a")]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "  é🙂 \\ <s> x "), (2, None, None, None), (2, 0, "assistant", ""), (2, 1, "assistant", said), (2, 1, "assistant", said), (None, 0, "assistant", "alone"), (3, 1, "assistant", "b" * 5000), (3, 0, "system", "a"), (4, 0, "user", "x y " * 50_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit(1), "t": F.lit(2)})
     made = chat.format_conversations(df, public_tokenizers.path("byte_bpe_50k.json"))
     got = {r["conv_id"]: r for r in chat.read_back(made).collect()}
@@ -422,6 +422,18 @@ def test_chat(spark):
     for r in made.collect():  # a token is under the mask where it overlaps an assistant text
         spans = chat.render(chat.parse(r["formatted"]))[1]
         assert r["loss_mask"] == [any(s < b and e > a for a, b in spans) for s, e in zip(r["token_starts"], r["token_ends"], strict=True)]
+    # A mask that lacks one of its tokens reads back as less text.
+    less = F.transform("loss_mask", lambda x, i: x & (i + 1 != F.array_position("loss_mask", True)))
+    damaged = {r["conv_id"]: r["loss_chars"] for r in chat.read_back(made.withColumn("loss_mask", less)).collect()}
+    assert all(damaged[c] < got[c]["loss_chars"] for c in (1, 2, None, 3)) and got[4]["loss_chars"] == 0
+
+
+def test_covered():
+    starts, ends = np.array([0, 3, 3, 6]), np.array([3, 4, 6, 9])
+    for drop, want in ((None, "cdefg"), (0, "defg"), (1, "cdefg"), (2, "cdg"), (3, "cdef")):
+        on = np.arange(4) != drop
+        assert chat.covered("abcdefghi", starts[on], ends[on], 2, 7) == want
+    assert chat.covered("abc", starts[:0], ends[:0], 0, 3) == ""
 
 
 # 8 urls
@@ -431,7 +443,7 @@ def test_urls(spark):
     rows = [
         (1, "HTTP://Foo.Example.NET/en/x?q#f"), (2, "http://example.com/de/"), (3, "https://a.org/fr/x"), (4, "x://net"), (5, "no scheme"), (6, None), (7, "http://casinowin.example.com/a"), (8, "http://cheap-pills.example.com/"),
         (9, "http://thewater.example.com/en/1"), (10, "a://b://c/d"), (11, "http://h?x://y/z"), (12, "http://notnet/x"), (13, "http://x.net/y"), (13, "http://x.net/y"), (14, "http://" + "q" * 3000 + ".com/"),
-    ] + [(100 + i, f"http://the-water{i}.example.com/en/{i}") for i in range(40)]
+    ] + [(100 + i, f"http://the-water{i}.example.com/en/{i}") for i in range(40)] + [(200 + i, f"http://{w}{i}.example.com/{i}") for i, w in enumerate(["casino", "pills"] * 8)]
     df = spark.createDataFrame([(i, u, "<html><script>var casino</script><p>the water win the</p></html>" if i != 3 else None) for i, u in rows], "page_id long, url string, html string").withColumn("host", F.lit("clash"))
     got = {r["page_id"]: r for r in urls.judge(df).collect()}
     for i, u in rows:
@@ -475,6 +487,30 @@ def test_segmenter_is_the_best_split():
         assert sum(map(s._cost, got)) == pytest.approx(best(t)[0])
 
 
+def test_bayes_is_the_textbook_formula(spark):
+    """Log-odds of all pages against counts of their tokens by hand."""
+    rows = [(i, f"http://{h}.example.com/{p}", None) for i, (h, p) in enumerate([("casino", "win"), ("casino", "play"), ("news", "win"), ("news", "read"), ("bets", "play/now"), ("water", "read"), ("water", "now")])]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    tokens = {i: r["tokens"] for i, r in got.items()}
+    block = {i for i, t in tokens.items() if {"h:casino", "h:bets"} & set(t)}
+    counts = [Counter(x for i, t in tokens.items() if (i in block) == side for x in t) for side in (True, False)]
+    seen, sums = len(counts[0] | counts[1]) + 1, [sum(c.values()) for c in counts]
+    weight = lambda x: math.log((counts[0][x] + 1) / (sums[0] + seen)) - math.log((counts[1][x] + 1) / (sums[1] + seen))
+    for i, t in tokens.items():
+        odds = math.log((len(block) + 1) / (len(rows) - len(block) + 1)) + sum(map(weight, t))
+        assert got[i]["log_odds"] == pytest.approx(odds) and got[i]["verdict"] == ("block" if odds > 0 else "allow")
+
+
+def test_url_verdicts_of_held_out_hosts(spark):
+    """Hosts that the model did not learn from are judged as their seeds say."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    out = F.pmod(F.xxhash64("host"), F.lit(4)) == 0
+    got = urls.judge(pages, {}, held_out=out).where(out)
+    bad = F.exists("tokens", lambda x: F.substring(x, 3, 100).isin(*urls.SEEDS))
+    r = got.agg(F.avg((bad == (F.col("verdict") == "block")).cast("int")), F.sum(bad.cast("int")), F.count("*")).first()
+    assert r[0] > 0.97 and r[1] > 10
+
+
 # 9 token files
 
 

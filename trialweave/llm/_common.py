@@ -67,7 +67,7 @@ def estimated_bytes(df: DataFrame) -> int:
     return sum(x or 0 for x in row[:-1]) + 8 * len(df.columns) * row[-1]
 
 
-def groups_for(df: DataFrame, mb: int = 8, least: int = 64, blob: int = 0) -> int:
+def groups_for(df: DataFrame, mb: int = 8, least: int = 12, blob: int = 0) -> int:
     """How many groups hold about ``mb`` MB of input each; grows with the input.
 
     With ``blob``, groups send as many parts as there are groups: then they grow with the square root of the input, so
@@ -83,11 +83,8 @@ def one_array(column) -> pa.Array:
     return column
 
 
-def split_words(column, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, the word number at each position of all texts, and where each text begins (null: empty).
-
-    ``lower`` changes A-Z alone.
-    """
+def _split(column, lower: bool) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of all texts (null: empty), and where each text begins; ``lower`` changes A-Z alone."""
     texts = pc.fill_null(one_array(column).cast(pa.string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, off = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
@@ -96,12 +93,44 @@ def split_words(column, lower: bool = False) -> tuple[list[bytes], np.ndarray, n
     if not full.all():
         flat = flat.filter(pa.array(full))
         off = np.concatenate([[0], np.cumsum(full)])[off]
-    coded = flat.dictionary_encode()
+    return flat.dictionary_encode(), off
+
+
+def split_words(column, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the word number at each position of all texts, and where each text begins."""
+    coded, off = _split(column, lower)
     return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), off
 
 
+def split_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As split_words, with the hashes of the distinct words in place of the words."""
+    coded, off = _split(column, lower)
+    return hashes(coded.dictionary.cast(pa.binary())), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), off
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    return hashes(pa.array(words, pa.binary()))
+
+
+def hashes(words: pa.BinaryArray) -> np.ndarray:
+    """64-bit hashes of byte strings: eight bytes of all of them at a time; of those above 512 bytes one by one."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    start, size = ends[:-1], np.diff(ends)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    data = np.concatenate([raw, np.zeros(8, np.uint8)])
+    out, rows, step = mixed(size.astype(np.uint64), 21), np.flatnonzero((size > 0) & (size <= 512)), 0
+    while len(rows):
+        left = np.minimum(size[rows] - step, 8).astype(np.uint64)
+        part = data[(start[rows] + step)[:, None] + np.arange(8)].view("<u8").ravel() & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        out[rows] = mixed(out[rows] ^ part, 22 + step)
+        step += 8
+        rows = rows[size[rows] > step]
+    for i in np.flatnonzero(size > 512).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]].tobytes())
+    return out
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -234,15 +263,30 @@ def _blobs(g: list[int], b: list[int], x: list[bytes]) -> pa.Table:
     return pa.table([pa.array(g, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.binary())], schema=BLOB_TYPE)
 
 
+def _labels(n: int) -> list[int]:
+    """n numbers that hash partitioning (32-bit Murmur3 of an int, seed 42) puts into n partitions, one into each."""
+    x = np.arange(40 * n + 400, dtype=np.uint32)
+    turn = lambda v, k: (v << np.uint32(k)) | (v >> np.uint32(32 - k))
+    h = turn(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+    h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    part, first = np.unique(h.astype(np.int32) % n, return_index=True)
+    return first.tolist() if len(part) == n else list(range(n))
+
+
 def in_groups(docs: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Deal rows out to n groups by the hash of their keys."""
-    return docs.withColumn("g", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartition(n, "g")
+    """Deal rows out to n groups by the hash of their keys, up to 4,096 of them each to a partition of its own."""
+    g = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    if n <= 4096:
+        g = F.element_at(F.lit(_labels(n)), g + 1)
+    return docs.withColumn("g", g.cast("int")).repartition(n, "g")
 
 
-def _reducer(reduce):
+def _reducer(reduce, order: dict[int, int]):
     def run(key, table):
         rows = sorted(zip(table["g"].to_pylist(), table["x"].to_pylist(), strict=True))
-        out = _blobs([g for g, _ in rows], [key[0].as_py()] * len(rows), reduce([g for g, _ in rows], [x for _, x in rows]))
+        out = _blobs([g for g, _ in rows], [order[key[0].as_py()]] * len(rows), reduce([g for g, _ in rows], [x for _, x in rows]))
         released()
         return out
 
@@ -259,29 +303,31 @@ def in_rounds(t: DataFrame, n: int, rounds: list, final, schema: str) -> DataFra
     round and at the end.
     """
     told: list[DataFrame] = []
+    labels = _labels(n) if n <= 4096 else list(range(n))
 
-    def sorted_answers(right, k):
-        out: list[list] = [[] for _ in range(k)]
-        for _, r, x in sorted(zip(right["b"].to_pylist(), right["r"].to_pylist(), right["x"].to_pylist(), strict=True)):
-            out[r].append(x)
-        return out
+    def asking(emit):
+        def blobs(key, table, answers):
+            return _blobs([key[0].as_py()] * n, labels, _tidy(emit, table, answers))
+
+        return (lambda key, table, right: blobs(key, table, lists(right))) if told else lambda key, table: blobs(key, table, [])
 
-    def asking(emit, k):
-        if not k:
-            return lambda key, table: _blobs([key[0].as_py()] * n, list(range(n)), _tidy(emit, table, []))
-        return lambda key, table, right: _blobs([key[0].as_py()] * n, list(range(n)), _tidy(emit, table, sorted_answers(right, k)))
+    def lists(right):
+        return [right[f"a{k}"].combine_chunks().values.to_pylist() for k in range(right.num_columns - 1)]
 
     def answered():
-        some = [a.withColumn("r", F.lit(r)) for r, a in enumerate(told)]
-        both = some[0]
-        for a in some[1:]:
-            both = both.unionByName(a)
-        return t.groupBy("g").cogroup(both.repartition(n, "g").groupBy("g"))
+        # Each round's answers are one exchange, whatever rounds read them; a group's answers are one row.
+        both = told[0]
+        for a in told[1:]:
+            both = both.join(a.hint("merge"), "g")
+        return t.groupBy("g").cogroup(both.groupBy("g"))
 
+    order = {b: i for i, b in enumerate(labels)}
     for k, (emit, reduce) in enumerate(rounds):
-        asked = answered().applyInArrow(asking(emit, k), BLOB) if k else t.groupBy("g").applyInArrow(asking(emit, 0), BLOB)
-        told.append(asked.repartition(n, "b").groupBy("b").applyInArrow(_reducer(reduce), BLOB))
-    return answered().applyInArrow(lambda key, table, right: _tidy(final, table, sorted_answers(right, len(rounds))), schema)
+        asked = answered().applyInArrow(asking(emit), BLOB) if told else t.groupBy("g").applyInArrow(asking(emit), BLOB)
+        answer = asked.repartition(n, "b").groupBy("b").applyInArrow(_reducer(reduce, order), BLOB).repartition(n, "g")
+        answer = answer.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("all")).select("g", F.col("all.x").alias(f"a{k}"))
+        told.append(answer)
+    return answered().applyInArrow(lambda key, table, right: _tidy(final, table, lists(right)), schema)
 
 
 def _tidy(f, *args):

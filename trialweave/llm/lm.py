@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import BLOB_BYTES, bounds, bucketed, exact_sums, frame, groups_for, in_groups, in_rounds, mixed, pack, pack_sorted, split_words, sums, unframe, unpack, unpack_sorted, word_hashes
+from trialweave.llm._common import BLOB_BYTES, bounds, bucketed, exact_sums, frame, groups_for, in_groups, in_rounds, mixed, pack, pack_sorted, split_hashes, sums, unframe, unpack, unpack_sorted
 
 END, START = 0x656E64206F662074, 0x7374617274206F66
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -46,15 +46,15 @@ class _Group:
     """
 
     def __init__(self, table: pa.Table, n: int):
-        words, at, off = split_words(table["text"], lower=True)
-        docs, self.n = len(off) - 1, n
-        h = np.concatenate([word_hashes(words), np.array([END, START], np.uint64)])
+        h, at, off = split_hashes(table["text"], lower=True)
+        docs, self.n, words = len(off) - 1, n, len(h)
+        h = np.concatenate([h, np.array([END, START], np.uint64)])
         self.off = off + np.arange(docs + 1)
         last = self.off[1:] - 1
         token = np.empty(int(self.off[-1]), np.int64)
         is_end = np.zeros(len(token), bool)
         is_end[last] = True
-        token[~is_end], token[is_end] = at, len(words)
+        token[~is_end], token[is_end] = at, words
         self.words, number = np.unique(bucketed(h, n), return_inverse=True)  # of words, end and start
         self.token = number[token]
         self.begins = self.off[:-1]
@@ -63,8 +63,8 @@ class _Group:
         self.held = table["held_out"].to_numpy(zero_copy_only=False).astype(bool) if docs else np.zeros(0, bool)
         self.train = np.repeat(~self.held, np.diff(self.off))
         lh, rh = mixed(self.words, 1), mixed(self.words, 2) << np.uint64(1)
-        self.pairs, first, self.pair = np.unique(bucketed(mixed(lh[self.left] + rh[self.token]), n), return_index=True, return_inverse=True)
-        self.pair_left, self.pair_word = self.left[first], self.token[first]
+        self.pairs, self.pair = np.unique(bucketed(mixed(lh[self.left] + rh[self.token]), n), return_inverse=True)
+        self.pair_left, self.pair_word = (_of(self.pair, x, len(self.pairs)) for x in (self.left, self.token))
         self.word_count = np.bincount(self.token, self.train, len(self.words)).astype(np.int64)
         self.pair_count = np.bincount(self.pair, self.train, len(self.pairs)).astype(np.int64)
         self.pair_held = np.bincount(self.pair, ~self.train, len(self.pairs)) > 0
@@ -84,15 +84,21 @@ class _Group:
         self.once = self.train & (count == 1) & ~wanted[before]
         self.asked = np.flatnonzero((count > 0) & ~self.once)
         code = mixed(mixed(self.pairs, 3)[before[self.asked]] + (mixed(self.words, 4) << np.uint64(1))[self.token[self.asked]])
-        self.tris, first, self.tri = np.unique(bucketed(code, self.n), return_index=True, return_inverse=True)
-        self.tri_context = before[self.asked][first]
-        self.tri_lower = self.pair[self.asked][first]
+        self.tris, self.tri = np.unique(bucketed(code, self.n), return_inverse=True)
+        self.tri_context, self.tri_lower = (_of(self.tri, x[self.asked], len(self.tris)) for x in (before, self.pair))
         self.tri_count = np.bincount(self.tri, self.train[self.asked], len(self.tris)).astype(np.int64)
         self.tri_cut = bounds(self.tris, self.n)
         self.contexts = np.unique(self.tri_context)
         self.context_cut = bounds(self.pairs[self.contexts], self.n)
 
 
+def _of(number: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The value of each of n things, which is the same wherever its number stands."""
+    out = np.empty(n, np.int64)
+    out[number] = values
+    return out
+
+
 class _Merge:
     """The keys of all groups' blobs as one numbering."""
 
@@ -162,7 +168,7 @@ def score(docs: DataFrame, held_out: Column, *, mb: int = 8) -> DataFrame:
         g, out = _Group(table, n), []
         g.with_trigrams(_joined(answers[0], 2), _flags(answers[0], 4, g.pair_cut))
         follow = np.bincount(g.pair_left, _flags(answers[0], 3, g.pair_cut), len(g.words)).astype(np.int64)
-        mine = int(table["g"][0].as_py()) % n
+        mine = int(table["g"][0].as_py()) % n  # counted in one bucket
         for b in range(n):
             w, t = slice(g.word_cut[b], g.word_cut[b + 1]), slice(g.tri_cut[b], g.tri_cut[b + 1])
             once = np.array([g.once.sum() if b == mine else 0], "<i8").tobytes()

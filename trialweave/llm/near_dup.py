@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import mixed, split_words, word_hashes, written
+from trialweave.llm._common import mixed, split_hashes, written
 from trialweave.llm.components import components
 from trialweave.llm.decontaminate import windows
 from trialweave.llm.token_files import slices
@@ -42,8 +42,8 @@ SIGNED = "doc_id long, key long, cls binary, n_words int, bands array<long>, sig
 
 def shingle_hashes(column, k: int = K):
     """Word hashes of all texts with their offsets, and shingle hashes with theirs."""
-    words, at, off = split_words(column, lower=True)
-    h = word_hashes(words)[at] if len(at) else np.zeros(0, np.uint64)
+    words, at, off = split_hashes(column, lower=True)
+    h = words[at]
     return h, off, *windows(h, off, k)
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import one_array, split_words, word_hashes
+from trialweave.llm._common import one_array, split_hashes
 from trialweave.llm.token_files import slices
 
 WORDS, META = 1 << 18, 512
@@ -48,9 +48,8 @@ def shape_and_words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: shape values; and of all texts in a row, the word buckets, with where each text begins."""
     texts = pc.fill_null(one_array(column).cast(pa.string()), "")
     n = len(texts)
-    words, at, off = split_words(texts, lower=True)
-    h = (word_hashes(words) & np.uint64(WORDS - 1)).astype(np.int64)
-    at_h = h[at] if len(at) else np.zeros(0, np.int64)
+    words, at, off = split_hashes(texts, lower=True)
+    at_h = (words & np.uint64(WORDS - 1)).astype(np.int64)[at]
     doc = np.repeat(np.arange(n), np.diff(off))
     kinds = np.unique(doc * max(1, len(words)) + at)
     distinct = np.bincount(kinds // max(1, len(words)), minlength=n).astype(float)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trialweave.llm._common import BLOB_BYTES, bounds, bucketed, frame, groups_for, in_groups, in_rounds, inside, mixed, pack, pack_sorted, rolling, split_words, unframe, unpack, unpack_sorted, word_hashes
+from trialweave.llm._common import BLOB_BYTES, bounds, bucketed, frame, groups_for, in_groups, in_rounds, inside, mixed, pack, pack_sorted, rolling, split_hashes, split_words, unframe, unpack, unpack_sorted
 
 BLOCK = 25
 WINDOW = 50
@@ -40,8 +40,8 @@ class _Group:
         if table["doc_id"].null_count:
             ids = np.array([LAST if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
         self.block, self.window = block, window
-        self.words, self.at, self.off = split_words(table["text"])
-        self.h = word_hashes(self.words)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        words, self.at, self.off = split_hashes(table["text"])
+        self.h = words[self.at]
         self.ids, self.doc = ids, np.repeat(np.arange(len(ids)), np.diff(self.off))
         # the hash of each block, and where it may start
         self.hb, self.okb = rolling(self.h, block), inside(self.off, block)
@@ -154,11 +154,12 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, block: int = BLOC
         np.add.at(edge, goes, 1)
         np.add.at(edge, goes + window, -1)
         gone = np.cumsum(edge)[:-1] > 0
+        words = split_words(table["text"])[0]  # in the order of the hashes
         shas, spans, removed = [], [], []
         for i, j in zip(g.off[:-1].tolist(), g.off[1:].tolist(), strict=True):
             out = gone[i:j]
             kept = g.at[i:j][~out].tolist() if out.any() else g.at[i:j].tolist()
-            shas.append(hashlib.sha256(b" ".join([g.words[w] for w in kept])).hexdigest())
+            shas.append(hashlib.sha256(b" ".join([words[w] for w in kept])).hexdigest())
             turn = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
             spans.append(turn.reshape(-1, 2).tolist())
             removed.append(int(out.sum()))
