@@ -501,10 +501,10 @@ def test_bayes_is_the_textbook_formula(spark):
         assert got[i]["log_odds"] == pytest.approx(odds) and got[i]["verdict"] == ("block" if odds > 0 else "allow")
 
 
-def test_url_verdicts_of_held_out_hosts(spark):
-    """Hosts that the model did not learn from are judged as their seeds say."""
+def test_url_verdicts_of_held_out_pages(spark):
+    """Pages that the model did not learn from are judged as their seeds say."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    out = F.pmod(F.xxhash64("host"), F.lit(4)) == 0
+    out = F.pmod(F.xxhash64("host", "path"), F.lit(4)) == 0
     got = urls.judge(pages, {}, held_out=out).where(out)
     bad = F.exists("tokens", lambda x: F.substring(x, 3, 100).isin(*urls.SEEDS))
     r = got.agg(F.avg((bad == (F.col("verdict") == "block")).cast("int")), F.sum(bad.cast("int")), F.count("*")).first()

@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 
 from trialweave.llm._common import written
 
+#: A key with more than this share of all rows, and so many at least, is hot: there are at most 1,000 such keys.
+HOT_SHARE, HOT_ROWS = 1000, 512
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, how: str = "inner") -> DataFrame:
+    """``rows`` (a stored table) with column ``value`` of ``table``, which has one row for each value of ``key``.
+
+    Entries of hot keys, at most 1,000, are broadcast, so their rows stay where they are; the others meet by a shuffle,
+    of which no key has more than a thousandth of the rows.
+    """
+    most = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key).collect()]
+    table = table.select(key, value)
+    if not hot:
+        return rows.join(table, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key, how).unionByName(rows.where(~is_hot).join(table.where(~is_hot), key, how))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(v, label) for every vertex of ``links`` (a, b): label is the least vertex that it is connected with.
@@ -28,10 +46,11 @@ def components(links: DataFrame) -> DataFrame:
         first = both.groupBy("v").agg(F.min(F.struct(order(F.col("u")).alias("o"), F.col("u").alias("u"))).alias("n"))
         mine = F.struct(order(F.col("v")).alias("o"), F.col("v").alias("u"))
         to = written(first.select(F.col("v").alias("from"), F.least(mine, F.col("n"))["u"].alias("to")))
-        ta, tb = to.select(F.col("from").alias("fa"), F.col("to").alias("ta")), to.select(F.col("from").alias("fb"), F.col("to").alias("tb"))
-        moved = edges.join(ta, F.col("a") == F.col("fa")).join(tb, F.col("b") == F.col("fb")).where("ta <> tb")
+        half = written(looked_up(edges, "a", to.select(F.col("from").alias("a"), F.col("to").alias("ta")), "ta").select("ta", "b"))
+        moved = looked_up(half, "b", to.select(F.col("from").alias("b"), F.col("to").alias("tb")), "tb").where("ta <> tb")
         edges = written(moved.groupBy(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).agg(F.lit(1).alias("x")).drop("x"))
-        labels = written(labels.join(to, F.col("label") == F.col("from"), "left").select("v", F.coalesce("to", "label").alias("label")))
+        step = looked_up(labels, "label", to.select(F.col("from").alias("label"), "to"), "to", "left")
+        labels = written(step.select("v", F.coalesce("to", "label").alias("label")))
         turn += 1
     least = labels.groupBy("label").agg(F.min("v").alias("least"))
-    return labels.join(least, "label").select("v", F.col("least").alias("label"))
+    return looked_up(labels, "label", least, "least").select("v", F.col("least").alias("label"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm._common import groups_for, mixed, one_array, written
-from trialweave.llm.components import components
+from trialweave.llm.components import components, looked_up
 
 THRESHOLD = 0.9
 TABLES, NEIGHBOURS, SCALE = 6, 2, 1.9
@@ -174,22 +174,23 @@ def link(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedd
 
     rows = written(v.repartition(groups_for(v, 1, 12)).mapInArrow(hashed, "vec_id long, m long, unit binary, keys binary, each array<long>"))
     member = written(rows.where("m is not null").groupBy("m").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"), F.first("unit").alias("unit"), F.first("keys").alias("keys"), F.first("each").alias("each")))
-    dealt = member.select("m", "mult", "unit", "keys", F.explode("each").alias("key"))
-    size = written(member.select(F.explode("each").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    large = size.where(F.col("size") > chunk).select("key", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
-    dealt = dealt.join(size.select("key"), "key").join(large, "key", "left")
+    cell = written(member.select("m", F.explode("each").alias("key")))
+    size = cell.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.when(F.col("size") > chunk, F.ceil(F.col("size") / chunk)).cast("int").alias("parts"))
+    # Vectors join their cells once these are cut into chunks; a vector has a bounded number of cells.
+    dealt = looked_up(cell, "key", size, "parts")
     mine = F.pmod(F.xxhash64("m"), F.col("parts")).cast("int")
     # A block (x, y), x <= y, holds chunks x and y; within a block of two chunks, side tells them apart.
     other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"), F.when(o == mine, 0).when(mine < o, 1).otherwise(2).alias("side")))
     one = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side")))
-    dealt = dealt.withColumn("block", F.explode(F.when(F.col("parts").isNull(), one).otherwise(other))).select("m", "mult", "unit", "keys", "key", F.xxhash64("key", "block.x", "block.y").alias("place"), "block.side")
+    dealt = dealt.withColumn("block", F.explode(F.when(F.col("parts").isNull(), one).otherwise(other))).select("m", "key", F.xxhash64("key", "block.x", "block.y").alias("place"), "block.side")
+    dealt = dealt.join(member.select("m", "mult", "unit", "keys"), "m")
     found = dealt.repartition(groups_for(v, 1, 48), "place").sortWithinPartitions("place").mapInArrow(lambda batches: _blocks(batches, dtype, tables, threshold), FOUND)
     found = written(found.groupBy("m", "label").agg(F.sum("n").alias("n")))
     label = components(found.select(F.col("m").alias("a"), F.col("label").alias("b")))
-    named = member.select("m", "least", "mult").join(label, F.col("m") == F.col("v"), "left").select("m", "least", "mult", F.coalesce("label", "m").alias("label"))
+    named = written(member.select("m", "least", "mult").join(label, F.col("m") == F.col("v"), "left").select("m", "least", "mult", F.coalesce("label", "m").alias("label")))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     links = found.groupBy("m").agg(F.sum("n").alias("n"))
-    of = named.join(least, "label").join(links, "m", "left").select("m", "component_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    of = looked_up(named, "label", least, "component_id").join(links, "m", "left").select("m", "component_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     out = rows.select("vec_id", "m").join(of, "m", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

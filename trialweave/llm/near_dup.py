@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import mixed, split_hashes, written
-from trialweave.llm.components import components
+from trialweave.llm._common import mixed, released, split_hashes, written
+from trialweave.llm.components import components, looked_up
 from trialweave.llm.decontaminate import windows
 from trialweave.llm.token_files import slices
 
@@ -158,16 +158,19 @@ def _between(group: DataFrame, label: DataFrame, reps: DataFrame, texts: DataFra
     mine = member.join(size, ["grp", "comp"]).select("grp", "cls", "comp", "big", part(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).alias("own"))
     met = mine.join(chunks, (F.col("grp") == F.col("g")) & ~F.coalesce(F.col("big") == F.col("of"), F.lit(False)))
     met = met.select("cls", "comp", "own", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
-    rows = met.join(texts, "cls").join(reps.select("cls", "sig"), "cls")
-    return written(rows.groupBy("block").applyInArrow(lambda table: _block_links(table, threshold), "a binary, b binary"))
+    signed = met.join(reps.select("cls", "sig"), "cls")
+    # Signatures first: texts go only to the blocks where their class has someone to be compared with.
+    asked = written(signed.groupBy("block").applyInArrow(_askers, signed.select("cls", "comp", "own", "block", "sig").schema))
+    return written(asked.join(texts, "cls").groupBy("block").applyInArrow(lambda table: _block_links(table, threshold), "a binary, b binary"))
 
 
-def _block_links(table: pa.Table, threshold: float) -> pa.Table:
-    own, cls, comp = table["own"].to_numpy(), table["cls"].to_pylist(), table["comp"].to_pylist()
+def _pairs_to_ask(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which classes of a block are to be compared (by signatures, of different components), and how far they agree."""
+    own, comp = table["own"].to_numpy(), table["comp"].to_pylist()
     n = len(own)
     sig = np.array(table["sig"].to_pylist(), np.int16).reshape(n, -1)
     number = {c: k for k, c in enumerate(sorted(set(comp)))}
-    kind = np.array([number[c] for c in comp])
+    kind = np.array([number[c] for c in comp], np.int64)
     agree = np.zeros((n, n), np.int16)
     for r in range(sig.shape[1]):
         agree += sig[:, r, None] == sig[None, :, r]
@@ -176,8 +179,19 @@ def _block_links(table: pa.Table, threshold: float) -> pa.Table:
         ask &= own[:, None] != own[None, :]
     i, j = np.nonzero(ask)
     order = np.argsort(-agree[i, j], kind="stable")
+    return kind, i[order], j[order]
+
+
+def _askers(table: pa.Table) -> pa.Table:
+    _, i, j = _pairs_to_ask(table)
+    return table.take(pa.array(np.union1d(i, j))).select(["cls", "comp", "own", "block", "sig"])
+
+
+def _block_links(table: pa.Table, threshold: float) -> pa.Table:
+    cls = table["cls"].to_pylist()
+    kind, i, j = _pairs_to_ask(table)
     _, _, h, off = shingle_hashes(table["text"])
-    root, found = list(range(len(number))), []
+    root, found = list(range(int(kind.max()) + 1)), []
 
     def top(k: int) -> int:
         while root[k] != k:
@@ -185,11 +199,12 @@ def _block_links(table: pa.Table, threshold: float) -> pa.Table:
             k = root[k]
         return k
 
-    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
         p, q = top(kind[x]), top(kind[y])
         if p != q and jaccard(h[off[x] : off[x + 1]], h[off[y] : off[y + 1]]) >= threshold:
             root[p] = q
             found.append((cls[x], cls[y]))
+    released()
     return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
 
@@ -198,9 +213,9 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     s = written(signed(docs))
     reps = written(s.where("n_words > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("r"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select("cls", "r.doc_id", "r.key", "bands", "sig"))
-    band = reps.select("cls", F.explode("bands").alias("band"))
+    band = written(reps.select("cls", F.explode("bands").alias("band")))
     led = band.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = written(band.join(led, "band").where("cls != a").groupBy("a", F.col("cls").alias("b")).agg(F.lit(1).alias("x")).drop("x"))
+    star = written(looked_up(band, "band", led, "a").where("cls != a").groupBy("a", F.col("cls").alias("b")).agg(F.lit(1).alias("x")).drop("x"))
     names = star.select(F.col("a").alias("cls")).unionByName(star.select(F.col("b").alias("cls"))).distinct()
     texts = written(reps.select("cls", "key").join(names, "cls").join(docs.select("key", "text"), "key").dropDuplicates(["cls"]).select("cls", "text"))
     links = written(verified(star, texts, threshold))
@@ -209,10 +224,10 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     more = _between(group, label, reps, texts, threshold)
     if more is not None:
         label = components(links.unionByName(more))
-    named = reps.select("cls", "doc_id").join(label, F.col("cls") == F.col("v"), "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
+    named = written(reps.select("cls", "doc_id").join(label, F.col("cls") == F.col("v"), "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")))
     least = named.groupBy("label").agg(F.min(F.struct("doc_id")).alias("least"))
-    of = named.select("cls", "label").join(least, "label").select("cls", F.col("least.doc_id").alias("class_id"))
-    out = s.select("doc_id", "key", "cls", "n_words").join(of, "cls", "left")
+    of = looked_up(named.select("cls", "label"), "label", least, "least").select("cls", F.col("least.doc_id").alias("class_id"))
+    out = looked_up(s.select("doc_id", "key", "cls", "n_words"), "cls", of, "class_id", "left")
     out = out.withColumn("class_id", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "key", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words")
 
