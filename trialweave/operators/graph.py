@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.session import shared_dir
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that driver and executors share, and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach_labels(edges: DataFrame, sources: DataFrame, budget: int | None = None) -> DataFrame | None:

@@ -54,3 +54,9 @@ def include_closure(files: DataFrame, roots: DataFrame, rounds: int = 100) -> Da
     known = inc.join(files.select(F.col("name").alias("dst")), "dst").select("src", "dst")
     reached = reach_labels(known, roots.select(F.col("name").alias("v")), rounds)
     return reached.select(F.col("v").alias("name")).orderBy("name")
+
+
+def self_pairs(rows: DataFrame, key: str, own: str, name: str) -> DataFrame:
+    """(reference, other): each row that is its group's own against the group's rows that are not."""
+    a = rows.where(F.col(own)).select(key, F.col(name).alias("reference"))
+    return a.join(rows.where(~F.col(own)).select(key, F.col(name).alias("other")), key).select("reference", "other")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import stats, text
 from trialweave.operators import graph, lists, metrics, scoring, store
+from trialweave.session import shared_dir
 from trialweave.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,10 +229,11 @@ def sim_l_pairs(spark, d):
 
 @query()
 def sim_t_c_pairs(spark, d):
-    """Token similarity of each short document with the first of its source and language (an Arrow UDF)."""
+    """Token similarity of each benchmark item with the first one, whose text is the one value that the driver reads (an Arrow UDF)."""
     docs = table(spark, d, "benchmark").select("item_id", "text")
-    first = docs.agg(F.min_by("text", "item_id").alias("ref"))
-    return docs.withColumn("k", F.lit(1)).join(first.withColumn("k", F.lit(1)), "k").select("item_id", F.round(text.sim_t_c("ref", "text"), 9).alias("sim_t_c"), F.round(text.sim_t("ref", "text"), 9).alias("sim_t"), F.lit(text.INTERPRETER).alias("interpreter"))
+    first = docs.agg(F.min_by("text", "item_id").alias("ref")).first()
+    ref = F.lit(first["ref"]).cast("string")
+    return docs.select("item_id", F.round(text.sim_t_c(ref, "text"), 9).alias("sim_t_c"), F.round(text.sim_t(ref, "text"), 9).alias("sim_t"), F.lit(text.INTERPRETER).alias("interpreter"))
 
 
 @query("""SELECT coalesce(n.n_nationkey, c.k)::INT AS nation, CASE WHEN n.n_nationkey IS NULL THEN 'unknown' WHEN c.k IS NULL THEN 'missing' ELSE 'both' END AS side, coalesce(c.n, 0) AS customers, coalesce(c.ok, FALSE) AS all_positive
@@ -330,14 +332,15 @@ def visible_definitions(spark, d):
 def progress_latest(spark, d):
     """The stream's answer once it has seen all events."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    name = f"progress_{abs(hash((d, id(spark)))) % 10**9}"
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     events = stream.select(F.col("user_id").alias("trial_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("value").alias("snapshot"))
-    spark.sql(f"DROP VIEW IF EXISTS {name}")
-    q = progress.latest(events).writeStream.outputMode("complete").format("memory").queryName(name).start()
+    out = shared_dir(spark)
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")  # noqa: E731  a batch that comes again replaces itself
+    q = progress.latest(events).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").foreachBatch(write).start()
     q.processAllAvailable()
     q.stop()
-    return spark.table(name).select(F.col("trial_id").alias("user_id"), "last_seq", "last_kind", "last_snapshot", "events")
+    rows = spark.read.parquet(f"{out}/rows").groupBy("trial_id").agg(F.max_by(F.struct("last_seq", "last_kind", "last_snapshot", "events"), "batch").alias("x"))
+    return rows.select(F.col("trial_id").alias("user_id"), "x.*")
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")

@@ -52,6 +52,9 @@ def partition_clashes(df: DataFrame, columns: tuple[str, ...] = schema.PARTITION
     return fold.where((F.size("prefixes") > 1) | F.exists("prefixes", lambda p: p.rlike(r"\.(/|$)")))
 
 
+SPREAD = 16
+
+
 def write_flat(tables: dict[str, DataFrame], out: str) -> None:
     """The flat tables as Hive partitions; all are computed before any is replaced, and a table without rows has no directory."""
     clash = partition_clashes(tables["trials"]).first()
@@ -59,14 +62,16 @@ def write_flat(tables: dict[str, DataFrame], out: str) -> None:
         raise ValueError(f"partition names clash: {clash['prefixes']}")
     staged = f"{out}/.staged-{uuid.uuid4().hex}"
     spark = tables["trials"].sparkSession
+    # A partition may hold most of the rows, so its trials are spread over several tasks (and files).
+    spread = (*schema.PARTITIONS, F.pmod(F.xxhash64("trial_id"), F.lit(SPREAD)))
     for name, df in tables.items():
-        df.select(*schema.FLAT[name].fieldNames()).repartition(*schema.PARTITIONS).sortWithinPartitions(*schema.SORT[name]).write.parquet(f"{staged}/{name}")
+        df.select(*schema.FLAT[name].fieldNames()).repartition(*spread).sortWithinPartitions(*schema.SORT[name]).write.parquet(f"{staged}/{name}")
     for name in tables:
         df = spark.read.schema(schema.FLAT[name]).parquet(f"{staged}/{name}")
         target = f"{out}/{name}"
         _delete(spark, target)
         if not df.isEmpty():
-            df.repartition(*schema.PARTITIONS).sortWithinPartitions(*schema.SORT[name]).write.mode("overwrite").partitionBy(*schema.PARTITIONS).parquet(target)
+            df.repartition(*spread).sortWithinPartitions(*schema.SORT[name]).write.mode("overwrite").partitionBy(*schema.PARTITIONS).parquet(target)
     _delete(spark, staged)
 
 
