@@ -185,6 +185,9 @@ def test_mix(spark, messy, empty):
     for r in by:
         assert r["g"] == pytest.approx(want[r["source"]]) and abs(r["t"] - r["g"]) <= r["most"]
     assert mixing.mix(empty).count() == 0
+    clash = messy.withColumns({c: F.lit("x") for c in ("row", "mix", "copy", "slice", "blocks", "of", "s", "k", "upto", "fill", "own", "gone", "first", "c", "class_id")})
+    assert mixing.mixed_rows(clash).columns == clash.columns and mixing.mixed_rows(clash).count() == mixing.mixed_rows(messy).count()
+    assert near_dup.dedup(clash).columns == clash.columns and near_dup.dedup(clash).count() == 7
     out = mixing.mixed_rows(messy)
     assert out.columns == messy.columns and out.count() == mixing.mix(messy).select(F.sum(F.size("shards"))).first()[0]
 
@@ -311,6 +314,22 @@ def test_near_dup_chain(spark):
     assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=repr) == classes_by_brute_force(rows)
 
 
+def test_near_dup_recall(spark):
+    """Pairs at similarities of 0.80 to 0.86: how many of those that exact weighted Jaccard links are found."""
+    rng = random.Random(8)
+    rows, linked = [], 0
+    for i in range(400):
+        w = [f"a{i}x{rng.randrange(10**6)}" for _ in range(300)]
+        v = list(w)
+        for at in rng.sample(range(10, 290), rng.choice([5, 6])):
+            v[at] = f"b{rng.randrange(10**9)}"
+        bags = [Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) for x in (w, v)]
+        linked += (bags[0] & bags[1]).total() / (bags[0] | bags[1]).total() >= 0.8
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id <> class_id").count()
+    assert linked > 200 and 0.99 * linked <= got <= linked
+
+
 def test_near_dup_messy(messy, empty):
     rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
     got = near_dup.classes(messy).collect()
@@ -373,6 +392,9 @@ def test_lattice(spark):
             got = lattice.link(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), chunk=chunk)
             assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == links_by_brute_force(rows)
     assert lattice.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    clash = spark.createDataFrame(rows + [(5, rows[50][1]), (5, rows[90][1]), (6, None)], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("m", "unit", "keys", "each", "key", "place", "side", "label", "parts", "e", "n")})
+    got = lattice.link(clash).collect()
+    assert len(got) == len(rows) + 3 and got[0].asDict().keys() == {"vec_id", "n_links", "component_id", "kept"} and sum(r["vec_id"] == 5 for r in got) == 3
     odd = lattice.link(spark.createDataFrame([(None, [1.0, 2.0]), (7, [1.0, 2.0])], "vec_id long, embedding array<float>")).collect()
     assert {(r["vec_id"], r["n_links"]) for r in odd} == {(None, 1), (7, 1)}
 

@@ -47,3 +47,15 @@ def test_pipeline(spark):
         ids = [*tok.encode(text, add_special_tokens=False).ids, 2]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_stages_on_messy_and_empty_tables(spark, messy, empty):
+    """Every stage takes nulls, blanks, repeated rows, extra columns and no rows at all."""
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        for docs in (messy, empty):
+            out = stage(spark, docs, SF)
+            assert name == "tokens" or out.columns == docs.columns
+            n = out.count()
+            assert (n == 0) if docs is empty else (0 < n <= 3 * docs.count())

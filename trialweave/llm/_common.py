@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.session import shared_dir
+
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library
@@ -23,19 +23,6 @@ except OSError:  # another C library
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share, which ``spark.checkpoint.dir`` names.
-
-    Where it is unset, only a session of one machine gets a folder of its own; a cluster has to name one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives a lost executor."""
     path = shared_dir(df.sparkSession)
@@ -43,6 +30,11 @@ def written(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema((df.select(*cols) if cols else df).schema).parquet(path)
 
 
+def whole_row(df: DataFrame):
+    """All columns as one struct, so that what is added beside it clashes with no name."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 #: Plans whose size in bytes the optimizer knows: a relation, and what takes columns or rows from it.
 _SIZED = {"Project", "Filter", "LogicalRelation", "SubqueryAlias", "RepartitionByExpression", "Repartition", "Sample"}
 
@@ -325,7 +317,8 @@ def in_rounds(t: DataFrame, n: int, rounds: list, final, schema: str) -> DataFra
     for k, (emit, reduce) in enumerate(rounds):
         asked = answered().applyInArrow(asking(emit), BLOB) if told else t.groupBy("g").applyInArrow(asking(emit), BLOB)
         answer = asked.repartition(n, "b").groupBy("b").applyInArrow(_reducer(reduce, order), BLOB).repartition(n, "g")
-        answer = answer.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("all")).select("g", F.col("all.x").alias(f"a{k}"))
+        # (The filter is the one that the joins below would add: with it everywhere, the exchange is the same everywhere.)
+        answer = answer.where("g is not null").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("all")).select("g", F.col("all.x").alias(f"a{k}"))
         told.append(answer)
     return answered().applyInArrow(lambda key, table, right: _tidy(final, table, lists(right)), schema)
 

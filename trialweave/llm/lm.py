@@ -141,7 +141,7 @@ def _facts(answers: list[bytes]) -> np.ndarray:
     return np.sum([np.frombuffer(unframe(x)[0], "<i8") for x in answers], axis=0)
 
 
-def score(docs: DataFrame, held_out: Column, *, mb: int = 8) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, mb: int = 3) -> DataFrame:
     """Score every text of ``docs`` (doc_id, text) with a model of the texts where ``held_out`` is false."""
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n = groups_for(docs, mb, blob=BLOB_BYTES)

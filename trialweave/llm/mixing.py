@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import WORD, groups_for, written
+from trialweave.llm._common import WORD, groups_for, whole_row, written
 
 MAX_BLOCKS = 1 << 16
 BLOCK_WORDS = 1 << 16
@@ -101,28 +101,27 @@ def _block(key: Column, blocks: Column) -> Column:
 
 
 def decide(docs: DataFrame, mixture: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str = "source", seed: int = 7) -> DataFrame:
-    """``docs`` with a column ``__mix``: size, source_size, target, shards and places (one entry for each time it is taken).
+    """``row`` (a struct of all columns of ``docs``) and ``mix``: size, source_size, target, shards and places.
 
-    The plan has at most 65,536 blocks and one a source, so it is broadcast and no document moves.
+    ``shards`` and ``places`` have one entry for each time a document is taken. The plan has at most 65,536 blocks and one
+    a source, so it is broadcast and no document moves.
     """
-    key = F.xxhash64(doc_id, F.lit(seed))
     p = written(mixture)
-    of = p.groupBy(F.col("s").alias("__s")).agg(F.first("blocks").alias("__blocks"))
-    d = docs.withColumn("__size", size).join(F.broadcast(of), F.col(source).eqNullSafe(F.col("__s")))
-    p = p.select(*[F.col(c).alias(f"__{c}") for c in p.columns if c not in ("s", "blocks")], F.col("s").alias("__ps"))
-    d = d.join(F.broadcast(p), F.col("__s").eqNullSafe(F.col("__ps")) & (_block(key, F.col("__blocks")) == F.col("__k")))
-    place = F.struct(key.alias("key"), F.col(doc_id).alias("doc_id"), F.col("__size").alias("size"))
-    drawn = F.coalesce((place <= F.col("__upto")) | F.array_contains("__fill", place), F.lit(False)) & F.col("__part_shard").isNotNull()
-    to = F.when(drawn, F.concat("__shards", F.array("__part_shard"))).otherwise(F.col("__shards"))
-    places = F.transform(to, lambda shard, i: F.xxhash64(key, i, F.lit(seed + 1)))
-    out = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), to.alias("shards"), places.alias("places"))
-    return d.select(*[docs[c] for c in docs.columns], out.alias("__mix"))
+    of = p.groupBy(F.col("s").alias("of")).agg(F.first("blocks").alias("blocks"))
+    d = docs.select(whole_row(docs).alias("row"), F.xxhash64(doc_id, F.lit(seed)).alias("key"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
+    d = d.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("of")))
+    d = d.join(F.broadcast(p.drop("blocks")), F.col("source").eqNullSafe(F.col("s")) & (_block(F.col("key"), F.col("blocks")) == F.col("k")))
+    place = F.struct("key", "doc_id", "size")
+    drawn = F.coalesce((place <= F.col("upto")) | F.array_contains("fill", place), F.lit(False)) & F.col("part_shard").isNotNull()
+    to = F.when(drawn, F.concat("shards", F.array("part_shard"))).otherwise(F.col("shards"))
+    places = F.transform(to, lambda shard, i: F.xxhash64("key", i, F.lit(seed + 1)))
+    return d.select("row", F.struct("size", "source_size", "target", to.alias("shards"), places.alias("places")).alias("mix"))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **options) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, shards and places (one entry for each time it is taken)."""
     d = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")))
-    return decide(d, plan(d, seed=seed, **options), F.col("size"), seed=seed).select("doc_id", "source", "__mix.*")
+    return decide(d, plan(d, seed=seed, **options), F.col("size"), seed=seed).select("row.doc_id", "row.source", "mix.*")
 
 
 def mixed_rows(docs: DataFrame, *, shards: int = 8, mb: int = 16, **options) -> DataFrame:
@@ -133,10 +132,9 @@ def mixed_rows(docs: DataFrame, *, shards: int = 8, mb: int = 16, **options) ->
     n = -(-groups_for(docs, mb, shards) // shards)
     d = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
     out = decide(docs, plan(d, shards=shards, **options), size_of(F.col("text")))
-    out = out.withColumn("__copy", F.explode(F.arrays_zip("__mix.shards", "__mix.places"))).drop("__mix")
-    out = out.withColumn("__slice", F.col("__copy.shards") * n + F.pmod(F.col("__copy.places"), F.lit(n)).cast("int"))
-    out = out.repartition(shards * n, "__slice").sortWithinPartitions("__slice", F.col("__copy.places"))
-    return out.drop("__copy", "__slice")
+    out = out.select("row", F.explode(F.arrays_zip("mix.shards", "mix.places")).alias("copy"))
+    out = out.withColumn("slice", F.col("copy.shards") * n + F.pmod(F.col("copy.places"), F.lit(n)).cast("int"))
+    return out.repartition(shards * n, "slice").sortWithinPartitions("slice", "copy.places").select("row.*")
 
 
 def _table(spark, rows: list[dict], schema: str) -> DataFrame:

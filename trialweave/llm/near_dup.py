@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import mixed, released, split_hashes, written
+from trialweave.llm._common import mixed, released, split_hashes, whole_row, written
 from trialweave.llm.components import components, looked_up
 from trialweave.llm.decontaminate import windows
 from trialweave.llm.token_files import slices
@@ -233,15 +233,15 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one of each group left (that of the least doc_id), with all their columns."""
+    """The documents with one of each group left (that of the least doc_id), with all their columns, whatever their names."""
     out = written(classes(docs, **options))
-    gone = out.where("not kept").select(F.col("key").alias("__gone")).distinct()
-    twice = out.where("kept and n_words > 0").groupBy("class_id").agg(F.min("key").alias("__first"), F.count("*").alias("n")).where("n > 1")
-    mine = F.xxhash64("doc_id", "text")
-    left = docs.withColumn("__key", mine).join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    gone = out.where("not kept").select(F.col("key").alias("gone")).distinct()
+    kept = out.where("kept and n_words > 0").select("class_id", "key")
+    twice = kept.groupBy("class_id").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("class_id").alias("c"), "first")
+    left = docs.select(whole_row(docs).alias("row"), F.xxhash64("doc_id", "text").alias("own")).join(gone, F.col("own") == F.col("gone"), "left_anti")
     if not twice.limit(1).count():
-        return left.drop("__key")
+        return left.select("row.*")
     # Rows of one doc_id in one group: the least key stays, once.
-    again = out.where("kept and n_words > 0").select(F.col("class_id").alias("__class"), F.col("key").alias("__k")).join(twice.withColumnRenamed("class_id", "__c"), F.col("__class").eqNullSafe(F.col("__c"))).select("__k", "__first").distinct()
-    rest, same = left.join(again, F.col("__key") == F.col("__k"), "left_anti"), left.join(again, (F.col("__key") == F.col("__k")) & (F.col("__key") == F.col("__first")))
-    return rest.drop("__key").unionByName(same.dropDuplicates(["__key"]).drop("__key", "__k", "__first"))
+    again = kept.join(twice, F.col("class_id").eqNullSafe(F.col("c"))).select("key", "first").distinct()
+    rest, same = left.join(again, F.col("own") == F.col("key"), "left_anti"), left.join(again, (F.col("own") == F.col("key")) & (F.col("own") == F.col("first")))
+    return rest.select("row.*").unionByName(same.dropDuplicates(["own"]).select("row.*"))

@@ -14,7 +14,7 @@ doc_id among the labelled and among the unlabelled; the model is of fixed size (
 text.
 
 Defined cases: null texts count as empty and null metadata as a value of its own; several label rows of a document count
-as the worst of them, a null label as not bad; without labels of both kinds every document is kept with score 0.5;
+as the worst of them, a null label as not bad; of rows of one doc_id the least is learned from; without labels of both kinds every document is kept with score 0.5;
 with fewer than five labelled documents of a kind there are no folds, and the score is of the mean of both log-odds;
 repeated rows are scored each; an empty table gives no rows. ``keep`` hands on all columns, whatever their names.
 """
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import one_array, split_hashes
+from trialweave.llm._common import one_array, released, split_hashes, word_hashes
 from trialweave.llm.token_files import slices
 
 WORDS, META = 1 << 18, 512
@@ -71,19 +71,19 @@ def _counted(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def evidence(strength: np.ndarray, off: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
     """The word evidence of each text, from the strength of each of its words, which occur ``count`` times."""
-    count = np.ones(len(strength)) if count is None else count.astype(float)
     n, full = len(off) - 1, np.flatnonzero(np.diff(off) > 0)
     top, many, size = np.zeros(n), np.zeros(n), np.ones(n)
     if len(full):
-        top[full] = np.maximum.reduceat(strength, off[:-1][full])
-        many[full] = np.add.reduceat((strength > 2) * count, off[:-1][full])
-        size[full] = np.add.reduceat(count, off[:-1][full])
+        at, strong = off[:-1][full], strength > 2
+        top[full] = np.maximum.reduceat(strength, at)
+        many[full] = np.add.reduceat(strong if count is None else strong * count, at, dtype=np.int64)
+        size[full] = np.diff(off)[full] if count is None else np.add.reduceat(count, at, dtype=np.int64)
     return np.stack([top, np.log1p(many), many / size], axis=1)
 
 
 def strengths(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
     """Log ratio of document frequencies in bad and good texts; 0 for words of fewer than two bad texts."""
-    s = np.log(np.maximum(bad - 0.5, 0.5) / np.maximum(n_bad, 1)) - np.log((good + 0.5) / np.maximum(n_good, 1))
+    s = np.log(np.maximum(bad - 0.5, 0.5) / np.maximum(n_bad, 1)) - np.log(np.maximum(good + 0.5, 0.5) / np.maximum(n_good, 1))
     return np.where(bad >= 2, np.maximum(s, 0), 0)
 
 
@@ -116,7 +116,9 @@ class TextView:
         g = np.repeat(good, np.diff(off))
         bad_n, good_n = (np.bincount(words[k], minlength=WORDS).astype(float) for k in (~g, g))
         n_bad, n_good = float((~good).sum()), float(good.sum())
-        s = strengths(bad_n[words] - ~g, good_n[words] - g, n_bad - ~g, n_good - g)  # a text is no evidence for itself
+        # A text is no evidence for itself: one table for words of good texts, one for those of bad ones.
+        own = [x.astype(np.float32) for x in (strengths(bad_n - 1, good_n, n_bad - 1, n_good), strengths(bad_n, good_n - 1, n_bad, n_good - 1))]
+        s = np.where(g, own[1][words], own[0][words])
         self.strength = strengths(bad_n, good_n, n_bad, n_good).astype(np.float32)
         self.mean, self.std = shape.mean(axis=0), shape.std(axis=0) + 1e-6
         self.w = logistic(self._x(shape, evidence(s, off, count)), good.astype(float))
@@ -127,7 +129,7 @@ class TextView:
         return np.concatenate([np.ones((len(z), 1)), z, z**2, words, (words[:, :1] > 3.5), (words[:, :1] > 5)], axis=1)
 
     def logit(self, shape: np.ndarray, at: np.ndarray, off: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
-        return self._x(shape, evidence(self.strength[at].astype(float), off, count)) @ self.w
+        return self._x(shape, evidence(self.strength[at], off, count)) @ self.w
 
     def logits_of(self, docs, shape) -> np.ndarray:
         words, count, off = _joined(docs)
@@ -136,7 +138,7 @@ class TextView:
 
 def _joined(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts' distinct words in a row, their counts, and where each text begins."""
-    words, count = (np.concatenate([d[i] for d in docs] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    words, count = (np.concatenate([d[i] for d in docs] or [np.zeros(0, np.int32)]) for i in (0, 1))
     return words, count, np.concatenate([[0], np.cumsum([len(w) for w, _ in docs])]).astype(np.int64)
 
 
@@ -226,7 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     pool = docs.select("doc_id").where("doc_id is not null").join(y, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(max_pool).select("doc_id", F.lit(False).alias("good"), F.lit(False).alias("known"))
     # At most max_labelled + max_pool rows of 10 bytes.
     wanted = F.broadcast(labelled.unionByName(pool).dropDuplicates(["doc_id"]))
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(wanted, "doc_id")
+    # One row a document, however often it is there: the least.
+    own = F.struct("text", "source", "lang", "n_chars", "good", "known")
+    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(wanted, "doc_id").groupBy("doc_id").agg(F.min(own).alias("r")).select("doc_id", "r.*")
 
     def run(batches):
         for batch in batches:
@@ -243,8 +247,13 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     if not (good_ & known).any() or not (~good_ & known).any():
         return None
     fold = folds(got["doc_id"].to_pylist(), good_, known)
-    pairs = [(np.frombuffer(w, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(np.int64)) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist(), strict=True)]
-    return CoTrained(pairs, np.array(got["shape"].to_pylist()).reshape(-1, SHAPE), np.array(got["meta"].to_pylist(), np.int64).reshape(-1, 3), good_, fold, rounds)
+    pairs = [(np.frombuffer(w, "<i4"), np.frombuffer(c, "<i4")) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist(), strict=True)]
+    shape, meta = np.array(got["shape"].to_pylist()).reshape(-1, SHAPE), np.array(got["meta"].to_pylist(), np.int64).reshape(-1, 3)
+    del got
+    model = CoTrained(pairs, shape, meta, good_, fold, rounds)
+    del pairs
+    released()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:

@@ -90,7 +90,7 @@ def _bits(x: np.ndarray) -> bytes:
     return np.packbits(x).tobytes()
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK, mb: int = 8) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK, mb: int = 3) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and the removed spans (first word, end)."""
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block wherever it starts")

@@ -30,7 +30,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm._common import groups_for, one_array, released, shared_dir, split_words, written
+from trialweave.llm._common import groups_for, one_array, released, split_words, written
+from trialweave.session import shared_dir
 
 END_ID = 2
 SEQ_LEN = 2048
