@@ -46,3 +46,44 @@ def test_small_functions(spark):
     assert [r[0] for r in a.select(text.first_difference(F.col("a"), F.col("b"))).collect()] == [1, None, 1, None]
     s = spark.createDataFrame([("abc", "abd"), ("x", None)], "a string, b string").select(text.sim_ids(lambda t: list(map(ord, t)), lambda i: "".join(map(chr, i)))("a", "b")).collect()
     assert s[0][0] == pytest.approx(2 / 3) and s[1][0] is None
+
+
+def test_suites(spark, tmp_path):
+    import copy
+
+    import yaml
+
+    from trialweave.plans import suites
+
+    good = {
+        "suite": "s1", "repo": "https://example.com/x", "commit": "a" * 40,
+        "items": {
+            "one": {"split": "eval", "languages": {"cuda": {"dir": "src/one", "files": ["a.cu"], "sha256": {"a.cu": "b" * 64}, "support": {"h.h": {"upstream": "h.h", "sha256": "c" * 64}}}, "omp": {"dir": "assets/x", "files": ["a.cpp"], "tracked": True}}, "passfail": ["omp"], "run_args": ["3"]},
+            "two": {"split": "train", "languages": {"cuda": {"dir": "src/two", "files": ["b.cu"]}}, "inputs": [{"name": "x", "dtype": "f32", "shape": [4, 4], "dist": "uniform"}], "outputs": ["y"], "seed": 7, "tolerance": {"metric": "pcc", "threshold": 0.9}},
+        },
+    }
+    path = tmp_path / "s1.yaml"
+    path.write_text(yaml.safe_dump(good))
+    suite = suites.load_suite(path)
+    assert suite.splits() == {"one": "eval", "two": "train"} and suites.program_args(suite.items["two"]) == ["@inputs/x.lassiio", "y.lassiio"] and suites.program_args(suite.items["one"]) == ["3"]
+    tables = suites.suite_tables(spark, [suite])
+    assert {(r["item"], r["path"], r["tracked"]) for r in tables["files"].collect()} == {("one", "src/one/a.cu", False), ("one", "assets/x/a.cpp", True), ("two", "src/two/b.cu", False)}
+    assert tables["items"].where("item = 'two'").first()["threshold"] == 0.9
+
+    def bad(change):
+        x = copy.deepcopy(good)
+        change(x, x["items"]["one"], x["items"]["two"])
+        return {k for k, _ in suites.problems(x, "s1")}
+
+    assert bad(lambda s, a, b: None) == set()
+    for change, key in (
+        (lambda s, a, b: s.update(commit="abc"), "suite.commit"), (lambda s, a, b: s.update(more=1), "suite.more"), (lambda s, a, b: a.pop("split"), "items.one.split"), (lambda s, a, b: a.update(split="x"), "items.one.split"),
+        (lambda s, a, b: a.update(passfail=["rust"]), "items.one.passfail"), (lambda s, a, b: a.update(support={"h.h": "h.h"}), "items.one.support"), (lambda s, a, b: b.pop("seed"), "items.two"), (lambda s, a, b: b.update(run_args=[]), "items.two.run_args"),
+        (lambda s, a, b: b["inputs"][0].update(shape=[1 << 11, 1 << 10]), "items.two.inputs.0.shape"), (lambda s, a, b: b["tolerance"].update(threshold=2), "items.two.tolerance"), (lambda s, a, b: a["languages"]["omp"].update(dir="src"), "items.one.languages.omp.dir"),
+        (lambda s, a, b: a["languages"]["cuda"].update(sha256={}), "items.one.languages.cuda.sha256"), (lambda s, a, b: a["languages"]["cuda"].update(files=["../x"]), "items.one.languages.cuda.files"), (lambda s, a, b: s.update(repo="PLACEHOLDER x"), "repo"),
+        (lambda s, a, b: b.update(seed=True), "items.two.seed"), (lambda s, a, b: a["languages"]["cuda"]["support"].update(x={"tracked": "src"}), "items.one.languages.cuda.support.x.tracked"),
+    ):
+        assert key in bad(change), key
+    path.write_text(yaml.safe_dump({**good, "suite": "other"}))
+    with pytest.raises(ValueError, match="suite.suite"):
+        suites.load_suite(path)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.functions import ids, stats, text
-from trialweave.operators import attempts, compare, flatten, lists, metrics, parsers, scoring, simulator, store, tasks
+from trialweave.operators import attempts, compare, facts, flatten, lists, metrics, parsers, scoring, simulator, store, tasks
 from trialweave.queries import ORACLE_SQL, QUERIES, query, rounded, table
 from trialweave.sources.schema import TRIAL
 
@@ -319,4 +319,22 @@ def self_pairs(spark, d):
     return tasks.self_pairs(table(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") < 0).alias("own")), "s_nationkey", "own", "s_suppkey")
 
 
+@query(f"""WITH {_A} SELECT trial_id, 'attempt ' || i AS section, 0 AS ordinal, 'stage reached' AS key, stage AS value FROM a UNION ALL SELECT trial_id, 'attempt ' || i, 2, 'exit_code', CASE WHEN failed THEN '1' ELSE '0' END FROM a
+UNION ALL SELECT trial_id, 'reference run', 4, 'stdout_truncated', CASE WHEN l_orderkey % 4 = 0 THEN 'true' ELSE 'false' END FROM a WHERE i = 0 UNION ALL SELECT trial_id, 'summary', 8, 'attempts', n::VARCHAR FROM a WHERE i = 0""")
+def page_facts(spark, d):
+    f = facts.trial_facts(trials(spark, d))
+    return f.where("(section like 'attempt%' and ordinal in (0, 2)) or (section = 'reference run' and ordinal = 4) or (section = 'summary' and ordinal = 8)")
+
+
+@query(f"""WITH {_A}, m AS (SELECT trial_id, i AS request, 0 AS ordinal, 'system' AS role, sha256(l_returnflag) AS sha256 FROM a UNION ALL SELECT trial_id, i, 1, 'user', sha256(l_partkey::VARCHAR) FROM a)
+SELECT *, row_number() OVER (PARTITION BY trial_id, sha256 ORDER BY request, ordinal) = 1 AS first FROM m""")
+def page_messages(spark, d):
+    return facts.shown_messages(trials(spark, d))
+
+
+@query(f"WITH {_A} SELECT trial_id, 'stderr_truncated' AS flag, n + 1 AS missing FROM a WHERE i = 0 UNION ALL SELECT trial_id, 'workdir_incomplete', 1 FROM a WHERE i = 0")
+def unrecorded_flags(spark, d):
+    return facts.missing_flags(trials(spark, d))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
