@@ -64,14 +64,14 @@ def _attempt(x: Column, i: Column) -> Column:
 
 
 @query(f"""WITH {_A} SELECT trial_id, 'suite' AS project, 'arm' || (l_orderkey % 3) AS arm, 'bench' AS bench, 'a-to-b' AS direction, 'item' || (l_orderkey % 5) AS item, l_orderkey AS run, sha256(l_orderkey::VARCHAR) AS recipe_hash,
-CASE WHEN l_orderkey % 2 = 0 THEN 'host' END AS provenance_device, 0 AS reference_run_exit_code, l_orderkey % 4 = 0 AS reference_run_stdout_truncated, (n - 1) AS final_corrections,
+CASE WHEN l_orderkey % 2 = 0 THEN 'host' END AS provenance_device, 0::BIGINT AS reference_run_exit_code, l_orderkey % 4 = 0 AS reference_run_stdout_truncated, (n - 1) AS final_corrections,
 CASE l_orderkey % 7 WHEN 0 THEN 'sim-gap' WHEN 1 THEN 'correction-cap' END AS final_end_reason_code, n AS attempt_count FROM a WHERE i = 0""")
 def flat_trials(spark, d):
     cols = "trial_id project arm bench direction item run recipe_hash provenance_device reference_run_exit_code reference_run_stdout_truncated final_corrections final_end_reason_code attempt_count"
     return flatten.flat_tables(trials(spark, d))["trials"].select(*cols.split())
 
 
-@query(f"""WITH {_A} SELECT trial_id, i AS index, '{{"f' || l_linenumber || '.cu":"' || l_returnflag || '"}}' AS files, stage AS stage_reached, (w + 1 + CASE WHEN failed THEN 2 ELSE 0 END) AS diagnostic_count, CASE WHEN failed THEN 1 ELSE 0 END AS run_exit_code,
+@query(f"""WITH {_A} SELECT trial_id, i AS index, '{{"f' || l_linenumber || '.cu":"' || l_returnflag || '"}}' AS files, stage AS stage_reached, (w + 1 + CASE WHEN failed THEN 2 ELSE 0 END) AS diagnostic_count, CASE WHEN failed THEN 1::BIGINT ELSE 0 END AS run_exit_code,
 CASE WHEN kept THEN 's' END AS run_stdout_ref_sha256, mean AS alignment_mean, broken AS guards_host_compute FROM a""")
 def flat_attempts(spark, d):
     return flatten.flat_tables(trials(spark, d))["attempts"].select("trial_id", "index", "files", "stage_reached", "diagnostic_count", "run_exit_code", "run_stdout_ref_sha256", "alignment_mean", "guards_host_compute")
@@ -148,7 +148,7 @@ def applied_scores(spark, d):
 w AS (SELECT arm, direction, count(*) AS t, count(*) FILTER (WHERE correct = 1) AS ok, count(correct) AS known, count(*) FILTER (WHERE last_stage IN ('S4', 'S5')) AS compiled, count(*) FILTER (WHERE last_stage = 'S5') AS clean, count(*) FILTER (WHERE l_orderkey % 7 = 1) AS caps, count(*) FILTER (WHERE correct = 1 AND n = 1) AS firsts FROM m GROUP BY 1, 2),
 p AS (SELECT arm, direction, sum(c1) FILTER (WHERE k > 0) AS p1, count(*) FILTER (WHERE k > 0) AS den FROM (SELECT arm, direction, scenario, count(correct) AS k, count(*) FILTER (WHERE correct = 1)::DOUBLE / nullif(count(correct), 0) AS c1 FROM m GROUP BY ALL) GROUP BY 1, 2),
 x AS (SELECT *, w.t - known AS unknown FROM w JOIN p USING (arm, direction))
-SELECT arm, direction, 0 AS ordinal, 'compile_rate' AS metric, compiled::DOUBLE AS numerator, t AS denominator, 0 AS excluded FROM x UNION ALL SELECT arm, direction, 1, 'run_rate', clean, t, 0 FROM x UNION ALL SELECT arm, direction, 2, 'correct_rate', CASE WHEN known > 0 THEN ok END, nullif(known, 0), unknown FROM x
+SELECT arm, direction, 0::BIGINT AS ordinal, 'compile_rate' AS metric, compiled::DOUBLE AS numerator, t AS denominator, 0 AS excluded FROM x UNION ALL SELECT arm, direction, 1, 'run_rate', clean, t, 0 FROM x UNION ALL SELECT arm, direction, 2, 'correct_rate', CASE WHEN known > 0 THEN ok END, nullif(known, 0), unknown FROM x
 UNION ALL SELECT arm, direction, 3, 'cap_hit_rate', caps, t, 0 FROM x UNION ALL SELECT arm, direction, 4, 'fence_quirk_rate', 0, t, 0 FROM x UNION ALL SELECT arm, direction, 5, 'first_try_rate', CASE WHEN ok > 0 THEN firsts END, nullif(ok, 0), 0 FROM x
 UNION ALL SELECT arm, direction, 6, 'sim_t_ge_0.6_rate', NULL, NULL, ok FROM x UNION ALL SELECT arm, direction, 7, 'sim_t_tiktoken_ge_0.6_rate', NULL, NULL, ok FROM x UNION ALL SELECT arm, direction, 8, 'within_10pct_rate', NULL, NULL, NULL FROM x
 UNION ALL SELECT arm, direction, 9, 'pass@1', round(p1, 9), den, unknown FROM x""")
@@ -173,7 +173,7 @@ def attempt_reports(spark, d):
     x = F.col("a")
     return a.select(
         "trial_id", F.col("a.index").alias("index"), attempts.run_status(x["run"], x["diagnostics"], F.lit(30.5), True).alias("status"), F.concat_ws(",", F.transform(attempts.flag_warnings(x["run"]), lambda w: w["code"])).alias("flags"),
-        attempts.status_text(x).alias("shown"), attempts.needs_correction(x).alias("needs_correction"), attempts.buildable(x).alias("buildable"), F.size(attempts.prompt_diagnostics(x["diagnostics"])).alias("in_prompt"),
+        attempts.status_text(x).alias("shown"), attempts.needs_correction(x).alias("needs_correction"), attempts.buildable(x).alias("buildable"), F.size(attempts.prompt_diagnostics(x["diagnostics"])).cast("long").alias("in_prompt"),
     )
 
 
@@ -231,7 +231,7 @@ def compared_outputs(spark, d):
     return got.select("o_custkey", "name", "max_abs", "passed", "note")
 
 
-@query("""SELECT l_orderkey, i AS ordinal, CASE WHEN l_quantity > 25 THEN 'error' ELSE 'warning' END AS severity, l_returnflag || '-D' AS code, 'f' || l_linenumber || '.cu' AS file, l_linenumber AS line, CASE WHEN l_linestatus = 'F' THEN 3 END AS at, 'text ' || l_partkey || CASE WHEN l_linestatus = 'F' THEN '; more: x' ELSE '' END AS message
+@query("""SELECT l_orderkey, i AS ordinal, CASE WHEN l_quantity > 25 THEN 'error' ELSE 'warning' END AS severity, l_returnflag || '-D' AS code, 'f' || l_linenumber || '.cu' AS file, l_linenumber::BIGINT AS line, CASE WHEN l_linestatus = 'F' THEN 3::BIGINT END AS at, 'text ' || l_partkey || CASE WHEN l_linestatus = 'F' THEN '; more: x' ELSE '' END AS message
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM (SELECT * REPLACE (CASE l_returnflag WHEN 'N' THEN '1' WHEN 'R' THEN '2' ELSE '3' END AS l_returnflag) FROM lineitem))""")
 def compiler_logs(spark, d):
     """Each order's lineitems as one compiler's log with continuation lines, echoes and carets, read back."""
@@ -260,7 +260,7 @@ def watchdog_notes(spark, d):
     return simulator.watchdog_notes(s.select("s_suppkey", log.alias("log")), ["s_suppkey"])
 
 
-@query("SELECT s_suppkey, 0 AS ordinal, 'error' AS severity, 'k' || s_nationkey || '.cpp' AS file, s_nationkey + 1 AS line, 'bad ' || s_name AS message FROM supplier")
+@query("SELECT s_suppkey, 0::BIGINT AS ordinal, 'error' AS severity, 'k' || s_nationkey || '.cpp' AS file, (s_nationkey + 1)::BIGINT AS line, 'bad ' || s_name AS message FROM supplier")
 def kernel_logs(spark, d):
     """A kernel's build log in both streams, with a line of another program after it."""
     n = F.col("s_nationkey")
