@@ -1,58 +1,7 @@
-"""Connected components by contraction, each round written to the shared folder."""
+"""Connected components and lookups by hot keys, which the near-duplicate operators share with the library's graphs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from trialweave.operators.graph import components, looked_up
 
-from trialweave.llm._common import written
-
-#: A key with more than this share of all rows, and so many at least, is hot: there are at most 1,000 such keys.
-HOT_SHARE, HOT_ROWS = 1000, 512
-
-
-def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, how: str = "inner", hot: list | None = None) -> DataFrame:
-    """``rows`` (a stored table) with column ``value`` of ``table``, which has one row for each value of ``key``.
-
-    Entries of hot keys, at most 1,000, are broadcast, so their rows stay where they are; the others meet by a shuffle,
-    of which no key has more than a thousandth of the rows. ``hot`` names these keys where they are known.
-    """
-    if hot is None:
-        most = max(HOT_ROWS, rows.count() // HOT_SHARE)
-        hot = [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key).collect()]
-    table = table.select(key, value)
-    if not hot:
-        return rows.join(table, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key, how).unionByName(rows.where(~is_hot).join(table.where(~is_hot), key, how))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(v, label) for every vertex of ``links`` (a, b): label is the least vertex that it is connected with.
-
-    In each round every vertex goes over to the first of itself and its neighbours in an order: in the first round by
-    value, which contracts stars around their least vertex at once, then by a hash of the round, so that no input makes
-    long chains. Edges within a vertex go, equal edges become one, and a hub's neighbours are aggregated before the
-    shuffle. Edges shrink by a share in each round, so all rounds together read a few times the links, and their
-    number grows with the logarithm of the vertices. Vertices may be of any type that has an order.
-    """
-    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").groupBy("a", "b").agg(F.lit(1).alias("x")).drop("x")
-    edges = written(edges)
-    alone = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.lit(1).alias("x"))
-    labels = written(alone.select("v", F.col("v").alias("label")))
-    turn = 0
-    while n := edges.count():
-        order = (lambda c: F.lit(0)) if turn == 0 else (lambda c, turn=turn: F.xxhash64(c, F.lit(turn)))
-        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        first = both.groupBy("v").agg(F.min(F.struct(order(F.col("u")).alias("o"), F.col("u").alias("u"))).alias("n"), F.count("*").alias("degree"))
-        mine = F.struct(order(F.col("v")).alias("o"), F.col("v").alias("u"))
-        to = written(first.select(F.col("v").alias("from"), F.least(mine, F.col("n"))["u"].alias("to"), "degree"))
-        hubs = [r[0] for r in to.where(F.col("degree") > max(HOT_ROWS, n // HOT_SHARE)).select("from").collect()]  # at most 2,000
-        half = written(looked_up(edges, "a", to.select(F.col("from").alias("a"), F.col("to").alias("ta")), "ta", hot=hubs).select("ta", "b"))
-        moved = looked_up(half, "b", to.select(F.col("from").alias("b"), F.col("to").alias("tb")), "tb", hot=hubs).where("ta <> tb")
-        edges = written(moved.groupBy(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).agg(F.lit(1).alias("x")).drop("x"))
-        step = looked_up(labels, "label", to.select(F.col("from").alias("label"), "to"), "to", "left", hot=None if turn else [])
-        labels = written(step.select("v", F.coalesce("to", "label").alias("label")))
-        turn += 1
-    least = labels.groupBy("label").agg(F.min("v").alias("least"))
-    return looked_up(labels, "label", least, "least").select("v", F.col("least").alias("label"))
+__all__ = ["components", "looked_up"]
