@@ -91,7 +91,16 @@ def _split(column, lower: bool) -> tuple[pa.DictionaryArray, np.ndarray]:
 def split_words(column, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, the word number at each position of all texts, and where each text begins."""
     coded, off = _split(column, lower)
-    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), off
+    return _as_list(coded.dictionary.cast(pa.binary())), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), off
+
+
+def _as_list(words: pa.BinaryArray) -> list[bytes]:
+    """As to_pylist() of an array without nulls, by slices of its buffer."""
+    if not len(words):
+        return []
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    raw = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def split_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -94,11 +94,14 @@ def encode(texts, tokenizer_path: str) -> tuple[np.ndarray, np.ndarray]:
     tok, cache, plain = _tokenizer(tokenizer_path)
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    texts = one_array(texts)
+    texts, lowered = pc.fill_null(one_array(texts).cast(pa.string()), ""), False
+    if plain:  # whole texts first
+        may = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        texts, lowered = pc.if_else(may, pc.ascii_lower(texts), texts), bool(pc.all(may).as_py())
     words, at, off = split_words(texts)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
-    if plain:
+    if plain and not lowered:
         words = [w.lower() if w.isascii() and b"<|" not in w else w for w in words]
     cut = {w: m.groups() for w in words if w[-1] in _ENDS and (m := _TAIL.fullmatch(w))}
     need = dict.fromkeys(w for w in words if w not in cut)
