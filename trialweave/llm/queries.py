@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import chat, decontaminate, lattice, lm, mixing, near_dup, quality, substrings, token_files, urls
+from trialweave.llm import chat, decontaminate, lattice, lm, mixing, near_dup, quality, resample, substrings, token_counts, token_files, urls, vector_codes
 from trialweave.llm.sql import ORACLE_SQL
+from trialweave.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -59,6 +60,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "n_chars"), _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), shared_dir(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_score_lm": op1_score_lm,
     "op2_mix_sources": op2_mix_sources,
@@ -70,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
+    "op11_resample": op11_resample,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_counts": op13_token_counts,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

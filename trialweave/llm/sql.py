@@ -55,10 +55,50 @@ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss
 sum(3 + {_ESCAPED.format(x='role')} + length(role) - length(replace(role, chr(10), '')) + 1 + {_ESCAPED.format(x='text')} + 5)::BIGINT AS formatted_chars FROM t GROUP BY conv_id
 """
 
+_WORDS_11 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(encode(w)), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::BIGINT)), lambda c, b: {steps}), 4294967295::BIGINT)"
+_STEPS = "xor(c, b)"
+for _ in range(8):  # a bit of the CRC's polynomial division
+    _STEPS = f"list_transform([{_STEPS}], lambda v: xor(v >> 1, (v & 1) * 3988292384::BIGINT))[1]"
+
+OP11 = f"""
+WITH dw AS (SELECT doc_id, {_WORDS_11} AS ws FROM documents), f AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM dw) GROUP BY ALL),
+g AS (SELECT w, count(*) AS n FROM (SELECT unnest({_WORDS_11}) AS w FROM benchmark) GROUP BY w), words AS (SELECT w FROM f UNION SELECT w FROM g),
+h AS MATERIALIZED (SELECT w, {_CRC.format(steps=_STEPS)} % 10000 AS b FROM words),
+s AS (SELECT b, sum(n) AS s FROM f JOIN h USING (w) GROUP BY b), t AS (SELECT b, sum(n) AS t FROM g JOIN h USING (w) GROUP BY b),
+gain AS (SELECT s.b, floor(1000.0::DOUBLE * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t ON s.b = t.b),
+weight AS (SELECT doc_id, sum(n * gain) AS weight FROM f JOIN h USING (w) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT dw.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || dw.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM dw LEFT JOIN weight ON weight.doc_id = dw.doc_id),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT scored.*, CASE WHEN r <= 10 * n // 100 THEN r END::BIGINT AS rank FROM scored LEFT JOIN ranked ON ranked.doc_id = scored.doc_id
+"""
+
+_ROUND_12 = """
+d{k} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, dist * 256 + entry) AS entry, min(dist) AS dist FROM (SELECT vec_id, p.part, entry, (list_inner_product(q, q) - 2 * list_inner_product(q, c) + list_inner_product(c, c))::BIGINT AS dist FROM p JOIN c{k} c ON c.part = p.part) GROUP BY ALL)"""
+_NEXT_12 = """,
+m{k} AS (SELECT part, entry, list(v ORDER BY i) AS v FROM (SELECT p.part, entry, i, floor(sum(q[i]) / count(*)) AS v FROM p JOIN d{k} USING (vec_id, part), range(1, 17) r(i) GROUP BY ALL) GROUP BY ALL),
+c{n} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.v, c.c) AS c FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry),"""
+
+OP12 = (
+    """
+WITH kept AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rn, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, rn, part, e[16 * part + 1 : 16 * part + 16] AS q FROM kept, range(4) r(part)),
+c0 AS MATERIALIZED (SELECT part, rn - 1 AS entry, q AS c FROM p WHERE rn <= 256),"""
+    + "".join(_ROUND_12.format(k=k) + _NEXT_12.format(k=k, n=k + 1) for k in range(4))
+    + _ROUND_12.format(k=4)
+    + """,
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM d4 GROUP BY vec_id),
+named AS (SELECT coded.*, label FROM coded JOIN kept USING (vec_id)), by_label AS (SELECT label, sum(error)::BIGINT AS label_error FROM named GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) FROM c4) AS codebooks_sha256 FROM named JOIN by_label ON by_label.label IS NOT DISTINCT FROM named.label
+"""
+)
+
 ORACLE_SQL = {
     "op3_substring_dedup": OP3,
     "op4_decontaminate": OP4,
     "op5_near_dup": OP5,
     "op6_embedding_dedup": OP6,
     "op7_format_chats": OP7,
+    "op11_resample": OP11,
+    "op12_vector_codes": OP12,
 }
