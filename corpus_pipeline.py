@@ -30,8 +30,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files; per document its place in them, read back."""
-    return token_files.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token files in the order of the mix; per document its place in them, read back."""
+    return token_files.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"), stored_order=True)
 
 
 STAGES = [

@@ -40,12 +40,15 @@ def test_pipeline(spark):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert mixed.columns == columns and got == {i: n for i, n in times.items() if n}
 
+    # The files hold the mix in its order: shard by shard, each by place.
     out = stage["tokens"](spark, mixed, SF).orderBy("start").collect()
     tok = token_files._tokenizer(public_tokenizers.path("word_bpe_49k.json"))[0]
     at = 0
-    for r, (_, text) in zip(out, sorted((r["doc_id"], r["text"]) for r in mixed.collect()), strict=True):
+    in_order = [(r["doc_id"], r["text"]) for r in mixed.collect()]
+    assert [i for i, _ in in_order] != sorted(i for i, _ in in_order)
+    for r, (i, text) in zip(out, in_order, strict=True):
         ids = [*tok.encode(text, add_special_tokens=False).ids, 2]
-        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
 
 

@@ -77,11 +77,12 @@ def size_class(n: int) -> int:
 
 
 class ItemIndex:
-    """The minima of a block of items, by partition."""
+    """The minima of a block of distinct items, by partition: each distinct minimum with the items that have it."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], threshold: float):
-        self.ids, self.sets, self.threshold = pa.array(ids, pa.int64()), sets, threshold
-        self.need = np.array([int(np.ceil(threshold * len(s) - 1e-9)) for s in sets], np.int64)
+    def __init__(self, ids: list[list[int]], sets: list[np.ndarray], threshold: float):
+        self.ids, self.sizes = ids, np.array([len(s) for s in sets], np.int64)
+        self.all, self.first = np.concatenate(sets), np.concatenate([[0], np.cumsum(self.sizes)])
+        self.need = np.ceil(threshold * self.sizes - 1e-9).astype(np.int64)
         self.parts = []
         for c in sorted({size_class(len(s)) for s in sets}):
             mine = [i for i, s in enumerate(sets) if size_class(len(s)) == c]
@@ -90,48 +91,79 @@ class ItemIndex:
             key = np.concatenate([sets[i][:k] for i in mine])  # sets are sorted
             item = np.repeat(mine, [min(k, len(sets[i])) for i in mine])
             order = np.argsort(key, kind="stable")
-            self.parts.append((key[order], item[order], key.max()))
+            distinct, start = np.unique(key[order], return_index=True)
+            self.parts.append((distinct, np.append(start, len(key)), item[order]))
+
+    def _found(self, h: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """The minima that each text has, each once however often it occurs: (partition, place in it) by text."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        for p, (keys, _, _) in enumerate(self.parts):
+            at = np.flatnonzero(h <= keys[-1])
+            low = np.searchsorted(keys, h[at])
+            same = keys[low] == h[at]
+            text = np.searchsorted(off, at[same], "right") - 1
+            for x in np.unique(text * len(keys) + low[same]).tolist():
+                out.setdefault(x // len(keys), []).append((p, x % len(keys)))
+        return out
 
     def hits(self, h: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, item, shingles found) of every item contained in a text."""
-        pairs = []
-        for key, item, top in self.parts:
-            at = np.flatnonzero(h <= top)
-            low = np.searchsorted(key, h[at], "left")
-            found = key[np.minimum(low, len(key) - 1)] == h[at]
-            at, low = at[found], low[found]
-            n = np.searchsorted(key, h[at], "right") - low
-            which = item[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            text = np.searchsorted(off, np.repeat(at, n), "right") - 1
-            pairs.append(np.unique(text * len(self.sets) + which))
-        out, mine = [], (-1, None)
-        for p in np.unique(np.concatenate(pairs)).tolist() if pairs else []:
-            text, i = divmod(p, len(self.sets))
-            if mine[0] != text:
-                mine = (text, np.unique(h[off[text] : off[text + 1]]))
-            got = int(np.isin(self.sets[i], mine[1], assume_unique=True).sum())
-            if got >= self.need[i]:
-                out.append((text, i, got))
+        """(text, distinct item, shingles found) of every item contained in a text.
+
+        Candidates are expanded for one text at a time, from distinct minima, so they are no more than the block's entries.
+        """
+        out = []
+        for text, found in sorted(self._found(h, off).items()):
+            which = np.unique(np.concatenate([self.parts[p][2][self.parts[p][1][k] : self.parts[p][1][k + 1]] for p, k in found]))
+            mine, n = np.unique(h[off[text] : off[text + 1]]), self.sizes[which]
+            ends = np.cumsum(n)
+            every = self.all[np.repeat(self.first[which] - (ends - n), n) + np.arange(int(ends[-1]))]
+            there = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+            got = np.add.reduceat(there.astype(np.int64), ends - n)
+            ok = got >= self.need[which]
+            out += [(text, i, g) for i, g in zip(which[ok].tolist(), got[ok].tolist(), strict=True)]
         return out
 
 
 def item_blocks(items: DataFrame, limit: int, threshold: float):
-    """ItemIndex objects of at most ``limit`` shingles each (one item at least), read partition by partition."""
+    """ItemIndex objects of at most ``limit`` shingles each (one item at least), read partition by partition; items of equal shingles are one."""
+    known: dict[bytes, int] = {}
     ids, sets, size = [], [], 0
     for row in items.orderBy("item_id").toLocalIterator():
         s = np.unique(shingles(pa.array([row["text"]], pa.string()))[0])
         if not len(s):
             continue
+        if s.tobytes() in known:
+            ids[known[s.tobytes()]].append(row["item_id"])
+            continue
         if ids and size + len(s) > limit:
             yield ItemIndex(ids, sets, threshold)
-            ids, sets, size = [], [], 0
-        ids.append(row["item_id"])
+            ids, sets, size, known = [], [], 0, {}
+        known[s.tobytes()] = len(ids)
+        ids.append([row["item_id"]])
         sets.append(s)
         size += len(s)
     if ids:
         yield ItemIndex(ids, sets, threshold)
 
 
+def _rows(index: ItemIndex, doc_ids: pa.Array, hits: list[tuple[int, int, int]]):
+    """A row for each id of each item that is hit, in batches of bounded size."""
+    rows: list[tuple] = []
+    for text, i, got in hits:
+        n = int(index.sizes[i])
+        for item in index.ids[i]:
+            rows.append((text, item, n, got, got / n))
+            if len(rows) >= 1 << 16:
+                yield _batch(doc_ids, rows)
+                rows = []
+    yield _batch(doc_ids, rows)
+
+
+def _batch(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    text, item, n, got, share = zip(*rows, strict=True) if rows else [()] * 5
+    return pa.record_batch([doc_ids.take(pa.array(text, pa.int64())).cast(pa.int64()), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(got, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
+
+
 def find_items(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Rows (doc_id, item_id, n_shingles, n_found, containment) of every contained item."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
@@ -143,10 +175,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOL
             index = shared.value
             for batch in batches:
                 for piece in slices(batch, "text"):
-                    hits = index.hits(*shingles(piece["text"]))
-                    text, item, got = (np.array(x, np.int64) for x in (zip(*hits, strict=True) if hits else ((), (), ())))
-                    n = np.array([len(index.sets[i]) for i in item.tolist()], np.int64)
-                    yield pa.record_batch([piece["doc_id"].take(pa.array(text)).cast(pa.int64()), index.ids.take(pa.array(item)), pa.array(n), pa.array(got), pa.array(got / np.maximum(n, 1))], names=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
+                    yield from _rows(index, piece["doc_id"], index.hits(*shingles(piece["text"])))
 
         return docs.mapInArrow(run, ROWS)
 

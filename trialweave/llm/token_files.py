@@ -1,6 +1,7 @@
 """Token ids as Arrow files of fixed-size-list batches.
 
-Documents are dealt out by ranges of doc_id and sorted; each range becomes one shard file in the Arrow IPC file format.
+Documents are dealt out by ranges of doc_id and sorted, or stay in their stored order, so that a mix that was written
+shard by shard keeps its places; each range or scan task becomes one shard file in the Arrow IPC file format.
 A shard is its documents' ids in order (each followed by the end id), cut into sequences of ``seq_len`` ids; a row has
 ``input_ids: fixed_size_list<uint16 or uint32>[seq_len]`` and ``mask: fixed_size_list<bool>[seq_len]``, where only the
 padding of the last sequence is False. Buffers are not compressed, so a mapped file gives any sequence without a copy.
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.llm._common import groups_for, one_array, released, split_words, written
@@ -198,10 +199,15 @@ class ShardReader:
         self.source.close()
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = END_ID, seq_len: int = SEQ_LEN, mb: int = 8) -> DataFrame:
-    """Write the shard files under ``path``; return the index: doc_id, part, file, first (id in the shard), n_tokens."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    dealt = docs.repartitionByRange(groups_for(docs, mb, 12), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = END_ID, seq_len: int = SEQ_LEN, mb: int = 8, stored_order: bool = False) -> DataFrame:
+    """Write the shard files under ``path``; return the index: doc_id, part, file, first (id in the shard), n_tokens.
+
+    With ``stored_order``, rows are not moved: each task writes what it reads, in that order.
+    """
+    dealt = docs.select("doc_id", "text")
+    if not stored_order:
+        tied = dealt.withColumn("tie", F.xxhash64("text"))
+        dealt = tied.repartitionByRange(groups_for(tied, mb, 12), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -234,20 +240,21 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
 def read_shards(index: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The driver sees one row a shard: its number of ids.
+    Where a shard's ids start comes from a window over one row a shard; the driver sees the number of shards alone.
     """
-    shards = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    starts = dict(zip([r["file"] for r in shards], np.cumsum([0, *(r["n"] for r in shards)]).tolist(), strict=False))
+    sizes = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
+    before = sizes.select("file", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    rows = index.repartition(max(12, sizes.count()), "file").join(before.hint("merge"), "file")
 
     def run(key, table):
-        reader, base = ShardReader(key[0].as_py()), starts[key[0].as_py()]
+        reader, base = ShardReader(key[0].as_py()), table["base"][0].as_py()
         order = np.argsort(table["first"].to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         crc = [zlib.crc32(reader.ids(a, n).astype("<u4").tobytes()) for a, n in zip(table["first"].to_pylist(), table["n_tokens"].to_pylist(), strict=True)]
         reader.close()
         return pa.table({"doc_id": table["doc_id"], "start": pa.array(table["first"].to_numpy() + base), "n_tokens": table["n_tokens"], "ids_crc32": pa.array(crc, pa.int64())})
 
-    return index.repartition(max(12, len(shards)), "file").groupBy("file").applyInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.groupBy("file").applyInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
