@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import posixpath
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trialweave.functions import text
@@ -191,3 +195,66 @@ def test_simulator_logs(spark):
 def test_diff_of_empty_files(spark):
     d = cells(spark, [('{"a":""}', '{"b":""}')], text.unified_diff("a", "b"))[0][0]
     assert d == "--- a/a\n+++ /dev/null\n--- /dev/null\n+++ b/b\n"
+
+
+def test_logs_of_a_null_key(spark):
+    rows = [(None, "a.cu:3:4: error: bad", {"a.cu": "x\n"}), (1, "a.cu:3:4: error: bad", None), (2, None, {})]
+    df = spark.createDataFrame(rows, "id long, stderr string, files map<string,string>")
+    got = sorted(map(tuple, parsers.diagnostics(df, "g++", ["id"], files="files").collect()), key=repr)
+    assert got == [(1, 0, "error", None, "a.cu", 3, None, "bad"), (None, 0, "error", None, "a.cu", 3, 4, "bad")]
+
+
+def test_no_file_text_is_shuffled(spark):
+    """The only exchange of a log's lines carries neither the map of files nor a file's text."""
+    df = spark.createDataFrame([(1, 'm.cu(1): error: x\n  int\n   ^', {"m.cu": "int"})], "id long, stderr string, files map<string,string>").repartition(2)
+    got = parsers.diagnostics(df, "nvcc", ["id"], files="files")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    exchanges = plan.count("Exchange hashpartitioning(id")
+    assert exchanges == 1 and "Join" not in plan
+    below = plan[plan.index("Exchange hashpartitioning(id") :].split("\n")[1]
+    assert "built" not in below.split("AS d#")[-1]
+    assert [tuple(r)[2:] for r in got.collect()] == [("error", None, "m.cu", 1, 2, "x")]
+
+
+def test_paths_inside_a_workdir(spark):
+    from trialweave.operators import simulator as sim
+
+    paths = ["/w//k.cpp", "/w/x/../m.cpp", "/w/./a/b.cpp", "/w", "/w/..", "/v/k.cpp", "k.cpp", "../w/k.cpp", "//w/k.cpp", "///w/q.cpp", "/w/a/../../w/z.cpp", "/../w/up.cpp"]
+    log = "brisc build failed. Log:\n" + "\n".join(f"{p}:1:1: error: m" for p in paths)
+    df = spark.createDataFrame([(None, log, "", "/w/")], "id long, stdout string, stderr string, dir string")
+    got = [r["file"] for r in sim.kernel_diagnostics(df, ["id"], workdir="dir").orderBy("ordinal").collect()]
+    base = "/w/"
+    want = [n[len(base) :] if (n := posixpath.normpath(p)).startswith(base) else p for p in paths]
+    assert got == list(dict.fromkeys(want))
+
+
+@given(st.lists(st.text(alphabet="/./a"), min_size=1, max_size=40))
+@settings(max_examples=15, deadline=None)
+def test_normal_path(spark, paths):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    assert [r[1] for r in df.select("i", text.normal_path(F.col("p"))).orderBy("i").collect()] == [posixpath.normpath(p) for p in paths]
+
+
+def test_findings_as_diagnostics(spark):
+    log = "[12] ERROR: UndefinedBehavior: tt::r\u00e9ad: bad: m\r\nx\n[13] ERROR: Other: g: n\t1"
+    df = spark.createDataFrame([(None, log), (1, "none"), (2, None)], "id long, stdout string")
+    got = [tuple(r) for r in parsers.finding_diagnostics(df, ["id"]).orderBy("ordinal").collect()]
+    assert got == [
+        (None, 0, "run", "error", "UndefinedBehavior", None, None, None, "UndefinedBehavior: tt::r?ad: bad: m"), (None, 1, "run", "error", "Other", None, None, None, "Other: g: n?1"),
+    ]
+
+
+def test_last_bytes_cuts_bytes(spark):
+    said = "a\u00e9\u20ac\U0001f600z"
+    for n in range(1, 13):
+        got = spark.createDataFrame([(said,)], "s string").select(text.last_bytes(F.col("s"), n)).first()[0]
+        assert got == said.encode()[-n:].decode(errors="replace"), n
+
+
+def test_c_tokens_by_first_character():
+    t = text.c_tokens
+    assert t("a<<<b>>>c<<=d...e->f##g::h") == ["a", "<<<", "b", ">>>", "c", "<<=", "d", "...", "e", "->", "f", "##", "g", "::", "h"]
+    assert t("x // y\nz /* w */ v /* open") == ["x", "z", "v"] and t("a\\\nb\\\r\nc\\d") == ["a", "b", "c", "\\", "d"]
+    assert t('"a\\"b" \'c\' "open\nx') == ['"a\\"b"', "'c'", '"open', "x"] and t('"a\\') == ['"a', "\\"] and t('"a\\\nb"') == ['"a\\\nb"']
+    assert t("1.5e-3f .5 1..2 0x1Fp+2 .a \u00e9\u0663 \u0663x") == ["1.5e-3f", ".5", "1..2", "0x1Fp+2", ".", "a", "\u00e9\u0663", "\u0663", "x"]
+    assert t("a+++b-->=") == ["a", "++", "+", "b", "--", ">="] and t("") == [] and t("@$`") == ["@", "$", "`"]

@@ -15,31 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Formats of lines (groups by number), severity words, finding classes.
-PLACE = r"(.+?):([0-9]{1,10}):([0-9]{1,10}): (fatal error|error|warning|note): (.*?)(?: \[(-[^\]\s]+)\])?"
-COLLECT2 = r"collect2: error: (.*)"
-UNDEFINED = r"(.*): (.*undefined reference to.*)"
-UNDEFINED_ALONE = r".*undefined reference to.*"
-LINK_PLACE = r"(?:.*: )?([^:]+):([0-9]{1,10})"
-EDG_WORDS = "catastrophic error|command-line error|internal error|error|warning|remark"
-EDG_PAREN = r"((?:(?!: ).)+?)\(([0-9]{1,10})\): (" + EDG_WORDS + r")(?: #([0-9]+(?:-D)?))?: (.*)"
-EDG_QUOTE = r'"([^"]+)", line ([0-9]{1,10}): (' + EDG_WORDS + r"): (.*?)(?: \[([A-Za-z_][A-Za-z0-9_]*)\])?"
-PTXAS = r"ptxas\s+(error|warning|fatal)\s*:\s*(.*)"
-PTXAS_PLACE = r"ptxas (?!(?:info|error|warning|fatal)\s*:)(.+?, line [0-9]{1,10}); (error|warning|fatal)\s*:\s*(.*)"
-NVCC_FATAL = r"nvcc fatal\s*:\s*(.*)"
-NVLINK = r"nvlink\s+(error|warning|fatal)\s*:\s*(.*)"
-NVCPP_DRIVER = r"nvc\+\+-(Error|Fatal|Warning)-(.*)"
-BACKEND = r"NVC\+\+-([IWSF])-([0-9]+)-(.*?)(?:(?<=\S)\s+\(([^()]+): ([0-9]{1,10})\))?"
-BACKEND_BARE = r"NVC\+\+-([IWSF])-([0-9]+)-(.*?)(?<=\S)\s+\(((?:(?!: )[^()])+)\)"
-INLINE_ASM = r"(<inline asm>:[0-9]{1,10}:[0-9]{1,10}): (error|warning|note): (.*)"
-GCC_DRIVER = r"(?:[A-Za-z0-9_.]+-)*(?:g\+\+|gcc|cc1plus|cc1)(?:-[0-9]+(?:\.[0-9]+)*)?: (fatal error|error|warning|note): (.*)"
-CLANG_DRIVER = r"(?:clang\+\+|clang|ld\.lld)(?:-[0-9]+(?:\.[0-9]+)*)?: (fatal error|error|warning|note): (.*)"
-GUTTER = r"[ \t]*[0-9]*[ \t]*\|"
-CARET = r"[ \t]*\^\s*"
+from trialweave.operators import tasks
+
+# Severity words and how they count, finding classes, what a reply's files look like.
 SEVERITY = {
     "fatal error": "error", "catastrophic error": "error", "command-line error": "error", "internal error": "error", "error": "error", "fatal": "error", "Error": "error", "Fatal": "error", "S": "error", "F": "error",
     "warning": "warning", "Warning": "warning", "W": "warning", "remark": "note", "note": "note", "I": "note",
 }
+HOST_WORDS = ("fatal error", "error", "warning", "note")
+EDG_WORDS = ("catastrophic error", "command-line error", "internal error", "error", "warning", "remark")
+TOOL_WORDS = ("error", "warning", "fatal")
+GUTTER = r"[ \t]*[0-9]*[ \t]*\|"
+CARET = r"[ \t]*\^\s*"
 FINDING = r"\[[0-9]{1,20}\] ERROR: ([A-Za-z_][A-Za-z0-9_]{0,127}): (.*)"
 UB_CLASSES = ("UndefinedBehavior", "NonContractualBehavior", "UnpredictableValueUsed")
 FENCE = re.compile(r" {0,3}(`{3,})([^`]*)")
@@ -72,86 +59,149 @@ def right_trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+\z", "")
 
 
-@dataclass(frozen=True)
-class Format:
-    """A line format: its pattern, and which group (or fixed text) gives each part of the diagnostic.
+# A format is a list of what stands in a line: text, fields (one group each), text without a field, and optional parts.
 
-    ``place``: what of the place is kept once the built files are known: "printed", "built" (the column only on a built
-    file), "no column", "link" (only a built file and line), or "edg" (the column by the caret under the echoed line).
-    """
 
-    pattern: str
-    severity: int | str
-    message: int
-    code: int | None = None
-    file: int | None = None
-    line: int | None = None
-    column: int | None = None
-    place: str = "printed"
+@dataclass(frozen=True)
+class Field:
+    name: str
+    regex: str = ".*"
 
-    def diagnostic(self, text: Column) -> Column:
-        part = lambda i: F.regexp_extract(text, whole(self.pattern), i)
-        some = lambda i: F.lit(None).cast("string") if i is None else F.nullif(part(i), F.lit(""))
-        number = lambda i: some(i).cast("long")
-        severity = F.lit(self.severity) if isinstance(self.severity, str) else _severity(part(self.severity))
-        return _diagnostic(severity, some(self.code), some(self.file), number(self.line), F.nullif(number(self.column), F.lit(0)), part(self.message), self.place)
 
+@dataclass(frozen=True)
+class Loose:
+    """Text that is matched and not kept."""
 
-def _severity(word: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair]), word)
+    regex: str
 
 
-def _diagnostic(severity, code, file, line, column, message, place: str) -> Column:
-    return F.struct(severity.alias("severity"), code.alias("code"), file.alias("file"), line.alias("line"), column.alias("column"), message.alias("message"), F.lit(place).alias("place"))
+@dataclass(frozen=True)
+class Maybe:
+    parts: tuple
 
 
-def _placed(pattern: str, place: str) -> Format:
-    return Format(pattern, 4, 5, code=6, file=1, line=2, column=3, place=place)
+def words(*any_of: str) -> Field:
+    return Field("severity", "|".join(any_of))
 
 
-class _Backend(Format):
-    """A backend line: the code is severity and number; a place without a line is kept only as a built file."""
+def number(name: str) -> Field:
+    return Field(name, "[0-9]{1,10}")
 
-    def diagnostic(self, text: Column) -> Column:
-        bare = text.rlike(whole(BACKEND_BARE)) & ~text.rlike(whole(BACKEND.removesuffix("?")))
-        part = lambda i: F.regexp_extract(text, whole(BACKEND), i)
-        file = F.when(bare, F.regexp_extract(text, whole(BACKEND_BARE), 4)).otherwise(F.nullif(part(4), F.lit("")))
-        message = F.when(bare, F.regexp_extract(text, whole(r"NVC\+\+-[IWSF]-[0-9]+-(.*)"), 1)).otherwise(part(3))
-        code = F.concat(part(1), F.lit("-"), part(2))
-        return _diagnostic(_severity(part(1)), code, file, F.nullif(part(5), F.lit("")).cast("long"), F.lit(None).cast("long"), message, "backend")
 
+def built_from(parts: tuple) -> tuple[str, list[str]]:
+    """The regular expression of a format, and the names of its groups in order."""
+    out, names = [], []
+    for p in parts:
+        if isinstance(p, str):
+            out.append(re.escape(p))
+        elif isinstance(p, Loose):
+            out.append(f"(?:{p.regex})")
+        elif isinstance(p, Field):
+            out.append(f"({p.regex})")
+            names.append(p.name)
+        else:
+            inner, more = built_from(p.parts)
+            out.append(f"(?:{inner})?")
+            names += more
+    return "".join(out), names
 
-class _Undefined(Format):
-    """The linker: the text after the last ``: `` that leaves the phrase in the message; before it, perhaps a place."""
 
-    def diagnostic(self, text: Column) -> Column:
-        before = F.regexp_extract(text, whole(UNDEFINED), 1)
-        part = lambda i: F.nullif(F.regexp_extract(before, whole(LINK_PLACE), i), F.lit(""))
-        message = F.when(text.rlike(whole(UNDEFINED)), F.regexp_extract(text, whole(UNDEFINED), 2)).otherwise(text)
-        return _diagnostic(F.lit("error"), F.lit(None).cast("string"), part(1), part(2).cast("long"), F.lit(None).cast("long"), message, "link")
+@dataclass(frozen=True)
+class Format:
+    """A line format: its parts, what severity it has where no word says it, and how its place is kept.
 
+    ``place``: what of the place is kept once the built files are known: "printed", "built" (the column only on a built
+    file), "no column", "clang" (as built, without a leading ``./``), "link" (only a built file and line), "backend" (a
+    place at the message's end; without a line only a built file), or "edg" (the column by the caret under the echo).
+    """
 
-class _InMessage(Format):
-    """The place stays in the message."""
+    parts: tuple
+    place: str = "printed"
+    severity: str = "error"
 
-    def diagnostic(self, text: Column) -> Column:
-        part = lambda i: F.regexp_extract(text, whole(self.pattern), i)
-        none = F.lit(None)
-        return _diagnostic(_severity(part(2)), none.cast("string"), none.cast("string"), none.cast("long"), none.cast("long"), F.concat(part(1), F.lit(": "), part(3)), "printed")
+    def fits(self, text: Column) -> Column:
+        return text.rlike(whole(built_from(self.parts)[0]))
 
+    def field(self, text: Column, name: str) -> Column:
+        """What a field holds, null where the format has none of that name or it is empty."""
+        pattern, names = built_from(self.parts)
+        if name not in names:
+            return F.lit(None).cast("string")
+        return F.nullif(F.regexp_extract(text, whole(pattern), names.index(name) + 1), F.lit(""))
 
-_LINKER = (Format(COLLECT2, "error", 1), _Undefined(UNDEFINED_ALONE, "error", 0))
+    def diagnostic(self, text: Column) -> Column:
+        names = built_from(self.parts)[1]
+        get = lambda name: self.field(text, name)
+        severity = F.element_at(F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair]), get("severity")) if "severity" in names else F.lit(self.severity)
+        file, line, column = get("file"), get("line").cast("long"), F.nullif(get("column").cast("long"), F.lit(0))
+        code, message = get("code"), F.coalesce(get("message"), F.lit(""))
+        if self.place == "link":
+            file, line = _link_place(get("before"))
+        if self.place == "backend":
+            code = F.concat(get("severity"), F.lit("-"), get("number"))
+            file, line, message = _place_at_end(message)
+        if "where" in names:  # a place that stays in the message
+            message = F.concat(get("where"), F.lit(": "), message)
+        return F.struct(severity.alias("severity"), code.alias("code"), file.alias("file"), line.alias("line"), column.alias("column"), message.alias("message"), F.lit(self.place).alias("place"))
+
+
+def _place_at_end(message: Column) -> tuple[Column, Column, Column]:
+    """(file, line, message) of a message that may end in a parenthesis: ``file: line`` is cut off, ``file`` alone stays."""
+    inner = F.nullif(F.regexp_extract(message, r"(?sU)\S\s+\(([^()]+)\)\z", 1), F.lit(""))
+    last = F.substring_index(inner, ": ", -1)
+    before = F.substring(inner, F.lit(1), F.length(inner) - F.length(last) - 2)
+    placed = F.contains(inner, F.lit(": ")) & last.rlike(r"\A[0-9]{1,10}\z") & (F.length(before) > 0)
+    file = F.when(placed, before).when(~F.contains(inner, F.lit(": ")), inner)
+    return file, F.when(placed, last.cast("long")), F.when(placed, without_parenthesis(message)).otherwise(message)
+
+
+def without_parenthesis(message: Column) -> Column:
+    return F.regexp_replace(message, r"(?sU)\s+\([^()]*\)\z", "")
+
+
+def _link_place(before: Column) -> tuple[Column, Column]:
+    """``file:line`` at the end of what a linker prints before its message, after the last ``: `` if there is one."""
+    last = F.substring_index(before, ": ", -1)
+    parts = F.split(last, ":", -1)
+    ok = (F.size(parts) == 2) & (F.length(parts[0]) > 0) & F.get(parts, F.lit(1)).rlike(r"\A[0-9]{1,10}\z")
+    return F.when(ok, parts[0]), F.when(ok, F.get(parts, F.lit(1)).cast("long"))
+
+
+_FLAG = Maybe((" [", Field("code", r"-[^\]\s]+"), "]"))
+_HOST_PLACE = (Field("file", ".+?"), ":", number("line"), ":", number("column"), ": ", words(*HOST_WORDS), ": ", Field("message", ".*?"), _FLAG)
+_BEFORE_MESSAGE = (Loose(r"\s*"), ":", Loose(r"\s*"), Field("message"))
+_VERSION = Loose(r"(?:-[0-9]+(?:\.[0-9]+)*)?")
+
+
+def _driver(*programs: str, prefix: str = "") -> Format:
+    return Format((Loose(prefix + "(?:" + "|".join(map(re.escape, programs)) + ")"), _VERSION, ": ", words(*HOST_WORDS), ": ", Field("message")))
+
+
+_LINKER = (
+    Format(("collect2: error: ", Field("message"))),
+    Format((Field("before"), ": ", Field("message", ".*undefined reference to.*")), "link"),
+    Format((Field("message", ".*undefined reference to.*"),)),
+)
 #: The formats of each tool, in the order in which they are tried.
 TOOLS: dict[str, tuple[Format, ...]] = {
     "nvcc": (
-        Format(PTXAS, 1, 2), _InMessage(PTXAS_PLACE, 2, 3), Format(NVCC_FATAL, "error", 1), Format(EDG_PAREN, 3, 5, code=4, file=1, line=2, place="edg"), _placed(PLACE, "no column"), *_LINKER,
+        Format(("ptxas", Loose(r"\s+"), words(*TOOL_WORDS), *_BEFORE_MESSAGE)),
+        Format(("ptxas ", Loose(r"(?!(?:info|error|warning|fatal)\s*:)"), Field("where", ".+?, line [0-9]{1,10}"), "; ", words(*TOOL_WORDS), *_BEFORE_MESSAGE)),
+        Format(("nvcc fatal", *_BEFORE_MESSAGE)),
+        Format((Field("file", "(?:(?!: ).)+?"), "(", number("line"), "): ", words(*EDG_WORDS), Maybe((" #", Field("code", "[0-9]+(?:-D)?"))), ": ", Field("message")), "edg"),
+        Format(_HOST_PLACE, "no column"), *_LINKER,
     ),
     "nvc++": (
-        Format(EDG_QUOTE, 3, 4, code=5, file=1, line=2, place="edg"), _Backend(BACKEND, 1, 3), Format(NVCPP_DRIVER, 1, 2), Format(NVLINK, 1, 2), _InMessage(INLINE_ASM, 2, 3), _placed(PLACE, "built"), *_LINKER,
+        Format(('"', Field("file", '[^"]+'), '", line ', number("line"), ": ", words(*EDG_WORDS), ": ", Field("message", ".*?"), Maybe((" [", Field("code", "[A-Za-z_][A-Za-z0-9_]*"), "]"))), "edg"),
+        Format(("NVC++-", words("I", "W", "S", "F"), "-", Field("number", "[0-9]+"), "-", Field("message")), "backend"),
+        Format(("nvc++-", words("Error", "Fatal", "Warning"), "-", Field("message"))),
+        Format(("nvlink", Loose(r"\s+"), words(*TOOL_WORDS), *_BEFORE_MESSAGE)),
+        Format((Field("where", "<inline asm>:[0-9]{1,10}:[0-9]{1,10}"), ": ", words("error", "warning", "note"), ": ", Field("message"))),
+        Format(_HOST_PLACE, "built"), *_LINKER,
     ),
-    "g++": (Format(GCC_DRIVER, 1, 2), _placed(PLACE, "built"), *_LINKER),
-    "clang": (Format(CLANG_DRIVER, 1, 2), _placed(PLACE, "clang")),
-    "kernel": (_placed(PLACE, "printed"),),
+    "g++": (_driver("g++", "gcc", "cc1plus", "cc1", prefix="(?:[A-Za-z0-9_.]+-)*"), Format(_HOST_PLACE, "built"), *_LINKER),
+    "clang": (_driver("clang++", "clang", "ld.lld"), Format(_HOST_PLACE, "clang")),
+    "kernel": (Format(_HOST_PLACE),),
 }
 
 
@@ -160,19 +210,21 @@ def line_diagnostic(text: Column, tool: str) -> Column:
     text = right_trimmed(text)
     out = F.when(text.rlike(rf"\A(?:{GUTTER})"), None)
     for f in TOOLS[tool]:
-        out = out.when(text.rlike(whole(f.pattern)), f.diagnostic(text))
+        out = out.when(f.fits(text), f.diagnostic(text))
     return out
 
 
 def diagnostics(logs: DataFrame, tool: str, keys: list[str], *, log: str = "stderr", files: str | None = None) -> DataFrame:
     """(keys, ordinal, severity, code, file, line, column, message): what a tool's logs report, in order.
 
-    ``logs`` has a row for each value of ``keys``; ``files`` names a map column of the built files' texts. A null log has
-    no line.
+    ``logs`` has a row for each value of ``keys``, null or not; ``files`` names a map column of the built files' texts. A
+    null log has no line. What a line needs of the files is looked up in the log's own row, so that no file's text is
+    shuffled; the lines are, once.
     """
-    lines = logs.select(*keys, F.posexplode(F.split(log, "\n", -1)).alias("n", "raw"))
-    lines = lines.withColumn("d", line_diagnostic(F.col("raw"), tool)).withColumn("edg", F.coalesce(F.col("d.place") == "edg", F.lit(False)))
-    lines = lines.withColumn("caret", F.col("raw").rlike(whole(CARET)))
+    built = F.coalesce(F.col(files), F.create_map().cast("map<string,string>")) if files else F.create_map().cast("map<string,string>")
+    lines = logs.select(*keys, built.alias("built"), F.posexplode(F.split(log, "\n", -1)).alias("n", "raw")).withColumn("d", line_diagnostic(F.col("raw"), tool))
+    lines = lines.select(*keys, "n", "raw", F.when(F.col("d").isNotNull(), _in_files(F.col("d"), F.col("built"))).alias("d"))
+    lines = lines.withColumn("edg", F.coalesce(F.col("d.place") == "edg", F.lit(False))).withColumn("caret", F.col("raw").rlike(whole(CARET)))
     w = Window.partitionBy(*keys).orderBy("n")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     # A line above a caret is an echo. An indented line that is neither this nor a diagnostic may go on with the one before.
@@ -191,38 +243,39 @@ def diagnostics(logs: DataFrame, tool: str, keys: list[str], *, log: str = "stde
         F.sort_array(F.collect_list(F.when(F.col("role") == "more", F.struct("n", trimmed(F.col("raw")).alias("text"))))).alias("more"),
         F.max(F.when(F.col("role") == "echo", F.struct("raw", "below"))).alias("shown"),
     )
-    one = one.withColumn("d", F.col("d").withField("message", F.concat_ws("; ", F.array("d.message"), F.col("more.text"))))
-    every = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("of", "d", "shown"))).alias("all"))
-    built = F.coalesce(F.col(files), F.create_map().cast("map<string,string>")) if files else F.create_map().cast("map<string,string>")
-    every = every.join(logs.select(*keys, built.alias("built")), keys)
-    rows = every.select(*keys, F.posexplode(F.transform("all", lambda x: _settled(x["d"], x["shown"], F.col("built")))).alias("ordinal", "d"))
-    return rows.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), *[F.col(f"d.{c}").alias(c) for c in DIAGNOSTIC.names])
-
-
-def _settled(d: Column, shown: Column, built: Column) -> Column:
-    """The diagnostic with the place that the built files allow."""
-    file = F.when(d["place"] == "link", built_file(d["file"], built)).when(d["place"] == "clang", F.regexp_replace(d["file"], r"\A\./", "")).otherwise(d["file"])
-    text = F.try_element_at(built, file)
-    line_text = right_trimmed(F.get(F.split(text, "\n", -1), (d["line"] - 1).cast("int")))
-    known = F.array_contains(F.map_keys(built), file)
-    bare = (d["place"] == "backend") & d["line"].isNull() & d["file"].isNotNull()
-    linked = d["place"] != "link"
-    keep = linked | (line_text.isNotNull() & (d["line"] > 0))
-    echo = right_trimmed(shown["raw"])
-    at = F.instr(shown["below"], "^") - (F.length(echo) - F.length(line_text))
-    caret = F.when((F.length(line_text) > 0) & echo.endswith(line_text) & (at > 0) & (d["line"] > 0), at.cast("long"))
-    column = F.when(d["place"] == "edg", caret).when(d["place"].isin("built", "clang"), F.when(known, d["column"])).when(d["place"] == "no column", None).otherwise(d["column"])
-    message = F.when(bare & known, F.regexp_replace(d["message"], r"(?sU)\s+\([^()]*\)\z", "")).otherwise(d["message"])
+    column = F.when(F.col("d.place") == "edg", _under_caret(F.col("shown"), F.col("d.source"))).otherwise(F.col("d.column"))
+    cells = {c: F.col(f"d.{c}") for c in DIAGNOSTIC.names} | {"column": column, "message": F.concat_ws("; ", F.array("d.message"), F.col("more.text"))}
+    ordinal = (F.row_number().over(Window.partitionBy(*keys).orderBy("of")) - 1).cast("long")
+    return one.select(*keys, ordinal.alias("ordinal"), *[c.alias(k) for k, c in cells.items()])
+
+
+def _in_files(d: Column, built: Column) -> Column:
+    """The diagnostic with what the built files allow of its place, and the source line that it names."""
+    file = F.when(d["place"] == "link", tasks.longest_suffix(d["file"], F.map_keys(built))).when(d["place"] == "clang", F.regexp_replace(d["file"], r"\A\./", "")).otherwise(d["file"])
+    known = F.map_contains_key(built, F.coalesce(file, F.lit("")))
+    source = F.when(d["place"].isin("edg", "link") & known & (d["line"] > 0), nth_line(F.try_element_at(built, file), d["line"]))
+    bare = (d["place"] == "backend") & d["line"].isNull() & file.isNotNull()
+    keep = (d["place"] != "link") | source.isNotNull()
+    column = F.when(d["place"].isin("built", "clang"), F.when(known, d["column"])).when(d["place"].isin("no column", "edg"), None).otherwise(d["column"])
     return F.struct(
-        d["severity"].alias("severity"), d["code"].alias("code"), F.when(keep & (~F.coalesce(bare, F.lit(False)) | known), file).alias("file"),
-        F.when(keep, d["line"]).alias("line"), column.alias("column"), message.alias("message"),
+        d["severity"].alias("severity"), d["code"].alias("code"), F.when(keep & (~bare | known), file).alias("file"), F.when(keep, d["line"]).alias("line"), column.alias("column"),
+        F.when(bare & known, without_parenthesis(d["message"])).otherwise(d["message"]).alias("message"), d["place"].alias("place"), right_trimmed(source).alias("source"),
     )
 
 
-def built_file(path: Column, built: Column) -> Column:
-    """The built file that a path names: the longest name that it equals or ends with after a slash."""
-    fits = F.filter(F.map_keys(built), lambda k: (path == k) | path.endswith(F.concat(F.lit("/"), k)))
-    return F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("name"))))["name"]
+def nth_line(text: Column, n: Column) -> Column:
+    """The n-th line (from 1) of a text, null beyond the last; the text is not cut into an array of lines."""
+    upto = F.call_function("substring_index", text, F.lit("\n"), F.least(n, F.lit(2147483647)).cast("int"))
+    last = F.substring_index(upto, "\n", -1)
+    count = F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit(""))) + 1
+    return F.when(count == n, last)
+
+
+def _under_caret(shown: Column, source: Column) -> Column:
+    """The column in a source line at which the caret under its echo points."""
+    echo = right_trimmed(shown["raw"])
+    at = F.instr(shown["below"], "^") - (F.length(echo) - F.length(source))
+    return F.when((F.length(source) > 0) & echo.endswith(source) & (at > 0), at.cast("long"))
 
 
 def normal_path(path: str) -> str:
@@ -301,6 +354,17 @@ def findings(stdout: Column) -> Column:
     return F.transform(found, lambda p: F.struct(p["class"].alias("class"), F.substring(p["rest"], F.lit(1), cut(p) - 1).alias("function"), F.substring(p["rest"], cut(p) + 2, F.length(p["rest"])).alias("message")))
 
 
+def finding_diagnostics(logs: DataFrame, keys: list[str], *, stdout: str = "stdout") -> DataFrame:
+    """(keys, ordinal, stage and a diagnostic's columns): a row for each finding, in the order of the log.
+
+    The class is the code; the message is the whole finding, every character that is not printable ASCII a question mark.
+    """
+    each = logs.select(*keys, F.posexplode(findings(F.col(stdout))).alias("n", "f"))
+    said = F.regexp_replace(F.concat_ws(": ", "f.class", "f.function", "f.message"), "[^ -~]", "?")
+    cells = {"stage": F.lit("run"), "severity": F.lit("error"), "code": F.col("f.class"), "file": F.lit(None).cast("string"), "line": F.lit(None).cast("long"), "column": F.lit(None).cast("long"), "message": said}
+    return each.select(*keys, F.col("n").cast("long").alias("ordinal"), *[c.alias(k) for k, c in cells.items()])
+
+
 def undefined_behaviour(found: Column) -> Column:
     return F.exists(found, lambda x: x["class"].isin(*UB_CLASSES))
 

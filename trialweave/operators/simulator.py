@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.functions import text
 from trialweave.operators import lists, parsers
 
 # Line formats, the note's cap in bytes, how much of a log's end is read.
@@ -16,13 +17,13 @@ KERNEL = r"(?s)\Ak_id\[ *([0-9]{1,20})\]: .*"
 NOTE_BYTES, TAIL_BYTES = 4096, 1 << 20
 
 
-def ascii_only(text: Column) -> Column:
-    return F.regexp_replace(text, "[^ -~]", "?")
+def ascii_only(said: Column) -> Column:
+    return F.regexp_replace(said, "[^ -~]", "?")
 
 
-def _found(pattern: str, text: Column) -> Column:
+def _found(pattern: str, line: Column) -> Column:
     """The first group of a line that has the format, else null."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+    return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1))
 
 
 def kernel_diagnostics(logs: DataFrame, keys: list[str], *, stdout: str = "stdout", stderr: str = "stderr", workdir: str | None = None) -> DataFrame:
@@ -39,8 +40,9 @@ def kernel_diagnostics(logs: DataFrame, keys: list[str], *, stdout: str = "stdou
     inside = lists.islands(lines, own, "n", F.col("raw").rlike(BUILD_FAILED), blank).where("block is not null")
     shown = F.coalesce(parsers.trimmed(_found(BUILD_FAILED, F.col("raw"))), F.col("raw"))
     found = inside.withColumn("d", parsers.line_diagnostic(shown, "kernel")).where("d is not null")
-    base = F.concat(F.regexp_replace("dir", "/+\\z", ""), F.lit("/"))
-    file = F.when(F.col("d.file").startswith(base), F.substring("d.file", F.length(base) + 1, F.length("d.file"))).otherwise(F.col("d.file"))
+    base, normal = F.concat(F.regexp_replace("dir", "/+\\z", ""), F.lit("/")), text.normal_path(F.col("d.file"))
+    below = normal.startswith(base) & (F.length(normal) > F.length(base))
+    file = F.when(below, F.substring(normal, F.length(base) + 1, F.length(normal))).otherwise(F.col("d.file"))
     cells = {"severity": F.col("d.severity"), "code": ascii_only(F.col("d.code")), "file": ascii_only(file), "line": F.col("d.line"), "column": F.col("d.column"), "message": ascii_only(F.col("d.message"))}
     first = lists.first_seen(found.select(*own, "n", *[c.alias(k) for k, c in cells.items()]), [*keys, *cells], ["stream", "n"])
     order = Window.partitionBy(*keys).orderBy("stream", "n")
@@ -52,7 +54,7 @@ def watchdog_notes(logs: DataFrame, keys: list[str], *, log: str = "log") -> Dat
 
     Whole lines up to a cap; how many are left out is said.
     """
-    tail = F.expr(f"right(`{log}`, {TAIL_BYTES})")
+    tail = text.last_bytes(F.col(log), TAIL_BYTES)
     lines = logs.select(*keys, F.posexplode(F.transform(F.split(tail, "\n", -1), lambda x: F.regexp_replace(x, "\r+\\z", ""))).alias("n", "raw"))
     dump = lists.last_complete(lines, keys, "n", _found(DUMP_BEGINS, F.col("raw")), _found(DUMP_ENDS, F.col("raw")))
     body = lines.join(dump, keys).where("n > first and n < last")

@@ -7,6 +7,8 @@ tables, so it knows nothing of the record.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -245,7 +247,7 @@ def compiler_logs(spark, d):
         F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), told.alias("t")))), lambda x: x["t"])).alias("stderr"),
         F.map_from_entries(F.array_distinct(F.collect_list(F.struct(name.alias("f"), F.lit("a b c").alias("s"))))).alias("files"),
     )
-    logs = logs.withColumn("files", F.transform_values("files", lambda _, s: F.concat_ws("\n", F.array_repeat(s, 2000))))
+    logs = logs.withColumn("files", F.transform_values("files", lambda _, s: F.concat_ws("\n", F.array_repeat(s, 8))))
     got = parsers.diagnostics(logs, "nvcc", ["l_orderkey"], files="files")
     return got.select("l_orderkey", "ordinal", "severity", "code", "file", "line", F.col("column").alias("at"), "message")
 
@@ -260,15 +262,56 @@ def watchdog_notes(spark, d):
     return simulator.watchdog_notes(s.select("s_suppkey", log.alias("log")), ["s_suppkey"])
 
 
-@query("SELECT s_suppkey, 0::BIGINT AS ordinal, 'error' AS severity, 'k' || s_nationkey || '.cpp' AS file, (s_nationkey + 1)::BIGINT AS line, 'bad ' || s_name AS message FROM supplier")
+@query("SELECT nullif(s_suppkey, 1) AS s_suppkey, 0::BIGINT AS ordinal, 'error' AS severity, CASE s_nationkey % 3 WHEN 2 THEN '/v/../k' ELSE 'k' END || s_nationkey || '.cpp' AS file, (s_nationkey + 1)::BIGINT AS line, 'bad ' || s_name || ' ?' AS message FROM supplier")
 def kernel_logs(spark, d):
-    """A kernel's build log in both streams, with a line of another program after it."""
+    """A kernel's build log in both streams, with a line of another program after it; paths need folding, one key is null."""
     n = F.col("s_nationkey")
-    log = F.concat(F.lit("out\nbrisc build failed. Log: In file\n/w/k"), n.cast("string"), F.lit(".cpp:"), (n + 1).cast("string"), F.lit(":0: error: bad "), "s_name", F.lit("\n  3 | x:1:2: error: echo\n\nz.cpp:1:1: error: outside\n"))
-    logs = table(spark, d, "supplier").select("s_suppkey", log.alias("stdout"), log.alias("stderr"), F.lit("/w").alias("dir"))
+    inside = F.when(n % 3 == 0, "/w//k").when(n % 3 == 1, "/w/x/./../k").otherwise("/v/../k")
+    log = F.concat(F.lit("out\nbrisc build failed. Log: In file\n"), inside, n.cast("string"), F.lit(".cpp:"), (n + 1).cast("string"), F.lit(":0: error: bad "), "s_name", F.lit(" é\n  3 | x:1:2: error: echo\n\nz.cpp:1:1: error: outside\n"))
+    logs = table(spark, d, "supplier").select(F.nullif("s_suppkey", F.lit(1)).alias("s_suppkey"), log.alias("stdout"), log.alias("stderr"), F.lit("/w").alias("dir"))
     return simulator.kernel_diagnostics(logs, ["s_suppkey"], workdir="dir").select("s_suppkey", "ordinal", "severity", "file", "line", "message")
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS n, p_name AS m, p_size % 2 = 0 AS even FROM part)
+SELECT k, 'g++' AS tool, 0::BIGINT AS ordinal, CASE WHEN even THEN 'error' ELSE 'warning' END AS severity, CASE WHEN even THEN NULL ELSE '-Wx' END AS code, 'a.cpp' AS file, n::BIGINT AS line, CASE WHEN n > 1 THEN (n - 1)::BIGINT END AS at, m AS message FROM p
+UNION ALL SELECT k, 'g++', 1, 'error', NULL, CASE WHEN n <= 3 THEN 'src/b.cpp' END, CASE WHEN n <= 3 THEN n::BIGINT END, NULL, 'undefined reference to `' || m || chr(39) FROM p
+UNION ALL SELECT k, 'g++', 2, 'error', NULL, NULL, NULL, NULL, 'ld returned 1 exit status' FROM p UNION ALL SELECT k, 'g++', 3, 'error', NULL, NULL, NULL, NULL, 'no input files' FROM p
+UNION ALL SELECT k, 'nvc++', 0, 'error', 'no_such', 'n.cpp', 1, CASE WHEN even THEN 5 END, m FROM p UNION ALL SELECT k, 'nvc++', 1, CASE WHEN even THEN 'error' ELSE 'warning' END, CASE WHEN even THEN 'S' ELSE 'W' END || '-' || n, 'm.cpp', n, NULL, m FROM p
+UNION ALL SELECT k, 'nvc++', 2, 'warning', 'W-0155', CASE WHEN even THEN 'n.cpp' END, NULL, NULL, m || CASE WHEN even THEN '' ELSE ' (other.cpp)' END FROM p UNION ALL SELECT k, 'nvc++', 3, 'error', NULL, NULL, NULL, NULL, 'lost ' || m FROM p
+UNION ALL SELECT k, 'clang', 0, 'note', NULL, 'k.cpp', n, 2, m FROM p UNION ALL SELECT k, 'clang', 1, 'error', NULL, NULL, NULL, NULL, 'undefined symbol: ' || m FROM p
+UNION ALL SELECT k, 'nvcc', 0, 'error', NULL, NULL, NULL, NULL, 't.ptx, line ' || n || ': ' || m FROM p UNION ALL SELECT k, 'nvcc', 1, 'warning', '-Wodd', 'h.cu', n, NULL, m FROM p UNION ALL SELECT k, 'nvcc', 2, 'error', NULL, NULL, NULL, NULL, 'Value ' || m FROM p""")
+def toolchain_logs(spark, d):
+    """Each part's log from four toolchains: host and driver lines, the linker's, backend places with and without a line, carets."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"), F.col("p_name").alias("m"), (F.col("p_size") % 2 == 0).alias("even"))
+    n, m, even, column = F.col("n").cast("string"), F.col("m"), F.col("even"), (F.col("n") - 1).cast("string")
+    text_of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    gcc = text_of("a.cpp:", n, ":", column, ": ", F.when(even, "fatal error").otherwise("warning"), ": ", m, F.when(even, "").otherwise(" [-Wx]"), "\n   16| int x:1:2: error: echoed\n/usr/bin/ld: /w/src/b.cpp:", n)
+    gcc = text_of(gcc, ": undefined reference to `", m, "'\ncollect2: error: ld returned 1 exit status\ng++-13: fatal error: no input files\nnothing")
+    backend = text_of("\nNVC++-", F.when(even, "S").otherwise("W"), "-", n, "-", m, "  (m.cpp: ", n, ")\nNVC++-W-0155-", m, F.when(even, " (n.cpp)").otherwise(" (other.cpp)"), "\nnvlink error   : lost ", m)
+    logs = {
+        "g++": (gcc, {"a.cpp": "x", "src/b.cpp": "1\n2\n3", "b.cpp": "1"}),
+        "nvc++": (text_of('"n.cpp", line 1: error: ', m, " [no_such]\n  ", F.when(even, "ab cd").otherwise("other"), "\n      ^", backend), {"n.cpp": "ab cd\n"}),
+        "clang": (text_of("./k.cpp:", n, ":2: note: ", m, "\nld.lld-18: error: undefined symbol: ", m, "\ncollect2: error: no"), {"k.cpp": "xy"}),
+        "nvcc": (text_of("ptxas t.ptx, line ", n, "; error   : ", m, "\nptxas info    : nothing\nh.cu:", n, ":5: warning: ", m, " [-Wodd]\nnvcc fatal   : Value ", m), {"h.cu": "x"}),
+    }
+    out = []
+    for tool, (log, files) in logs.items():
+        built = F.create_map(*[F.lit(x) for pair in files.items() for x in pair])
+        rows = parsers.diagnostics(p.select("k", log.alias("stderr"), built.alias("files")), tool, ["k"], files="files")
+        out.append(rows.select("k", F.lit(tool).alias("tool"), "ordinal", "severity", "code", "file", "line", F.col("column").alias("at"), "message"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("""SELECT p_partkey, 0::BIGINT AS ordinal, 'run' AS stage, 'error' AS severity, 'UndefinedBehavior' AS code, 'UndefinedBehavior: tt::r?ad: ' || p_name AS message FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, (p_size % 3 = 0)::BIGINT, 'run', 'error', 'SystemError', 'SystemError: g: a: b' FROM part WHERE p_size % 2 = 0""")
+def finding_rows(spark, d):
+    """A simulator's findings as a run's diagnostics, in printable ASCII."""
+    ub = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("[12] ERROR: UndefinedBehavior: tt::réad: "), "p_name"))
+    log = F.concat_ws("\n", F.lit("x"), ub, F.when(F.col("p_size") % 2 == 0, F.lit("t [9] ERROR: SystemError: g: a: b\r")), F.lit("[1] ERROR: NoMessage: x"))
+    got = parsers.finding_diagnostics(table(spark, d, "part").select("p_partkey", log.alias("stdout")), ["p_partkey"])
+    return got.select("p_partkey", "ordinal", "stage", "severity", "code", "message")
+
+
 @query("""SELECT p_partkey, (p_size % 3 = 0) AS ub, CASE WHEN p_size % 2 = 0 THEN 'SystemError' END AS gap, concat_ws('|', CASE WHEN p_size % 3 = 0 THEN 'tt::read/' || p_name END, CASE WHEN p_size % 2 = 0 THEN 'g/a: b' END) AS said FROM part""")
 def simulator_findings(spark, d):
     ub = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("[12] ERROR: UndefinedBehavior: tt::read: "), "p_name"))
