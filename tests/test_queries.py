@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from trialweave.trial_queries import ORACLE_SQL, QUERIES
+from trialweave.flow_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
