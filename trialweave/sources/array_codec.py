@@ -1,4 +1,4 @@
-"""Named n-d arrays in a binary file, their values, and the seeded generator of inputs.
+"""Named n-d arrays in a binary file, and their values.
 
 A file is: 8 bytes of magic, u32 version, u32 dtype code, u32 rank, u64 dims, u32 name length, the name, zero bytes to
 a multiple of 8, the data. All little-endian; nothing may follow the data.
@@ -6,7 +6,6 @@ a multiple of 8, the data. All little-endian; nothing may follow the data.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import struct
@@ -105,66 +104,3 @@ def read_arrays(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFra
             yield pd.DataFrame(out, columns=["path", "name", "dtype", "shape", "data", "problem"])
 
     return files.mapInPandas(run, "path string, name string, dtype string, shape array<long>, data binary, problem string")
-
-
-class Pcg32:
-    """PCG-XSH-RR 64/32 with the seeding of the published generator."""
-
-    def __init__(self, state: int, stream: int):
-        self.inc, self.state = (stream << 1 | 1) & (1 << 64) - 1, 0
-        self.next_u32()
-        self.state = (self.state + state) & (1 << 64) - 1
-        self.next_u32()
-
-    def next_u32(self) -> int:
-        s = self.state
-        self.state = (s * 6364136223846793005 + self.inc) & (1 << 64) - 1
-        x, r = ((s >> 18 ^ s) >> 27) & 0xFFFFFFFF, s >> 59
-        return (x >> r | x << (-r & 31)) & 0xFFFFFFFF
-
-    def next_u64(self) -> int:
-        high = self.next_u32()
-        return high << 32 | self.next_u32()
-
-
-def stream_of(name: str) -> int:
-    return int.from_bytes(hashlib.sha256(name.encode("ascii")).digest()[:8], "little")
-
-
-def bounded(rng: Pcg32, span: int) -> int:
-    """A uniform draw below span, by rejection of the biased low range."""
-    wide = span > 1 << 32
-    size, draw = (1 << 64, rng.next_u64) if wide else (1 << 32, rng.next_u32)
-    skip = (size - span) % span
-    while (x := draw()) < skip:
-        pass
-    return x % span
-
-
-def generate(seed: int, name: str, dtype: str, shape: tuple[int, ...], dist: str, lo: float, hi: float) -> NamedArray:
-    """An input array: its own stream by name; floats rounded half to even into the dtype and clamped into [lo, hi)."""
-    rng, n = Pcg32(seed, stream_of(name)), math.prod(shape)
-    if dist == "integers":
-        x = np.array([int(lo) + bounded(rng, int(hi) - int(lo) + 1) for _ in range(n)], dtype=object)
-        return NamedArray(name, dtype, shape, x.astype(NUMPY[dtype]).tobytes())
-    u = np.array([lo + (hi - lo) * ((rng.next_u64() >> 11) * 2.0**-53) for _ in range(n)])
-    return NamedArray(name, dtype, shape, round_to(dtype, np.clip(u, lo, np.nextafter(hi, lo))).tobytes())
-
-
-def round_to(dtype: str, x: np.ndarray) -> np.ndarray:
-    """Round doubles half to even into a float dtype; bf16 comes back as its bits."""
-    if dtype != "bf16":
-        return x.astype(NUMPY[dtype])
-    b = x.astype("<f4").view("<u4").astype(np.uint64)
-    return ((b + np.uint64(0x7FFF) + (b >> np.uint64(16) & np.uint64(1))) >> np.uint64(16)).astype("<u2")
-
-
-def generate_inputs(spec: DataFrame, seed: int) -> DataFrame:
-    """(name, dtype, shape, data) for each row (name, dtype, shape, dist, lo, hi): one task a named array, as a stream is sequential."""
-
-    def run(batches):
-        for pdf in batches:
-            made = [generate(seed, r.name, r.dtype, tuple(int(d) for d in r.shape), r.dist, r.lo, r.hi) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame({"name": [a.name for a in made], "dtype": [a.dtype for a in made], "shape": [list(a.shape) for a in made], "data": [a.data for a in made]})
-
-    return spec.repartition("name").mapInPandas(run, "name string, dtype string, shape array<long>, data binary")

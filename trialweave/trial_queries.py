@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trialweave.functions import ids, stats, text
 from trialweave.operators import attempts, compare, facts, flatten, lists, metrics, parsers, scoring, simulator, store, tasks
 from trialweave.queries import ORACLE_SQL, QUERIES, query, rounded, table
+from trialweave.sources import generator
 from trialweave.sources.schema import TRIAL
 
 #: The attempts of all orders: index i of n, stage, guard, whether the output was kept, first diagnostic's severity.
@@ -331,6 +332,30 @@ def reply_files(spark, d):
     return one.select("p_partkey", attempts.reply_stage(F.col("files"), F.col("problems")).alias("stage"), "kind", "content")
 
 
+@query("""WITH RECURSIVE spec AS (SELECT 's' || s_suppkey AS name, s_nationkey AS nation, (2147483648 + s_nationkey * 40000000)::UBIGINT AS span FROM supplier),
+h AS (SELECT *, substr(sha256(name), 1, 16) AS x FROM spec), stream AS (SELECT *, (('0x' || x[15:16] || x[13:14] || x[11:12] || x[9:10] || x[7:8] || x[5:6] || x[3:4] || x[1:2])::UBIGINT::UHUGEINT * 2 + 1) % 18446744073709551616::UHUGEINT AS inc FROM h),
+draw(name, span, inc, s, k) AS (SELECT name, span, inc, (((inc + 7) % 18446744073709551616::UHUGEINT) * 6364136223846793005::UHUGEINT + inc) % 18446744073709551616::UHUGEINT, 0 FROM stream
+UNION ALL SELECT name, span, inc, (s * 6364136223846793005::UHUGEINT + inc) % 18446744073709551616::UHUGEINT, k + 1 FROM draw WHERE k < 63),
+raw AS (SELECT *, ((xor((s::UBIGINT >> 18), s::UBIGINT) >> 27) & 4294967295::UBIGINT)::UBIGINT AS x, (s::UBIGINT >> 59)::INT AS r FROM draw),
+u AS (SELECT *, CASE WHEN r = 0 THEN x ELSE ((x >> r) | ((x << (32 - r)) & 4294967295::UBIGINT)) END AS v FROM raw),
+kept AS (SELECT name, v % span AS v, row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS i FROM u WHERE v >= 4294967296::UBIGINT % span)
+SELECT name, i AS element, v::BIGINT AS value FROM kept WHERE i < 8 UNION ALL SELECT name, 8 + k, (x >> 8)::BIGINT FROM (SELECT name, k, v AS x FROM u WHERE k < 5)""")
+def generated_inputs(spark, d):
+    """Eight integers drawn by rejection and five floats (as their 24 bits) of each supplier's stream, in blocks of three."""
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_nationkey").alias("nation"))
+    top = (F.lit(2147483648) + F.col("nation").cast("long") * 40000000).cast("string")
+    spec = lambda dtype, dist, n, lo, hi: s.select("name", F.lit(dtype).alias("dtype"), F.array(F.lit(n).cast("long")).alias("shape"), F.lit(dist).alias("dist"), lo.alias("lo"), hi.alias("hi"))
+    ints = generator.generate(spec("u32", "integers", 8, F.lit("0"), top), 7, block=3)
+    floats = generator.generate(spec("f64", "uniform", 0, F.lit("0"), F.lit("1")).unionByName(spec("f32", "uniform", 5, F.lit("0"), F.lit("1"))), 7, block=3)
+    at = lambda rows, width, shift: rows.select("name", (F.col("first") + shift).alias("first"), F.hex("data").alias("x"), F.posexplode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i", "_")).select("name", (F.col("first") + F.col("i")).alias("element"), F.substring("x", F.col("i") * 2 * width + 1, F.lit(2 * width)).alias("x"))
+    turned = lambda x: F.concat(*[F.substring(x, k, 2) for k in (7, 5, 3, 1)])
+    whole = at(ints, 4, 0).select("name", "element", F.conv(turned("x"), 16, 10).cast("long").alias("value"))
+    bits = F.conv(turned("x"), 16, 10).cast("long")
+    # A single-precision number in [0, 1) of 24 bits, as the integer that it is 2**-24 times.
+    real = F.when(bits == 0, F.lit(0).cast("double")).otherwise((F.lit(1.0) + F.pmod(bits, F.lit(1 << 23)) / float(1 << 23)) * F.pow(F.lit(2.0), F.shiftright(bits, 23) - 127 + 24))
+    return whole.unionByName(at(floats.where("n > 0"), 4, 8).select("name", "element", real.cast("long").alias("value")))
+
+
 @query("SELECT doc_id, sha256(text) AS sha, length(text) AS chars FROM documents")
 def resolved_texts(spark, d):
     """Texts put into the store once each, looked up by hash."""
