@@ -158,8 +158,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str, *, limit: int = LIMIT,
     known = stored(spark, cache, path)
     missing = written(marked.groupBy("content").agg(F.lit(1).alias("x")).join(known, "content", "left_anti").select("content"))
     texts = whole.select(content.alias("content"), "text").mapInArrow(_first_of_each, "content binary, packed binary")
-    # The hash side is the digests, so texts stream through the join without a sort.
-    asked = texts.repartition(groups_for(docs, mb), "content").join(missing.hint("shuffle_hash"), "content", "left_semi")
+    # Both sides are dealt out alike, so texts are exchanged once; the hash side is the digests, so they are not sorted.
+    n = groups_for(docs, mb)
+    asked = texts.repartition(n, "content").join(missing.repartition(n, "content").hint("shuffle_hash"), "content")  # (a semi-join would be pushed below the exchange)
     encode_missing(asked, path).select(F.lit(version(path)).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
     counted = looked_up(marked, "content", stored(spark, cache, path), "n_tokens")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
