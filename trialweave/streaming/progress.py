@@ -13,13 +13,14 @@ KINDS = ("trial-start", "stage-start", "request-sent", "attempt", "trial-end")
 
 
 def latest(events: DataFrame, key: str = "trial_id", seq: str = "seq", kind: str = "kind", payload: str = "snapshot") -> DataFrame:
-    """One row a key: its last event's number, kind and snapshot, events so far, working, ended.
+    """One row a key: its last event's number, kind and snapshot, events so far, working (since a request, until what ends it), ended.
 
     The same plan runs on a batch and on a stream (update or complete mode); state is one row a key.
     """
     last = F.max(F.struct(F.col(seq), F.col(kind), F.col(payload)))
-    d = events.groupBy(key).agg(last.alias("x"), F.count("*").alias("events"), F.max(F.when(F.col(kind) == "trial-end", 1).otherwise(0)).alias("e"))
-    return d.select(key, F.col(f"x.{seq}").alias("last_seq"), F.col(f"x.{kind}").alias("last_kind"), F.col(f"x.{payload}").alias("last_snapshot"), "events", (F.col(f"x.{kind}") == "request-sent").alias("working"), (F.col("e") == 1).alias("ended"))
+    at = lambda *kinds: F.coalesce(F.max(F.when(F.col(kind).isin(*kinds), F.col(seq))), F.lit(-1))
+    d = events.groupBy(key).agg(last.alias("x"), F.count("*").alias("events"), F.max(F.when(F.col(kind) == "trial-end", 1).otherwise(0)).alias("e"), (at("request-sent") > at("attempt", "trial-start", "trial-end")).alias("w"))
+    return d.select(key, F.col(f"x.{seq}").alias("last_seq"), F.col(f"x.{kind}").alias("last_kind"), F.col(f"x.{payload}").alias("last_snapshot"), "events", F.col("w").alias("working"), (F.col("e") == 1).alias("ended"))
 
 
 def windowed(events: DataFrame, ts: str, width: str, late: str, *keys: str) -> DataFrame:
