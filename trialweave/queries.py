@@ -236,6 +236,15 @@ def sim_t_c_pairs(spark, d):
     return docs.select("item_id", F.round(text.sim_t_c(ref, "text"), 9).alias("sim_t_c"), F.round(text.sim_t(ref, "text"), 9).alias("sim_t"), F.lit(text.INTERPRETER).alias("interpreter"))
 
 
+@query()
+def similarity_measures(spark, d):
+    """Each document against the first one of its source and language: all similarities, by tokens and by lines."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("of"))
+    first = docs.groupBy("of").agg(F.min_by("text", "doc_id").alias("reference"))
+    pairs = graph.looked_up(docs, "of", first, "reference").repartition("doc_id")
+    return pairs.select("doc_id", text.measure(F.col("reference"), F.col("text")).alias("m")).select("doc_id", "m.sim_t", "m.sim_l", "m.sim_t_c", "m.python")
+
+
 @query("""SELECT coalesce(n.n_nationkey, c.k)::INT AS nation, CASE WHEN n.n_nationkey IS NULL THEN 'unknown' WHEN c.k IS NULL THEN 'missing' ELSE 'both' END AS side, coalesce(c.n, 0) AS customers, coalesce(c.ok, FALSE) AS all_positive
 FROM (SELECT * FROM nation WHERE n_nationkey <> 3) n FULL OUTER JOIN (SELECT c_nationkey AS k, count(*) AS n, bool_and(c_acctbal > -900) AS ok FROM customer WHERE c_nationkey <> 5 GROUP BY 1) c ON n.n_nationkey = c.k""")
 def full_outer_compare(spark, d):
