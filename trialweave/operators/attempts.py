@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions import text
+from trialweave.functions import exact, text
 from trialweave.operators import flatten, scoring
 
 # Codes, messages, limits.
@@ -132,9 +132,8 @@ def unaligned_warnings(trials: DataFrame) -> DataFrame:
 
 
 def alignment_means(attempts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The mean of the inputs' alignments of each attempt; null where one is null."""
-    known = F.count(value) == F.count(F.lit(1))
-    return attempts.groupBy(*keys).agg(F.when(known, F.avg(value)).alias("mean"))
+    """The mean of the inputs' alignments of each attempt, by exact sums; null where one is null."""
+    return exact.exact_means(attempts, keys, value)
 
 
 def previous_diffs(attempts: DataFrame, keys: list[str], order: str, files: str) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.functions import ids, stats, text
+from trialweave.functions import exact, ids, stats, text
 from trialweave.operators import attempts, compare, facts, flatten, lists, metrics, parsers, scoring, simulator, store, tasks
 from trialweave.queries import ORACLE_SQL, QUERIES, query, rounded, table
 from trialweave.sources import generator
@@ -198,10 +198,19 @@ def exit_classes(spark, d):
     return table(spark, d, "orders").select("o_orderkey", attempts.classify_exit(code, F.col("o_totalprice"), F.lit(100000)).alias("x")).select("o_orderkey", "x.*")
 
 
-@query("SELECT l_orderkey, CASE WHEN bool_or(l_tax = 0.03) THEN NULL ELSE round(avg(CASE WHEN l_tax = 0.03 THEN NULL ELSE l_tax END), 9) END AS mean FROM lineitem GROUP BY 1")
+@query("""WITH x AS (SELECT l_orderkey, CASE WHEN l_tax = 0.03 THEN NULL ELSE l_tax END::DOUBLE AS v FROM lineitem)
+SELECT l_orderkey, CASE WHEN count(v) = count(*) THEN sum((v * 1152921504606846976)::HUGEINT)::BIGINT::DOUBLE / 1152921504606846976 / count(*) END AS mean FROM x GROUP BY 1""")
 def alignment_means(spark, d):
+    """Means by exact sums, not rounded: in SQL all values are whole multiples of 2**-60, and are added up as such."""
     li = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_tax") != 0.03, F.col("l_tax")).alias("v"))
-    return rounded(attempts.alignment_means(li, ["l_orderkey"], "v"), "mean")
+    return attempts.alignment_means(li, ["l_orderkey"], "v")
+
+
+@query("""WITH m AS (SELECT *, l_extendedprice - sx AS dx, l_quantity - sy AS dy FROM lineitem JOIN (SELECT l_returnflag, avg(l_extendedprice) AS sx, avg(l_quantity) AS sy FROM lineitem GROUP BY 1) USING (l_returnflag)) SELECT l_returnflag, round(sum(dx * dy) / sqrt(sum(dx * dx) * sum(dy * dy)), 12) AS pcc FROM m GROUP BY 1""")
+def exact_correlations(spark, d):
+    """The correlation of price and quantity in each group of lineitems, by exact sums of deviations (SQL rounds its own)."""
+    got = exact.correlations(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
+    return got.select("l_returnflag", F.round("pcc", 12).alias("pcc"))
 
 
 @query("SELECT l.l_orderkey, l.l_linenumber, l.l_quantity * 2 AS runtime, greatest(30.0, 10 * p.p_size / 10.0) AS time_limit FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_quantity * 2 > greatest(30.0, 10 * p.p_size / 10.0)")
