@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.functions import exact, ids, stats, text
-from trialweave.operators import attempts, compare, facts, flatten, lists, metrics, parsers, scoring, simulator, store, tasks
+from trialweave.operators import attempts, compare, facts, flatten, lists, metrics, parsers, recordings, scoring, simulator, store, tasks, text_tables
 from trialweave.queries import ORACLE_SQL, QUERIES, query, rounded, table
 from trialweave.sources import generator
 from trialweave.sources.schema import TRIAL
@@ -365,6 +365,41 @@ def generated_inputs(spark, d):
     return whole.unionByName(at(floats.where("n > 0"), 4, 8).select("name", "element", real.cast("long").alias("value")))
 
 
+@query("""WITH m AS (SELECT conv_id, list({'role': coalesce(role, ''), 'content': coalesce(text, '')} ORDER BY turn) AS want FROM conversations GROUP BY 1),
+s AS (SELECT *, CASE conv_id % 5 WHEN 1 THEN list_prepend({'role': 'other', 'content': want[1].content}, want[2:]) WHEN 2 THEN list_prepend({'role': want[1].role, 'content': want[1].content || 'x'}, want[2:]) WHEN 3 THEN want[:-2] ELSE want END AS sent FROM m)
+SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'reply ' || conv_id END AS text, CASE WHEN conv_id % 5 = 0 THEN list_sum(list_transform(sent, lambda x: len(list_filter(regexp_split_to_array(x.content, '\\s+'), lambda w: w <> ''))))::BIGINT END AS prompt_tokens, CASE WHEN conv_id % 5 = 0 THEN 2::BIGINT END AS completion_tokens,
+CASE conv_id % 5 WHEN 1 THEN 'message 1 has role ''other'', expected ''' || want[1].role || '''' WHEN 2 THEN 'message 1 (' || want[1].role || ') differs at character ' || length(want[1].content) || ' (length ' || (length(want[1].content) + 1) || ', expected ' || length(want[1].content) || ')'
+WHEN 3 THEN len(sent) || ' message(s) sent, ' || len(want) || ' expected' WHEN 4 THEN 'the recording is used up' END AS problem FROM s""")
+def replayed_requests(spark, d):
+    """Each conversation as one request against a recording of it: equal, of another role, longer, too short, or not recorded."""
+    c = table(spark, d, "conversations")
+    one = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    m = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("m")))), lambda x: x["m"]).alias("want"))
+    n = F.col("conv_id") % 5
+    first, rest = F.col("want")[0], F.slice("want", F.lit(2), F.size("want"))
+    role = F.array(F.struct(F.lit("other").alias("role"), first["content"].alias("content")))
+    longer = F.array(F.struct(first["role"].alias("role"), F.concat(first["content"], F.lit("x")).alias("content")))
+    sent = F.when(n == 1, F.concat(role, rest)).when(n == 2, F.concat(longer, rest)).when(n == 3, F.slice("want", F.lit(1), F.size("want") - 1)).otherwise(F.col("want"))
+    key = F.col("conv_id").cast("string").alias("recording")
+    known = m.where(n != 4).select(key, F.lit(1).cast("long").alias("call"), F.concat(F.lit("reply "), F.col("conv_id").cast("string")).alias("text"), F.col("want").alias("messages"), F.lit(None).cast("string").alias("problem"))
+    asked = m.select("conv_id", key, F.lit(1).cast("long").alias("call"), sent.alias("messages"))
+    return recordings.replayed(asked, known, ["conv_id"]).drop("recording", "call")
+
+
+@query("""WITH s AS (SELECT s_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
+SELECT s_nationkey, r AS row, 0 AS column, s_name AS cell FROM s UNION ALL SELECT s_nationkey, r, 1, nullif(concat_ws(' ', CASE WHEN s_suppkey % 4 <> 0 THEN 'v ' || s_suppkey END, CASE WHEN s_suppkey % 3 = 0 THEN 'more' END), '') FROM s UNION ALL SELECT s_nationkey, r, 2, s_suppkey::VARCHAR FROM s
+UNION ALL SELECT DISTINCT s_nationkey, 0, c, ['name', 'value', 'key'][c + 1] FROM s, range(3) t(c)""")
+def scraped_tables(spark, d):
+    """Each nation's suppliers as a table laid out by spaces, with empty and wrapped cells, read back by its gaps."""
+    s = table(spark, d, "supplier")
+    pad = lambda c, n: F.rpad(c, n, F.lit(" "))
+    value = F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("v "), F.col("s_suppkey").cast("string"))).otherwise("")
+    line = F.concat(F.lit("  "), pad(F.col("s_name"), 20), pad(value, 14), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("\n"), F.repeat(F.lit(" "), 22), F.lit("more"))).otherwise(""))
+    rows = s.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
+    head = F.concat(F.lit("\n  "), pad(F.lit("name"), 20), pad(F.lit("value"), 14), F.lit("key\n"))
+    return text_tables.cells(rows.select("s_nationkey", F.concat(head, "t").alias("text")), ["s_nationkey"]).drop("block")
+
+
 @query("SELECT doc_id, sha256(text) AS sha, length(text) AS chars FROM documents")
 def resolved_texts(spark, d):
     """Texts put into the store once each, looked up by hash."""
