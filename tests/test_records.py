@@ -136,3 +136,26 @@ def test_ids(spark):
     assert df.first()["p"]["arm"] == "a+b" and df.first()["p"]["run"] == 7
     with pytest.raises(Exception, match="bad trial id"):
         spark.createDataFrame([("p/a/run1",)], "trial_id string").select(ids.parse(F.col("trial_id"))).collect()
+
+
+def test_scores_need_no_exchange(spark):
+    """All of a trial's scores come from its own row."""
+    from trialweave.operators import scoring
+    from trialweave.sources.schema import TRIAL
+
+    t = spark.createDataFrame([], TRIAL)
+    for df in (scoring.attempt_scores(t), scoring.trial_scores(t), scoring.apply_scores(t)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conform(spark):
+    from pyspark.sql import functions as F
+
+    from trialweave.sources.schema import conform, row
+
+    want = row("a long, s struct<x:long,y:string>, l array<struct<x:double,z:boolean>>, m map<string,string>")
+    df = spark.sql("select 1 as a, named_struct('x', 2) as s, array(named_struct('x', 3), null) as l, map('k', 'v') as m union all select null, null, null, null").select(F.struct("a", "s", "l", "m").alias("t"))
+    got = df.select(conform(F.col("t"), df.schema["t"].dataType, want).alias("t")).select("t.*")
+    assert [f.dataType for f in got.schema.fields] == [f.dataType for f in want.fields]
+    first, second = sorted(got.collect(), key=lambda r: r["a"] is None)
+    assert first["a"] == 1 and tuple(first["s"]) == (2, None) and [x and tuple(x) for x in first["l"]] == [(3.0, None), None] and first["m"] == {"k": "v"} and tuple(second) == (None,) * 4

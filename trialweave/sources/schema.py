@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SIMPLE = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "decimal(20,0)": T.DecimalType(20, 0)}
@@ -105,3 +107,14 @@ METRICS = row(
 STAGE_REACHED = row("arm string, direction string, ordinal long, stage string, count long")
 CORRECTIONS = row("arm string, direction string, corrections long, count long")
 COMPONENTS = row("trial_id string, profile string, component string, value double, note string, ordinal int")
+
+
+def conform(value: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value as a wider type: fields it lacks are null, others are cast; no text in between."""
+    if isinstance(want, T.StructType) and isinstance(have, T.StructType):
+        known = {f.name: f.dataType for f in have.fields}
+        cells = [(conform(value[f.name], known[f.name], f.dataType) if f.name in known else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields]
+        return F.when(value.isNotNull(), F.struct(*cells))
+    if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
+        return F.transform(value, lambda x: conform(x, have.elementType, want.elementType))
+    return value if have == want else value.cast(want)

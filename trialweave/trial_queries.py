@@ -16,7 +16,7 @@ from trialweave.functions import exact, ids, stats, text
 from trialweave.operators import attempts, compare, facts, flatten, lists, metrics, parsers, recordings, scoring, simulator, store, tasks, text_tables
 from trialweave.queries import ORACLE_SQL, QUERIES, query, rounded, table
 from trialweave.sources import generator
-from trialweave.sources.schema import TRIAL
+from trialweave.sources.schema import TRIAL, conform
 
 #: The attempts of all orders: index i of n, stage, guard, whether the output was kept, first diagnostic's severity.
 _A = """a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n,
@@ -41,7 +41,8 @@ def trials(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.struct(F.lit("compile").alias("stage"), F.lit("note").alias("severity"), F.lit("base").alias("message"))).alias("baseline_diagnostics"),
         F.transform("ls", _request).alias("requests"), F.transform("ls", _attempt).alias("attempts"),
     )
-    return every.select(F.from_json(F.to_json(record), TRIAL).alias("t")).select("t.*")
+    made = every.select(record.alias("t"))
+    return made.select(conform(F.col("t"), made.schema["t"].dataType, TRIAL).alias("t")).select("t.*")
 
 
 def _request(x: Column, i: Column) -> Column:
