@@ -30,26 +30,36 @@ def _scaled(x: Column, power: Column) -> Column:
     return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
 
 
-def limbs(x: Column) -> Column:
-    """An array of (bin, value) whose sum is x; empty for null."""
-    x = x.cast("double")
-    top = F.floor(F.floor(F.log2(F.abs(x))) / 32).cast("int")
-    parts, rest = [], _scaled(x, F.lit(-32) * top)
+def with_limbs(df: DataFrame, values: dict[str, Column], keys: list[str]) -> DataFrame:
+    """``keys``, and for each value a column of its name: an array of (bin, value) whose sum it is; empty for null.
+
+    What one step computes, the next names, so that no expression is repeated.
+    """
+    names, col = list(values), lambda k, i: F.col(f"__{k}{i}")
+    n = range(len(names))
+    d = df.select(*keys, *[values[x].cast("double").alias(f"__v{i}") for i, x in enumerate(names)])
+    d = d.withColumns({f"__t{i}": F.floor(F.floor(F.log2(F.nullif(F.abs(col("v", i)), F.lit(0.0)))) / 32).cast("int") for i in n})
+    d = d.withColumns({f"__t{i}": F.when(F.abs(col("v", i)) < float("inf"), F.coalesce(col("t", i), F.lit(0))) for i in n})
+    d = d.withColumns({f"__y0{i}": _scaled(col("v", i), F.lit(-32) * col("t", i)) for i in n})
     for k in range(3):
-        whole = rest.cast("long")
-        parts.append(F.struct((top - k).alias("bin"), whole.cast("decimal(20,0)").alias("value")))
-        rest = (rest - whole.cast("double")) * F.lit(float(BASE))
-    one = lambda b: F.array(F.struct(F.lit(b).alias("bin"), F.lit(1).cast("decimal(20,0)").alias("value")))
+        d = d.withColumns({f"__w{k}{i}": col(f"y{k}", i).cast("long") for i in n})
+        d = d.withColumns({f"__y{k + 1}{i}": (col(f"y{k}", i) - col(f"w{k}", i).cast("double")) * F.lit(float(BASE)) for i in n})
+    part = lambda b, v: F.struct(b.cast("int").alias("bin"), v.cast("decimal(20,0)").alias("value"))
     none = F.array().cast("array<struct<bin:int,value:decimal(20,0)>>")
-    numbers = F.filter(F.array(*parts), lambda p: p["value"] != 0)
-    return F.when(x.isNull(), none).when(F.isnan(x), one(NAN)).when(x == float("inf"), one(PLUS)).when(x == float("-inf"), one(MINUS)).when(x == 0, F.array(F.struct(F.lit(0).alias("bin"), F.lit(0).cast("decimal(20,0)").alias("value")))).otherwise(numbers)
+
+    def cells(i: int) -> Column:
+        v = col("v", i)
+        odd = F.when(F.isnan(v), NAN).when(v == float("inf"), PLUS).when(v == float("-inf"), MINUS)
+        return F.when(v.isNull(), none).when(odd.isNotNull(), F.array(part(odd, F.lit(1)))).otherwise(F.array(*[part(col("t", i) - k, col(f"w{k}", i)) for k in range(3)]))
+
+    return d.select(*keys, *[cells(i).alias(x) for i, x in enumerate(names)])
 
 
 def _nearest(bins: list[tuple[int, int]]) -> float | None:
     """The double nearest to a sum of bins: the quotient of two integers is rounded once."""
     if not bins:
         return None
-    special = {b for b, v in bins if b >= PLUS and v}
+    special = {b for b, _ in bins if b >= PLUS}
     if special:
         return math.nan if NAN in special or len(special) > 1 else math.inf if PLUS in special else -math.inf
     low = min(0, *(b for b, _ in bins))
@@ -70,8 +80,8 @@ def exact_sums(df: DataFrame, keys: list[str], values: dict[str, Column]) -> Dat
     """(keys, one sum for each of ``values``): a row a group; each bin of a group is summed before and after the shuffle."""
     names = list(values)
     of = lambda i: lambda p: F.struct(F.lit(i).alias("of"), p["bin"].alias("bin"), p["value"].alias("value"))
-    cells = F.flatten(F.array(*[F.transform(limbs(values[n]), of(i)) for i, n in enumerate(names)]))
-    each = df.select(*keys, F.explode_outer(cells).alias("__c")).select(*keys, "__c.*")
+    cells = F.flatten(F.array(*[F.transform(F.col(n), of(i)) for i, n in enumerate(names)]))
+    each = with_limbs(df, values, keys).select(*keys, F.explode_outer(cells).alias("__c")).select(*keys, "__c.*")
     bins = each.groupBy(*keys, "of", "bin").agg(F.sum("value").cast(_WIDE).alias("value"))
     lists = bins.groupBy(*keys).agg(F.collect_list(F.when(F.col("of").isNotNull(), F.struct("of", "bin", "value"))).alias("__all"))
     mine = lambda i: F.filter("__all", lambda c: c["of"] == i)

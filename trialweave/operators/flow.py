@@ -99,27 +99,34 @@ class Flow:
         """States with the kills around them."""
         return between_kills(states.withColumn("pos", F.col("pos").cast("long")), self.kills, "pos")
 
-    def seen(self, fresh: DataFrame, values: Values, sinks: bool) -> DataFrame:
+    def around(self, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All states that may be reached from ``states`` with the kills around them, and the loops that each goes round; once for all rounds."""
+        given = self.reads.where("target is not null").select("fn", F.col("target").alias("cls"), F.col("defined").alias("pos"))
+        places = _kept(self.placed(states.select(*AT).unionByName(given).distinct()))
+        return places, _kept(holding(places.where("pos >= 0"), self.loops, "pos").where(F.col("until") > F.col("end")).select(*AT, "head", "end"))
+
+    def seen(self, fresh: DataFrame, values: Values, sinks: bool, around: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         """Reads (all of ``sinks``, or else of definitions) with the union of the values of the ``fresh`` states that they see."""
         mine = lambda df: df.where(F.col("token").isNotNull() if sinks else F.col("target").isNotNull())
         what = ["fn", "cls", "read", "target", "defined", "token"]
-        now = self.placed(fresh).withColumn("block", F.col("block"))
+        places, loops = around or self.around(fresh)
+        now = fresh.join(places, AT)
         segment = ["fn", "cls", "since"]
         asked = mine(self.reads).join(now.select(*segment, "block").distinct(), segment).select(*what, "since", "block", F.lit(None).cast("long").alias("value"), F.col("read").alias("at"))
         told = now.select("fn", "cls", "since", "block", F.col("value").cast("long").alias("value"), F.col("pos").alias("at"))
         w = Window.partitionBy("fn", "block", "cls", "since").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
         after = asked.unionByName(told, allowMissingColumns=True).withColumn("value", values.merge(F.col("value")).over(w)).where("read is not null")
-        back = holding(now.where("pos >= 0"), self.loops, "pos").where(F.col("until") > F.col("end")).groupBy("fn", "block", "cls", "head", "end").agg(values.merge(F.col("value")).alias("value"))
-        around = mine(self.front).join(back, ["fn", "cls", "head", "end"])
+        back = fresh.join(loops, AT).groupBy("fn", "block", "cls", "head", "end").agg(values.merge(F.col("value")).alias("value"))
+        again = mine(self.front).join(back, ["fn", "cls", "head", "end"])
         every = fresh.groupBy("fn", "block", "cls").agg(values.merge(F.col("value")).alias("value"))
         first = mine(self.reads).where("read < 0").join(every, ["fn", "cls"])
-        out = [df.select(*what, "block", "value") for df in (after, around, first)]
+        out = [df.select(*what, "block", "value") for df in (after, again, first)]
         return reduce(DataFrame.unionByName, out).where("value is not null").groupBy(*what, "block").agg(values.merge(F.col("value")).alias("value"))
 
     def spread(self, seeds: DataFrame, values: Values, budget: int | None = None) -> DataFrame | None:
         """(fn, block, cls, pos, value) of every state that the seeds (same columns) reach; None where the budget of rounds ends first."""
         open_ = _kept(seeds.groupBy(*STATE).agg(values.merge(F.col("value")).alias("value")).withColumn("new", F.col("value")))
-        done, rounds = [], 0
+        done, rounds, around = [], 0, self.around(seeds)
         while True:
             fresh = open_.where("new is not null").select(*STATE, F.col("new").alias("value"))
             if fresh.isEmpty():
@@ -127,7 +134,7 @@ class Flow:
             if budget is not None and rounds >= budget:
                 return None
             rounds += 1
-            sent = self.seen(fresh, values, False).groupBy("fn", "block", F.col("target").alias("cls"), F.col("defined").alias("pos")).agg(values.merge(F.col("value")).alias("sent"))
+            sent = self.seen(fresh, values, False, around).groupBy("fn", "block", F.col("target").alias("cls"), F.col("defined").alias("pos")).agg(values.merge(F.col("value")).alias("sent"))
             merged = open_.select(*STATE, "value").join(sent, STATE, "full")
             merged = merged.withColumn("new", F.when(F.col("sent").isNotNull(), values.news(F.col("value"), F.col("sent"))))
             merged = merged.withColumn("value", F.when(F.col("sent").isNull(), F.col("value")).otherwise(values.both(F.col("value"), F.col("sent"))))
