@@ -118,6 +118,17 @@ def test_metric_rows(spark, trials):
     assert got["correct_rate"]["published"] == Row(count=3, denominator=4) and got["compile_rate"]["published"] is None
 
 
+def test_metric_rows_of_a_null_arm(spark, trials):
+    """A group without a name keeps its rows."""
+    from pyspark.sql import functions as F
+
+    scored = metrics.scored_trials(trials, scoring.score_trials(trials, ["outcome"]))
+    named = {(r["arm"], r["metric"]) for r in metrics.metric_rows(scored).collect()}
+    none = {(r["arm"], r["metric"]) for r in metrics.metric_rows(scored.withColumn("arm", F.lit(None).cast("string"))).collect()}
+    assert {m for _, m in named} == {m for _, m in none} and {a for a, _ in none} == {None}
+
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(34, 40), (9, 10), (10, 10), (0, 0)], "x long, n long")
     low, high = stats.wilson(F.col("x"), F.col("n"))

@@ -60,7 +60,10 @@ def pass_rates(scored: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
 
 def metric_rows(scored: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """(arm, direction, ordinal, metric, value, numerator, denominator, wilson_low, wilson_high, excluded, placeholder[, reference columns])."""
-    wide = rates(scored).join(pass_rates(scored), list(GROUP))
+    # (A null arm or direction is a group like any other.)
+    passes = pass_rates(scored).withColumnsRenamed({g: f"__{g}" for g in GROUP})
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in GROUP]
+    wide = rates(scored).join(passes, same).drop(*[f"__{g}" for g in GROUP])
     cells = []
     for i, m in enumerate(METRICS):
         if m == "within_10pct_rate":
@@ -81,8 +84,7 @@ def metric_rows(scored: DataFrame, reference: DataFrame | None = None) -> DataFr
         return rows
     name = F.expr("CASE metric " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items()) + " ELSE metric END")
     ref = reference.groupBy(F.col("direction").alias("__d"), F.col("metric").alias("__m")).agg(*[F.max(F.when(F.col("reading") == r, F.struct("count", "denominator"))).alias(r) for r in ("published", "recount", "recount_alternate")], F.max("cite").alias("cite"))
-    # One row for each published metric of a direction: a table typed by hand, so it is small.
-    joined = rows.join(F.broadcast(ref), (F.col("direction") == F.col("__d")) & (name == F.col("__m")) & ~F.col("compile_only"), "left")
+    joined = rows.join(ref, (F.col("direction") == F.col("__d")) & (name == F.col("__m")) & ~F.col("compile_only"), "left")
     return joined.drop("__d", "__m")
 
 
