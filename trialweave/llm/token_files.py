@@ -38,6 +38,8 @@ END_ID = 2
 SEQ_LEN = 2048
 BATCH_ROWS = 256
 SLICE_BYTES = 8 << 20
+#: Text that is encoded at once: its words and ids take some twenty times as much memory.
+ENCODE_BYTES = 3 << 20
 CACHE_WORDS = 400_000
 INDEX = "doc_id long, part int, file string, first long, n_tokens long"
 
@@ -127,13 +129,13 @@ def with_ends(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray,
     return np.insert(ids, np.cumsum(n), end_id), n + 1
 
 
-def slices(batch: pa.RecordBatch, column: str, rows: int = 1 << 30):
-    """Parts of a batch of at most SLICE_BYTES of text and ``rows`` rows, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, rows: int = 1 << 30, most: int = SLICE_BYTES):
+    """Parts of a batch of at most ``most`` bytes of text and ``rows`` rows, one row at least."""
     size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < batch.num_rows:
         before = size[i - 1] if i else 0
-        j = max(i + 1, min(i + rows, int(np.searchsorted(size, before + SLICE_BYTES, "right"))))
+        j = max(i + 1, min(i + rows, int(np.searchsorted(size, before + most, "right"))))
         yield batch.slice(i, j - i)
         i = j
     released()
@@ -217,7 +219,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
         dtype = pa.uint16() if max(tok.get_vocab_size(), end_id) < 1 << 16 else pa.uint32()
         uri = f"{path}/shard-{part:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", most=ENCODE_BYTES):
                 if not piece.num_rows:
                     continue
                 if writer is None:
