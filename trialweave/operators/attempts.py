@@ -124,7 +124,7 @@ def past_gate(trials: DataFrame) -> DataFrame:
 
 def unaligned_warnings(trials: DataFrame) -> DataFrame:
     """(trial_id, index, code, message): attempts that may not be aligned, as the reference they would be held against was cut."""
-    a = trials.select("trial_id", F.col("reference_run").alias("r"), F.explode("attempts").alias("a"))
+    a = flatten.items(trials, "attempts", "a", "trial_id", F.col("reference_run").alias("r"))
     cut = F.when(F.col("r.stdout_truncated").eqNullSafe(F.lit(True)) & F.col("a.run.stdout_ref").isNotNull(), REFERENCE_TRUNCATED)
     cut = cut.when(F.col("r.workdir_incomplete").eqNullSafe(F.lit(True)) & F.col("a.run.outputs").isNotNull(), REFERENCE_INCOMPLETE)
     said = F.element_at(F.create_map(*[F.lit(x) for pair in REFERENCE_NOTES.items() for x in pair]), F.col("code"))

@@ -47,27 +47,33 @@ def reward(stage: Column, warnings: Column, mean: Column, guard: Column, w: Weig
     return F.when(guard == 1.0, F.lit(w.guard_violation)).otherwise(base - F.lit(w.warning_weight) * F.least(warnings, F.lit(w.warning_cap)) + term)
 
 
-def scored(w: Weights | None = None) -> Column:
-    """The attempts' scores, in the trial's own row: an array of (index, components, r, guard).
+def scored(w: Weights | None = None, components: bool = True) -> Column:
+    """The attempts' scores, in the trial's own row: an array of (index, components, r, guard), or without components.
 
     The gap rule leaves the last attempt's R open unless a guard was broken.
     """
     w = w or Weights()
     at_gap, n = F.col("final.end_reason.code").eqNullSafe("sim-gap"), F.size("attempts")
 
-    def one(a: Column) -> Column:
-        g, stage, mean = a["guards"], a["stage_reached"], a["alignment"]["mean"]
+    # What an attempt's score is made of comes first, as an array of its own: inside a lambda an expression is evaluated wherever it stands.
+    def known(a: Column) -> Column:
+        g, stage = a["guards"], a["stage_reached"]
         guard = stats.any_true_all_false(g["host_compute"], g["harness_tamper"], g["oracle_access"])
-        warnings = warning_count(stage, a["diagnostics"])
-        gap, clean = at_gap & (a["index"] == n - 1) & ~guard.eqNullSafe(F.lit(1.0)), stage == "S5"
+        return F.struct(a["index"].alias("index"), stage.alias("stage"), a["alignment"]["mean"].alias("mean"), guard.alias("guard"), warning_count(stage, a["diagnostics"]).alias("warnings"))
+
+    def one(x: Column) -> Column:
+        stage, mean, guard, clean = x["stage"], x["mean"], x["guard"], x["stage"] == "S5"
+        gap = at_gap & (x["index"] == n - 1) & ~guard.eqNullSafe(F.lit(1.0))
+        r = F.when(~gap, reward(stage, x["warnings"], mean, guard, w)).alias("r")
+        if not components:
+            return F.struct(x["index"].alias("index"), r, guard.alias("guard"))
         parts = {
-            "stage_base": F.element_at(F.create_map(*[F.lit(x) for kv in w.stage_base.items() for x in kv]), stage), "warning_count": warnings.cast("double"),
+            "stage_base": F.element_at(F.create_map(*[F.lit(y) for kv in w.stage_base.items() for y in kv]), stage), "warning_count": x["warnings"].cast("double"),
             "alignment_term": F.when(clean & mean.isNotNull(), F.lit(w.alignment_weight) * mean).otherwise(F.lit(0.0)), "guard": guard, "alignment_missing": F.when(clean & mean.isNull(), 1.0).otherwise(0.0),
         }
-        components = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)])
-        return F.struct(a["index"].alias("index"), components.alias("components"), F.when(~gap, reward(stage, warnings, mean, guard, w)).alias("r"), guard.alias("guard"))
+        return F.struct(x["index"].alias("index"), F.create_map(*[y for k, v in parts.items() for y in (F.lit(k), v)]).alias("components"), r, guard.alias("guard"))
 
-    return F.transform("attempts", one)
+    return F.transform(F.transform("attempts", known), one)
 
 
 def _turns(s: Column, w: Weights) -> tuple[Column, Column]:
@@ -88,7 +94,7 @@ def trial_scores(t: DataFrame, w: Weights | None = None) -> DataFrame:
     """(trial_id, single_turn, multi_turn): each trial's in its own row, so nothing is shuffled."""
     w = w or Weights()
     single, multi = _turns(F.col("__s"), w)
-    return t.withColumn("__s", scored(w)).select("trial_id", single.alias("single_turn"), multi.alias("multi_turn"))
+    return t.withColumn("__s", scored(w, False)).select("trial_id", single.alias("single_turn"), multi.alias("multi_turn"))
 
 
 def clean_run(run: Column) -> Column:
@@ -99,9 +105,12 @@ def ran(run: Column) -> Column:
     return run["exit_code"].isNotNull() | run["hang"].eqNullSafe(F.lit(True)) | run["stdout_ref"].isNotNull()
 
 
-def correct(t_notes: dict[str, str] = NOTES) -> Column:
-    """A struct (value, note) of whether the output that stands is right; the note says why the value is null."""
-    end, standing = F.col("final.end_reason.code"), standing_attempt()
+def correct(t_notes: dict[str, str] = NOTES, standing: Column | None = None) -> Column:
+    """A struct (value, note) of whether the output that stands is right; the note says why the value is null.
+
+    ``standing`` names a column that holds the standing attempt, which else is looked for in each branch.
+    """
+    end, standing = F.col("final.end_reason.code"), standing_attempt() if standing is None else standing
     at_baseline = (F.size("attempts") == 0) & F.coalesce(end.isin(*BASELINE_ENDS), F.lit(False))
 
     def said(value, note):
@@ -120,35 +129,45 @@ def correct(t_notes: dict[str, str] = NOTES) -> Column:
     )
 
 
-def outcomes(t: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
-    """One row a trial with a struct (value, note) for each outcome component; ``similarity`` has (trial_id, sim_t, ...)."""
+def outcome_cells(t: DataFrame, similarity: DataFrame | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """The trials with what the outcome components are made of, and each component as a struct (value, note)."""
     end, first = F.col("final.end_reason.code"), F.col("final.corrections") == 0
     at_baseline = (F.size("attempts") == 0) & F.coalesce(end.isin(*BASELINE_ENDS), F.lit(False))
     compiled = F.coalesce(F.try_element_at("attempts", F.lit(-1))["stage_reached"].isin(*COMPILED_STAGES), F.lit(False))
     ended = F.when(at_baseline, F.concat(F.lit(f"{NOTES['baseline']} ("), end, F.lit(")")))
-    hits = F.size(F.filter(F.flatten(F.transform("attempts", lambda a: a["diagnostics"])), lambda d: d["code"] == "fence-quirk"))
-    t = t.withColumn("__correct", correct())
+    hits = F.aggregate("attempts", F.lit(0), lambda n, a: n + F.size(F.filter(a["diagnostics"], lambda d: d["code"] == "fence-quirk")))
+    sims = ("sim_t", "sim_t_c", "sim_t_tiktoken", "sim_l")
+    if similarity is not None:
+        t = t.join(similarity.select(F.col("trial_id"), *[F.col(s).alias(f"__{s}") for s in sims if s in similarity.columns]), "trial_id", "left")
+    t = t.withColumn("__standing", standing_attempt()).withColumn("__correct", correct(standing=F.col("__standing"))).withColumn("__hits", hits)
     value = F.col("__correct.value")
     cells = {
         "correct": (value, F.col("__correct.note")), "correct_paper": (F.lit(None), F.lit(NOTES["correct_paper"])), "within_10pct": (F.lit(None), F.lit(NOTES["within_10pct"])),
         "first_try": (F.when(value.isNotNull(), ((value == 1.0) & first).cast("double")), F.col("__correct.note")),
-        "self_corr": (F.col("final.corrections").cast("double"), F.lit(None)), "cap_hit": (end.eqNullSafe(F.lit("correction-cap")).cast("double"), F.lit(None)), "fence_quirk": (hits.cast("double"), F.lit(None)),
+        "self_corr": (F.col("final.corrections").cast("double"), F.lit(None)), "cap_hit": (end.eqNullSafe(F.lit("correction-cap")).cast("double"), F.lit(None)), "fence_quirk": (F.col("__hits").cast("double"), F.lit(None)),
         "compiled": (F.when(~at_baseline, compiled.cast("double")), ended), "compiled_first_try": (F.when(~at_baseline, (compiled & first).cast("double")), ended),
     }
-    sims = ("sim_t", "sim_t_c", "sim_t_tiktoken", "sim_l")
-    if similarity is not None:
-        t = t.join(similarity.select(F.col("trial_id"), *[F.col(s).alias(f"__{s}") for s in sims if s in similarity.columns]), "trial_id", "left")
     for s in sims:
         v = F.col(f"__{s}") if f"__{s}" in t.columns else F.lit(None).cast("double")
         cells[s] = (v, F.when(v.isNull(), F.lit(NOTES["sim"])))
-    return t.select("trial_id", *[F.struct(cells[c][0].cast("double").alias("value"), cells[c][1].cast("string").alias("note")).alias(c) for c in OUTCOME_COMPONENTS])
+    return t, {c: F.struct(cells[c][0].cast("double").alias("value"), cells[c][1].cast("string").alias("note")) for c in OUTCOME_COMPONENTS}
+
+
+def outcomes(t: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
+    """One row a trial with a struct (value, note) for each outcome component; ``similarity`` has (trial_id, sim_t, ...)."""
+    t, cells = outcome_cells(t, similarity)
+    return t.select("trial_id", *[cell.alias(c) for c, cell in cells.items()])
+
+
+def long_rows(cells: dict[str, Column], profile: str, scalar: str) -> Column:
+    """Components (structs of value and note) as an array of rows in order, the scalar last."""
+    each = [*cells.items(), ("scalar", cells[scalar])]
+    return F.array(*[F.struct(F.lit(profile).alias("profile"), F.lit(n).alias("component"), x["value"].alias("value"), x["note"].alias("note"), F.lit(i).alias("ordinal")) for i, (n, x) in enumerate(each)])
 
 
 def to_long(wide: DataFrame, profile: str, scalar: str, components: tuple[str, ...] = OUTCOME_COMPONENTS) -> DataFrame:
     """Components as rows in order, the scalar last."""
-    cell = lambda n, i: F.struct(F.lit(n).alias("component"), F.col(scalar if n == "scalar" else n)["value"].alias("value"), F.col(scalar if n == "scalar" else n)["note"].alias("note"), F.lit(i).alias("ordinal"))
-    rows = F.array(*[cell(n, i) for i, n in enumerate((*components, "scalar"))])
-    return wide.select("trial_id", F.lit(profile).alias("profile"), F.inline(rows)).select("trial_id", "profile", "component", "value", "note", "ordinal")
+    return wide.select("trial_id", F.inline(long_rows({c: F.col(c) for c in components}, profile, scalar))).select("trial_id", "profile", "component", "value", "note", "ordinal")
 
 
 def to_wide(long: DataFrame, components: tuple[str, ...]) -> DataFrame:
@@ -156,17 +175,21 @@ def to_wide(long: DataFrame, components: tuple[str, ...]) -> DataFrame:
     return long.groupBy("trial_id").pivot("component", list(components)).agg(F.first("value"))
 
 
-def reward_profile(t: DataFrame, w: Weights | None = None) -> DataFrame:
-    s = trial_scores(t, w)
-    cell = lambda c: F.struct(F.col(c).alias("value"), F.when(F.col(c).isNull(), F.lit("not computed")).alias("note")).alias(c)
-    return to_long(s.select("trial_id", cell("single_turn"), cell("multi_turn")), "reward", "multi_turn", ("single_turn", "multi_turn"))
+def _reward_rows(t: DataFrame) -> tuple[DataFrame, Column]:
+    w = Weights()
+    single, multi = _turns(F.col("__s"), w)
+    t = t.withColumn("__s", scored(w, False)).withColumns({"__single": single, "__multi": multi}).drop("__s")
+    cell = lambda c: F.struct(F.col(c).alias("value"), F.when(F.col(c).isNull(), F.lit("not computed")).alias("note"))
+    return t, long_rows({"single_turn": cell("__single"), "multi_turn": cell("__multi")}, "reward", "multi_turn")
 
 
-def outcome_profile(t: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
-    return to_long(outcomes(t, similarity), "outcome", "correct")
+def _outcome_rows(t: DataFrame) -> tuple[DataFrame, Column]:
+    t, cells = outcome_cells(t)
+    return t, long_rows(cells, "outcome", "correct")
 
 
-PROFILES: dict[str, Callable[[DataFrame], DataFrame]] = {"reward": reward_profile, "outcome": outcome_profile}
+#: Each profile adds what it needs to the trial's row, and gives the rows that it makes of it.
+PROFILES: dict[str, Callable[[DataFrame], tuple[DataFrame, Column]]] = {"reward": _reward_rows, "outcome": _outcome_rows}
 
 
 def score_trials(t: DataFrame, profiles: list[str]) -> DataFrame:
@@ -174,9 +197,12 @@ def score_trials(t: DataFrame, profiles: list[str]) -> DataFrame:
     unknown = sorted(set(profiles) - PROFILES.keys())
     if unknown or len(set(profiles)) != len(profiles):
         raise ValueError(f"unknown or repeated profiles: {unknown or profiles}")
-    out = PROFILES[profiles[0]](t)
-    for p in profiles[1:]:
-        out = out.unionByName(PROFILES[p](t))
+    rows = []
+    for p in profiles:
+        t, of_profile = PROFILES[p](t)
+        rows.append(of_profile)
+    # All profiles come from the trial's one row, so the records are made once.
+    out = t.select("trial_id", F.inline(F.concat(*rows)))
     bad = F.isnan("value") | (F.abs("value") == float("inf"))
     return out.withColumn("value", F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a component is not finite")).cast("double")).otherwise(F.col("value")))
 
@@ -185,8 +211,8 @@ def apply_scores(t: DataFrame, w: Weights | None = None) -> DataFrame:
     """The nested records with attempt and final scores written back, row by row."""
     w = w or Weights()
     _, multi = _turns(F.col("__s"), w)
-    put = lambda a, i: a.withField("score", F.struct(F.get("__s", i)["components"].alias("components"), F.get("__s", i)["r"].alias("scalar")))
-    return t.withColumn("__s", scored(w)).withColumn("attempts", F.transform("attempts", put)).withColumn("final", F.col("final").withField("score", multi)).select(*t.columns)
+    put = lambda a, x: a.withField("score", F.struct(x["components"].alias("components"), x["r"].alias("scalar")))
+    return t.withColumn("__s", scored(w)).withColumn("attempts", F.zip_with("attempts", "__s", put)).withColumn("final", F.col("final").withField("score", multi)).select(*t.columns)
 
 
 def reference_end(run: Column) -> Column:
