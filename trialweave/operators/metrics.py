@@ -100,13 +100,21 @@ def corrections(scored: DataFrame) -> DataFrame:
     return scored.groupBy(*GROUP, "corrections").agg(F.count("*").alias("count"))
 
 
-def scored_trials(trials: DataFrame, long: DataFrame) -> DataFrame:
-    """Trials with their components side by side, as the functions above read them; a trial without scores is an error."""
+def scored_trials(trials: DataFrame, long: DataFrame | None = None) -> DataFrame:
+    """Trials with their outcome components side by side, as the functions above read them.
+
+    Without ``long`` (components scored elsewhere) they come from the trial's own row, so nothing is shuffled; with it, a
+    trial without scores is an error.
+    """
     from trialweave.functions import ids
     from trialweave.operators import scoring
 
+    i = ids.parse(F.col("trial_id"))
+    of_trial = ["trial_id", F.col("__id.arm").alias("arm"), F.col("__id.direction").alias("direction"), ids.scenario(F.col("__id.bench"), F.col("__id.item")).alias("scenario"), F.try_element_at("attempts", F.lit(-1))["stage_reached"].alias("stage"), F.col("final.corrections").alias("corrections"), F.col("provenance.device").alias("device")]
+    if long is None:
+        t, cells = scoring.outcome_cells(trials)
+        return t.withColumn("__id", i).select(*of_trial, *[x["value"].alias(c) for c, x in cells.items()], cells["correct"]["note"].alias("correct_note"))
     wide = scoring.to_wide(long.where("profile = 'outcome'"), scoring.OUTCOME_COMPONENTS)
     notes = long.where("profile = 'outcome' and component = 'correct'").select("trial_id", F.col("note").alias("correct_note"))
-    t = trials.withColumn("__id", ids.parse(F.col("trial_id"))).select("trial_id", F.col("__id.arm").alias("arm"), F.col("__id.direction").alias("direction"), ids.scenario(F.col("__id.bench"), F.col("__id.item")).alias("scenario"), F.try_element_at("attempts", F.lit(-1))["stage_reached"].alias("stage"), F.col("final.corrections").alias("corrections"), F.col("provenance.device").alias("device"))
-    j = t.join(wide.withColumn("__scored", F.lit(True)), "trial_id", "left").join(notes, "trial_id", "left")
+    j = trials.withColumn("__id", i).select(*of_trial).join(wide.withColumn("__scored", F.lit(True)), "trial_id", "left").join(notes, "trial_id", "left")
     return j.withColumn("trial_id", F.when(F.col("__scored"), F.col("trial_id")).otherwise(F.raise_error(F.concat(F.lit("no score of "), "trial_id")))).drop("__scored")

@@ -23,7 +23,7 @@ def score_run(spark: SparkSession, run_dir: str, profiles: list[str], out: str |
     long = scoring.score_trials(trials, profiles)
     tables = {"trial_components": long}
     if "outcome" in profiles:
-        scored = metrics.scored_trials(trials, long)
+        scored = metrics.scored_trials(trials)
         tables |= {"metrics": metrics.metric_rows(scored, reference), "stage_reached": metrics.stage_reached(scored), "corrections": metrics.corrections(scored)}
     if out:
         io.write_with_manifest(tables, out, {"profiles": profiles})
