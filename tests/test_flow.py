@@ -190,3 +190,21 @@ def test_only_callers_of_what_changed_are_looked_at(spark):
     got = flow.summaries(*tables_of(spark, program))
     assert {(r["fn"], r["source"], r["sink"]) for r in got.flows.collect()} == {(f"g{i}", 0, -2) for i in range(6)} | {("lone", 1, -2)}
     assert got.rounds == (7, 7, 1, 1, 1, 1, 1)  # kills: all once; flows: all once, then one caller after the other
+
+
+@pytest.mark.parametrize("small", [10, 45])
+def test_large_functions_go_by_rounds(programs, monkeypatch, small):
+    """With some or all functions too large for a task the states are the same."""
+    fns, facts, seeds = programs
+    monkeypatch.setattr(flow, "SMALL", small)
+    got = {(r["fn"], r["cls"], r["pos"]): r["label"] for r in flow.reach_labels(flow.Flow(facts.defs, facts.kills, facts.loops, facts.sinks), seeds).collect()}
+    assert got == {(f, *s): min(v) for f, (d, k, l, q, _) in fns.items() for s, v in reached(d, k, l, q).items()}
+
+
+def test_a_long_chain_takes_one_pass(spark, monkeypatch):
+    """Thirty definitions that each read the last one: one table is stored, not some a definition."""
+    stored = []
+    monkeypatch.setattr(flow, "_kept", lambda df, of=flow._kept: stored.append(1) or of(df))
+    make = spark.createDataFrame
+    facts = flow.Flow(make([("f", i, 3 * i + 3, i + 1, 3 * i + 5) for i in range(30)], DEFS), make([], KILLS), make([], LOOPS), make([], SINKS))
+    assert flow.reach_labels(facts, make([("f", 0, 2, 7)], "fn string, cls long, pos long, label long")).count() == 31 and len(stored) == 1

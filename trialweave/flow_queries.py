@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.operators import flow
+from trialweave.operators.graph import _kept as stored
 from trialweave.trial_queries import ORACLE_SQL, QUERIES, query, table
 
 _FACTS = """ev AS MATERIALIZED (SELECT l_suppkey * 10 + l_orderkey % 10 AS fn, (row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1)::BIGINT AS e, l_partkey % 6 AS c, (l_partkey // 6) % 6 AS t, (l_orderkey // 10) % 6 AS o,
@@ -57,7 +58,7 @@ def tables(ev: DataFrame) -> dict[str, DataFrame]:
 @query(f"WITH RECURSIVE {_FACTS}, seeds AS ({_PORTS} UNION ALL SELECT fn, cls, pos, 0 FROM inputs), {_sees()}, {_REACH.format(k='')} SELECT fn, cls, pos, label::BIGINT AS port FROM reach")
 def reach_masks(spark, d):
     """What three ports and the input of every function reach, in one pass of bit masks, through loops and kills."""
-    ev = events(spark, d)
+    ev = stored(events(spark, d))
     ports = ev.select("fn").distinct().select("fn", F.explode(F.array(*[F.lit(p) for p in (1, 2, 3)])).alias("port"))
     seeds = ports.select("fn", (F.col("port") - 1).cast("long").alias("cls"), F.lit(-1).alias("pos"), "port").unionByName(ev.where("input").select("fn", F.col("c").alias("cls"), (F.col("e") * 3 + 2).alias("pos"), F.lit(0).alias("port")))
     return flow.reach_masks(flow.Flow(**tables(ev)), seeds)
@@ -68,7 +69,7 @@ hit AS (SELECT k.fn, k.read, l.label, k.token FROM least_ l JOIN sees s ON s.fn
 SELECT fn, read, label, token FROM hit QUALIFY row_number() OVER (PARTITION BY fn ORDER BY read, label, token) = 1""")
 def first_violations(spark, d):
     """The first write of each function that an input reaches, with the earliest such input."""
-    ev = events(spark, d)
+    ev = stored(events(spark, d))
     facts = flow.Flow(**tables(ev))
     labels = flow.reach_labels(facts, ev.where("input").select("fn", F.col("c").alias("cls"), (F.col("e") * 3 + 2).alias("pos"), F.col("e").alias("label")))
     return flow.violations(facts, labels)
@@ -96,7 +97,7 @@ UNION SELECT fn, 0, -1 FROM call{k} WHERE source = 0 AND sink = -1) WHERE fn IN
 @query(f"WITH RECURSIVE {_FACTS}, {_level(0)}, {_level(1)} SELECT fn, source::BIGINT AS source, sink::BIGINT AS sink FROM flow0 UNION ALL SELECT fn, source, sink FROM flow1")
 def call_summaries(spark, d):
     """Which ports of each called function reach which others, its result and a write, with its callees' flows and kills applied."""
-    ev = events(spark, d)
+    ev = stored(events(spark, d))
     t = tables(ev)
     at, callee = (F.col("e") * 3).alias("at"), (F.col("fn") - 1).alias("callee")
     sites = ev.where("calls and fn % 3 > 0")

@@ -13,9 +13,11 @@ segment what a read sees from before is a running aggregate in the order of posi
 aggregate a loop and class, which the reads at the loop's head take over. Which loops hold a position is found by a join of
 buckets of positions, so large loops meet only what lies in them.
 
-Values spread semi-naively: a round follows only what is new since the last one, and functions with nothing new are put
-aside, so a round costs what its open functions have. Every table has a column ``fn``, so all functions of all programs
-are followed at once, and no function is handled in a task of its own.
+Values spread in one pass: all facts meet by function in one exchange, and a task follows one function after the other,
+each to its end, with a small work list. A function of more than ``SMALL`` facts is not held in a task: those go by rounds
+of joins, semi-naively. A round follows only what is new since the last one, and functions with nothing new are put aside,
+so a round costs what its open functions have. Every table has a column ``fn``, so all functions of all programs are
+followed at once.
 
 Tables (further columns are ignored): defs (fn, cls, read, target, defined), kills (fn, cls, pos), loops (fn, head, end),
 sinks (fn, cls, read, token), seeds (fn, cls, pos and the value). Null functions, classes or positions are no facts.
@@ -23,17 +25,25 @@ sinks (fn, cls, read, token), seeds (fn, cls, pos and the value). Null functions
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field, replace
-from functools import reduce
+import operator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trialweave.operators.graph import _kept
 
 ENTRY, BEFORE, AFTER = -1, -(1 << 62), 1 << 62
 BUCKET = 512
+#: Facts of a function that one task follows by itself; larger functions go by rounds.
+SMALL = 4096
+DEF, KILL, LOOP, SEED = range(4)
 #: Bits of one mask; seeds beyond have further masks, numbered by ``block``.
 BITS = 62
 AT, STATE = ["fn", "cls", "pos"], ["fn", "block", "cls", "pos"]
@@ -41,17 +51,18 @@ AT, STATE = ["fn", "cls", "pos"], ["fn", "block", "cls", "pos"]
 
 @dataclass(frozen=True)
 class Values:
-    """How values meet: their union, and what of a new value an old one lacks (null: nothing)."""
+    """How values meet: their union, and what of a new value an old one lacks (null: nothing); ``join`` is the union of two in Python."""
 
     merge: Callable[[Column], Column]
     both: Callable[[Column, Column], Column]
     news: Callable[[Column, Column], Column]
+    join: Callable[[int, int], int]
 
 
 #: The least label that reaches a state.
-LABELS = Values(F.min, F.least, lambda old, new: F.when(old.isNull() | (new < old), new))
+LABELS = Values(F.min, F.least, lambda old, new: F.when(old.isNull() | (new < old), new), min)
 #: The set of seeds that reach a state, as bits.
-MASKS = Values(F.bit_or, lambda a, b: F.coalesce(a, F.lit(0)).bitwiseOR(F.coalesce(b, F.lit(0))), lambda old, new: F.nullif(new.bitwiseAND(F.bitwise_not(F.coalesce(old, F.lit(0)))), F.lit(0)))
+MASKS = Values(F.bit_or, lambda a, b: F.coalesce(a, F.lit(0)).bitwiseOR(F.coalesce(b, F.lit(0))), lambda old, new: F.nullif(new.bitwiseAND(F.bitwise_not(F.coalesce(old, F.lit(0)))), F.lit(0)), operator.or_)
 
 
 def known(df: DataFrame, *cols: str) -> DataFrame:
@@ -76,6 +87,88 @@ def holding(rows: DataFrame, loops: DataFrame, pos: str) -> DataFrame:
     return rows.withColumn("__b", bucket(F.col(pos))).join(parts, ["fn", "__b"]).where((F.col(pos) >= F.col("head")) & (F.col(pos) <= F.col("end"))).drop("__b")
 
 
+def followed(facts: list[tuple], join: Callable[[int, int], int]) -> dict[tuple, int]:
+    """The values of all states of one function, {(block, cls, pos): value}, from its facts (kind, cls, p, q, target, block, value)."""
+    defs, kills, loops, have = defaultdict(list), defaultdict(list), set(), {}
+    for kind, cls, p, q, target, block, value in facts:
+        if kind == DEF:
+            defs[cls].append((p, target, q))
+        elif kind == KILL:
+            kills[cls].append(p)
+        elif kind == LOOP:
+            loops.add((p, q))
+        else:
+            have[block, cls, p] = join(have[block, cls, p], value) if (block, cls, p) in have else value
+    for of in (*defs.values(), *kills.values()):
+        of.sort()
+    reads = {cls: [r for r, _, _ in ds] for cls, ds in defs.items()}
+    onward = {}
+
+    def nexts(cls, pos) -> set[tuple]:
+        """The states that definitions give which see this one: its segment's reads after it, those at the head of a loop that it goes round, initializers."""
+        rs, ds, ks = reads.get(cls), defs.get(cls), kills.get(cls, ())
+        if rs is None:
+            return set()
+        k = bisect_right(ks, pos)
+        until = ks[k] if k < len(ks) else AFTER
+        seen = [*ds[: bisect_left(rs, 0)], *ds[bisect_right(rs, pos) : bisect_left(rs, until)]]
+        if pos >= 0:
+            for head, end in loops:
+                if head <= pos <= end < until:
+                    k = bisect_left(ks, head)
+                    seen += ds[bisect_left(rs, max(head, 0)) : bisect_left(rs, min(end + 1, ks[k]) if k < len(ks) else end + 1)]
+        return {(target, defined) for _, target, defined in seen}
+
+    todo = list(have)
+    while todo:
+        at = block, cls, pos = todo.pop()
+        value = have[at]
+        if (cls, pos) not in onward:
+            onward[cls, pos] = nexts(cls, pos)
+        for to in onward[cls, pos]:
+            to = (block, *to)
+            old = have.get(to)
+            new = value if old is None else join(old, value)
+            if new != old:
+                have[to] = new
+                todo.append(to)
+    return have
+
+
+def _follow(join: Callable[[int, int], int], small: int, schema: pa.Schema):
+    """The function of a task over facts sorted by ``fn``: states with their values, or a row without a block for a function of too many facts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, fn, mine, n = [], None, [], 0
+
+        def close():
+            if n > small:
+                out.append((fn, None, None, None, None))
+            elif n:
+                out.extend((fn, *at, value) for at, value in followed(mine, join).items())
+
+        def given():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            for f, *fact in zip(*cols, strict=True):
+                if f != fn:
+                    close()
+                    fn, mine, n = f, [], 0
+                n += 1
+                if n <= small:
+                    mine.append(fact)
+            if len(out) > 20_000:
+                yield given()
+                out.clear()
+        close()
+        if out:
+            yield given()
+
+    return run
+
+
 @dataclass
 class Flow:
     """The facts of all functions, prepared: reads and states with their segments, and the loops that they go round."""
@@ -84,16 +177,18 @@ class Flow:
     kills: DataFrame
     loops: DataFrame
     sinks: DataFrame
-    reads: DataFrame = field(init=False)
-    front: DataFrame = field(init=False)
 
-    def __post_init__(self):
+    @cached_property
+    def reads(self) -> DataFrame:
         d = known(self.defs, "fn", "cls", "read", "target", "defined").withColumn("token", F.lit(None).cast("long"))
         s = known(self.sinks, "fn", "cls", "read", "token").select("fn", "cls", "read", F.lit(None).cast(d.schema["target"].dataType).alias("target"), F.lit(None).cast("long").alias("defined"), "token")
         both = d.unionByName(s).withColumn("read", F.col("read").cast("long")).withColumn("defined", F.col("defined").cast("long")).distinct()
-        self.reads = _kept(between_kills(both, self.kills, "read"))
-        # The reads that a loop's head reaches without a kill on the way.
-        self.front = _kept(holding(self.reads.where("read >= 0"), self.loops, "read").where(F.col("since") < F.col("head")))
+        return _kept(between_kills(both, self.kills, "read"))
+
+    @cached_property
+    def front(self) -> DataFrame:
+        """The reads that a loop's head reaches without a kill on the way."""
+        return _kept(holding(self.reads.where("read >= 0"), self.loops, "read").where(F.col("since") < F.col("head")))
 
     def placed(self, states: DataFrame) -> DataFrame:
         """States with the kills around them."""
@@ -124,7 +219,31 @@ class Flow:
         return reduce(DataFrame.unionByName, out).where("value is not null").groupBy(*what, "block").agg(values.merge(F.col("value")).alias("value"))
 
     def spread(self, seeds: DataFrame, values: Values, budget: int | None = None) -> DataFrame | None:
-        """(fn, block, cls, pos, value) of every state that the seeds (same columns) reach; None where the budget of rounds ends first."""
+        """(fn, block, cls, pos, value) of every state that the seeds (same columns) reach; None where the budget of rounds ends first.
+
+        A budget asks for rounds, so all functions go by them.
+        """
+        if budget is not None:
+            return self._by_rounds(seeds, values, budget)
+        long = lambda c: (F.col(c) if isinstance(c, str) else F.lit(c)).cast("long")
+        cls = known(self.defs, "fn", "cls", "read", "target", "defined").schema["target"].dataType
+        fact = lambda df, kind, c, p, q=None, target=None, block=None, value=None: df.select("fn", F.lit(kind).alias("kind"), (F.col(c) if c else F.lit(None)).cast(cls).alias("cls"), long(p).alias("p"), long(q).alias("q"), (F.col(target) if target else F.lit(None)).cast(cls).alias("target"), long(block).alias("block"), long(value).alias("value"))
+        facts = [
+            fact(known(self.defs, "fn", "cls", "read", "target", "defined"), DEF, "cls", "read", "defined", "target"), fact(known(self.kills, *AT), KILL, "cls", "pos"),
+            fact(known(self.loops, "fn", "head", "end"), LOOP, None, "head", "end"), fact(seeds, SEED, "cls", "pos", block="block", value="value"),
+        ]
+        given = reduce(DataFrame.unionByName, facts).repartition("fn").sortWithinPartitions("fn")
+        schema = seeds.sparkSession.createDataFrame([], seeds.select("fn").schema).select("fn", F.lit(None).cast("long").alias("block"), F.lit(None).cast(cls).alias("cls"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("value")).schema
+        out = _kept(given.mapInArrow(_follow(values.join, SMALL, to_arrow_schema(schema)), schema))
+        large = out.where("block is null").select("fn")
+        small = out.where("block is not null").withColumn("block", F.col("block").cast(seeds.schema["block"].dataType))
+        if large.isEmpty():
+            return small.select(*STATE, "value")
+        only = lambda df: df.join(large, "fn", "left_semi")
+        rest = Flow(only(self.defs), only(self.kills), only(self.loops), only(self.sinks))
+        return small.select(*STATE, "value").unionByName(rest._by_rounds(only(seeds), values, None).select(*STATE, "value"))
+
+    def _by_rounds(self, seeds: DataFrame, values: Values, budget: int | None) -> DataFrame | None:
         open_ = _kept(seeds.groupBy(*STATE).agg(values.merge(F.col("value")).alias("value")).withColumn("new", F.col("value")))
         done, rounds, around = [], 0, self.around(seeds)
         while True:
