@@ -262,3 +262,12 @@ def test_fields_of_a_line_by_one_expression(spark):
     assert reported(spark, "nvc++", f"NVC++-S-1-{odd} ({odd}: 3)\n{odd}: undefined reference to") == [("error", "S-1", odd, 3, None, odd), ("error", None, None, None, None, "undefined reference to")]
     df = spark.createDataFrame([(1, "x", {})], "id long, stderr string, files map<string,string>")
     assert "regexp_extract(" not in parsers.diagnostics(df, "nvcc", ["id"], files="files")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_logs_are_made_by_all_tasks(spark):
+    """Parts are exchanged before their logs are made and cut into lines, and no line after that."""
+    from trialweave import trial_queries
+
+    plan = trial_queries.toolchain_logs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 4 and all("Exchange" in part for part in plan.split("Generate ")[1:])
+    assert all("Exchange" not in part[part.rindex("Window") :] for part in plan.split("Generate ")[:-1])
