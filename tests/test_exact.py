@@ -63,3 +63,12 @@ def test_correlations(spark):
     import numpy as np
 
     assert got == {k: pearson(*(np.array(side) for side in zip(*ps, strict=True))) for k, ps in g.items()}
+
+
+def test_rows_stay_where_they_are(spark):
+    """Rows of a few groups are added up in their tasks: none is taken apart into bins, and none is exchanged for a join."""
+    df = spark.range(0, 100_000, 1, 4).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("x"), F.sqrt("id").alias("y"))
+    plan = exact.correlations(df, ["k"], "x", "y")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range ") == 1 and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "Generate" not in plan
+    big = spark.createDataFrame([(-(2.0**31) - 0.5,), (2.0**53 - 1,), (-(2.0**53),), (2.0**31 + 0.25,), (-(2.0**-40),)] * 3, "x double")
+    assert exact.exact_sums(big, [], {"s": F.col("x")}).first()["s"] == math.fsum(r["x"] for r in big.collect())
